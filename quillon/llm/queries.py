@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing
+from quillon.llm import mixing, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 
