@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, simhash
+from quillon.llm import mixing, simhash, url_filter
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op8_url_filter": url_filter.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
