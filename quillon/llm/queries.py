@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, simhash, url_filter
+from quillon.llm import decontamination, mixing, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op6_decontamination": decontamination.OP6_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

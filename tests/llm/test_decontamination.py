@@ -1,0 +1,68 @@
+import random
+import re
+
+from quillon.llm import decontamination as d
+
+DOCS = "doc_id bigint, text string, n_words string, prefix string, _w string"
+
+
+def words(text):
+    lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def brute(docs, items, size=13):
+    out = []
+    for i, text in docs:
+        w, hit, ids = words(text), set(), set()
+        for item, t in items:
+            b = words(t)
+            for at in range(max(1, len(b) - size + 1)) if b else ():
+                win = b[at : at + size]
+                for j in range(len(w) - len(win) + 1):
+                    if w[j : j + len(win)] == win:
+                        hit.update(range(j, j + len(win)))
+                        ids |= {str(item)} if item is not None else set()
+        n = len(hit)
+        out.append((i, len(w), n, tuple(sorted(ids)), n > 0 and 20 * n >= len(w)))
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items, **more):
+    docs = spark.createDataFrame([(i, t, "x", "x", "x") for i, t in docs], DOCS)
+    items = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, w string")
+    out = d.contamination(docs, items, ["doc_id"], **more).collect()
+    return sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in out], key=str)
+
+
+def cases():
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice(["a", "b", "Cc", "É", "d9"]) for _ in range(n))
+    items = [(1, some(5)), (10, some(30)), (2, some(13)), (None, some(14)), (2, some(3)), (3, None), (4, " .,"), (10, some(30))]
+    docs = [(i, some(rng.randint(0, 60))) for i in range(20)] + [(5, None), (None, ""), (6, "!!"), (7, "x, " + items[1][1] + " y")]
+    docs += [(7, "x, " + items[1][1] + " y")] * 2 + [(8, "zz " * 5000 + (items[2][1] or "") + " É.é " * 4000)]
+    return docs, items
+
+
+def test_against_all_windows(spark):
+    docs, items = cases()
+    want = brute(docs, items)
+    assert any(x[2] for x in want)
+    assert run(spark, docs, items) == want
+
+
+def test_chunks_agree(spark):
+    docs, items = cases()
+    assert run(spark, docs, items, chunk=7) == brute(docs, items)
+
+
+def test_empty_sides(spark):
+    docs, items = cases()
+    assert run(spark, docs, []) == brute(docs, [])
+    assert run(spark, [], items) == []
+
+
+def test_other_scripts_keep_their_case(spark):
+    items = [(1, "ÉA b c")]
+    assert [x[2] for x in run(spark, [(1, "éa b c")], items)] == [0]
+    assert [x[2] for x in run(spark, [(1, "Éa B C")], items)] == [3]
