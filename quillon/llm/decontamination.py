@@ -143,6 +143,15 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     return out.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", bad.alias("contaminated"))
 
 
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that aren't contaminated. Only the others' digests are joined."""
+    digest = F.md5(F.col("text"))
+    found = contamination(docs.select("text", digest.alias("_digest")), items, ["_digest"])
+    bad = cut(found.filter("contaminated").select(F.col("_digest").alias("_bad")).distinct())
+    side = broadcast_if_small(bad, CHUNK)
+    return docs.join(side, digest == F.col("_bad"), "left_anti")
+
+
 def op6_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, mixing, secret_scan, simhash, url_filter
+from quillon.llm import decontamination, language_id, mixing, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_language_id": language_id.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
 }
 

@@ -26,8 +26,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import cut, table
 
@@ -85,18 +86,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns of keep and fp, the fingerprint as a signed long, for every row."""
+    schema = T.StructType([docs.schema[c] for c in keep]).add("fp", T.LongType())
+    n = len(keep)
 
     def run(batches):
         for batch in batches:
-            found = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"]
-            )
+            found = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(n)]
+            columns = [*batch.columns[:n], pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def _star(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,20 +200,48 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, root (of its component) and _least (its smallest doc_id), a row per fingerprint."""
+    # Partial minima are taken before the shuffle, so copies cost one row a task.
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
+    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row of docs."""
     prints = cut(fingerprints(docs, shingle))
-    # One row per fingerprint: partial minima are taken before the shuffle.
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
-    roots = components(links(classes.select("fp"), radius))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _classes(prints, radius)
     named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_class = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group: that of the smallest doc_id (null last), then of least digest.
+
+    Rows are told apart by doc_id and a digest of all columns; of rows equal in all of them
+    one stays.
+    """
+    digest = F.xxhash64(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    marked = docs.withColumn("_digest", digest)
+    prints = cut(fingerprints(marked, shingle, ("doc_id", "_digest")))
+    rooted = _classes(prints, radius).select("fp", "root")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")
+    # The least of each fingerprint first: a hot one is reduced before any join.
+    least = prints.groupBy("fp").agg(F.min(row).alias("_row"))
+    kept = least.join(rooted, "fp").groupBy("root").agg(F.min("_row").alias("_row"))
+    kept = cut(kept.select(F.col("_row.doc_id").alias("_id"), F.col("_row._digest").alias("_of")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
+    stay = marked.join(kept, same, "left_semi")
+    often = prints.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    often = cut(often.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).join(kept, ["_id", "_of"]))
+    if often.limit(1).count():
+        once = stay.join(often, same, "left_anti")
+        stay = once.unionByName(stay.join(often, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
+    return stay.select(*docs.columns)
+
+
 def op4_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return grouped(docs).select(
