@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, language_id, mixing, secret_scan, simhash, url_filter
+from quillon.llm import decontamination, language_id, mixing, secret_scan, simhash, url_filter, vector_search
 
 QUERIES = {
+    "op3_vector_search": vector_search.op3_vector_search,
     "op4_simhash": simhash.op4_simhash,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_secret_scan": secret_scan.op7_secret_scan,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_vector_search": vector_search.OP3_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,

@@ -1,0 +1,62 @@
+import math
+import random
+
+import numpy as np
+
+from quillon.llm import vector_search as v
+
+
+def brute(rows, k, every):
+    good = {(i, tuple(float(np.float32(a)) + 0.0 for a in x)) for i, x in rows
+            if i is not None and x and all(a is not None and math.isfinite(a) for a in x) and any(x)}
+    out = []
+    for q, x in good:
+        if q % every == 0:
+            near = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y))), i) for i, y in good if i != q and len(x) == len(y))
+            out += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def run(spark, rows, k=10, every=10):
+    df = spark.createDataFrame([(i, x and [a if a is None else float(a) for a in x], "x", 1) for i, x in rows], "vec_id bigint, embedding array<float>, class string, id int")
+    return sorted(tuple(r) for r in v.nearest(df, "vec_id", "embedding", k, every).collect())
+
+
+def same(got, want):
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-15, atol=0)
+
+
+def test_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(300)]
+    rows += [(i, rows[i % 7][1]) for i in range(300, 420)]  # copies, so ties
+    rows += [(i, [float(rng.randint(0, 1)) for _ in range(5)]) for i in range(420, 520)]
+    rows += [(520, None), (530, []), (540, [0.0] * 5), (550, [1.0, None, 0, 0, 0]), (560, [1.0, float("nan"), 0, 0, 0]),
+             (570, [float("inf"), 0, 0, 0, 0]), (None, [1.0] * 5), (580, [1.0, 2.0]), (581, [2.0, 2.0]), (300, rows[300][1]), (590, [-0.0, 1.0, 0, 0, 0])]
+    want = brute(rows, 10, 10)
+    same(run(spark, rows), want)
+    monkeypatch.setattr(v, "BLOCK", 16)
+    monkeypatch.setattr(v, "CELLS", 64)
+    same(run(spark, rows), want)
+
+
+def test_few_and_none(spark):
+    assert run(spark, []) == [] and run(spark, [(0, [1.0])]) == []
+    same(run(spark, [(0, [1.0]), (3, [4.0]), (2, [4.0])]), [(0, 1, 2, 3.0), (0, 2, 3, 3.0)])
+
+
+def test_int8_bounds_hold():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 2100)) * 10.0 ** rng.integers(-3, 3, (200, 1))
+    c, scale, error = v.codes(x)
+    exact = c.astype(np.int64) @ c.astype(np.int64).T
+    assert (v.product(c, c) == exact).all()
+    assert (np.linalg.norm(x - c * scale, axis=1) <= error).all()
+    found = {i: set() for i in range(20)}
+    for a, b, _ in v.tile(x[:20], x, 5):
+        for i, j in zip(a, b):
+            found[i].add(j)
+    for i in range(20):
+        d = np.linalg.norm(x - x[i], axis=1)
+        assert set(np.argsort(d, kind="stable")[:5]) <= found[i]
