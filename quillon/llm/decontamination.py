@@ -89,12 +89,12 @@ def prefixes(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, joined: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each document at least, and one for each window found: keep, n_words, hit."""
-    words = F.col("_words")
+    words = F.col("__qn_words")
     placed = docs.select(
-        F.monotonically_increasing_id().alias("_row"), *keep, raw_words(F.col("text")).alias("_words")
+        F.monotonically_increasing_id().alias("__qn_row"), *keep, raw_words(F.col("text")).alias("__qn_words")
     )
-    placed = placed.select("*", word_total(words).alias("n_words"), F.posexplode("_words").alias("_at", "_w"))
-    start = F.col("_at") - F.col("offset")
+    placed = placed.select("*", word_total(words).alias("n_words"), F.posexplode("__qn_words").alias("__qn_at", "__qn_w"))
+    start = F.col("__qn_at") - F.col("offset")
     in_place = F.slice(words, start + 1, F.col("length"))
     lowered = F.translate(F.array_join(in_place, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = (
@@ -106,9 +106,9 @@ def hits(docs: DataFrame, joined: DataFrame, keep: list[str]) -> DataFrame:
         & (lowered == F.col("text_of"))
     )
     hit = F.struct(start.alias("start"), F.col("length"), F.col("ids"))
-    matched = placed.join(F.broadcast(joined), F.lower("_w") == F.col("prefix"), "left")
-    matched = matched.withColumn("hit", F.when(found, hit)).filter((F.col("_at") == 0) | F.col("hit").isNotNull())
-    return matched.select("_row", *keep, "n_words", "hit")
+    matched = placed.join(F.broadcast(joined), F.lower("__qn_w") == F.col("prefix"), "left")
+    matched = matched.withColumn("hit", F.when(found, hit)).filter((F.col("__qn_at") == 0) | F.col("hit").isNotNull())
+    return matched.select("__qn_row", *keep, "n_words", "hit")
 
 
 def covered(spans: Column) -> Column:
@@ -128,16 +128,16 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     joined = cut(prefixes(wins, rarities(docs, wins)))
     parts = -(-max(1, joined.count()) // chunk)
     # A document may hold windows of several chunks; a chunk's rows are told apart by hash.
-    dealt = joined.withColumn("_part", F.pmod(F.xxhash64("text_of"), F.lit(parts)))
+    dealt = joined.withColumn("__qn_part", F.pmod(F.xxhash64("text_of"), F.lit(parts)))
     rows = None
     for part in range(parts):
-        some = hits(docs, dealt.filter(F.col("_part") == part).drop("_part"), keep)
+        some = hits(docs, dealt.filter(F.col("__qn_part") == part).drop("__qn_part"), keep)
         rows = some if rows is None else rows.unionByName(some)
     # Within a chunk a document's first word gives a row whether or not it is hit.
     firsts = [F.first(c).alias(c) for c in (*keep, "n_words")]
-    grouped = rows.groupBy("_row").agg(*firsts, F.collect_list("hit").alias("_hits"))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["ids"]))))
-    spans = F.transform("_hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length")))
+    grouped = rows.groupBy("__qn_row").agg(*firsts, F.collect_list("hit").alias("__qn_hits"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__qn_hits", lambda h: h["ids"]))))
+    spans = F.transform("__qn_hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length")))
     out = grouped.select(*keep, "n_words", covered(spans).alias("n_hit"), ids.alias("items"))
     bad = (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
     return out.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", bad.alias("contaminated"))
@@ -146,10 +146,10 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated. Only the others' digests are joined."""
     digest = F.md5(F.col("text"))
-    found = contamination(docs.select("text", digest.alias("_digest")), items, ["_digest"])
-    bad = cut(found.filter("contaminated").select(F.col("_digest").alias("_bad")).distinct())
+    found = contamination(docs.select("text", digest.alias("__qn_digest")), items, ["__qn_digest"])
+    bad = cut(found.filter("contaminated").select(F.col("__qn_digest").alias("__qn_bad")).distinct())
     side = broadcast_if_small(bad, CHUNK)
-    return docs.join(side, digest == F.col("_bad"), "left_anti")
+    return docs.join(side, digest == F.col("__qn_bad"), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir):

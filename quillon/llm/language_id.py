@@ -133,8 +133,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> Model | None:
     """A model from rows of doc_id, lang and text, or None if there is nothing to learn."""
     sizes = (
-        rows.groupBy("lang", "doc_id").agg(F.lit(1).alias("_one"))
-        .groupBy("lang").agg(F.count("_one").alias("n"))
+        rows.groupBy("lang", "doc_id").agg(F.lit(1).alias("__qn_one"))
+        .groupBy("lang").agg(F.count("__qn_one").alias("n"))
         .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     )
     each = SAMPLE // max(1, len(sizes))
@@ -161,11 +161,13 @@ def fit(rows: DataFrame) -> Model | None:
     return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["x"], np.float32) for r in got]))
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns of keep (all by default) with lang_pred, lang_score and lang_rejected."""
+def identify(
+    docs: DataFrame, model: Model | None, keep: list[str] | None = None, names=("lang_pred", "lang_score", "lang_rejected")
+) -> DataFrame:
+    """The columns of keep (all by default) with language, cosine and rejection under names."""
     keep = docs.columns if keep is None else keep
     schema = T.StructType([docs.schema[c] for c in keep])
-    for name, kind in (("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_rejected", T.BooleanType())):
+    for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())):
         schema = schema.add(name, kind)
     n = len(keep)
 
@@ -176,13 +178,14 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=schema.fieldNames())
 
-    return docs.select(*keep, F.col("text").alias("_judged")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__qn_judged")).mapInArrow(run, schema)
 
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language the model, fitted on their labels, doesn't reject."""
-    judged = identify(docs, fit(training_rows(docs)))
-    return judged.filter(~F.col("lang_rejected")).select(*docs.columns)
+    names = ("__qn_pred", "__qn_score", "__qn_rejected")
+    judged = identify(docs, fit(training_rows(docs)), names=names)
+    return judged.filter(~F.col(names[2])).select(*docs.columns)
 
 
 def op9_language_id(spark, sf_dir):

@@ -38,32 +38,32 @@ def source_targets(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) ->
     # One row per source from here on; the windows below run over sources, not documents.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    ranked = sizes.withColumn("_turn", F.row_number().over(by_name) - 1).withColumn(
-        "_weight", F.element_at(cycle, (F.col("_turn") % len(weights) + 1).cast("int"))
+    ranked = sizes.withColumn("__qn_turn", F.row_number().over(by_name) - 1).withColumn(
+        "__qn_weight", F.element_at(cycle, (F.col("__qn_turn") % len(weights) + 1).cast("int"))
     )
     most = F.col("source_size") * max_repeats
-    ordered = Window.orderBy(F.col("_fill"), F.col("_turn"))
+    ordered = Window.orderBy(F.col("__qn_fill"), F.col("__qn_turn"))
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy().rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     levels = (
-        ranked.withColumn("_most", most)
-        .withColumn("_fill", F.col("_most").cast("double") / F.col("_weight"))
-        .withColumn("_total", F.sum("source_size").over(everything))
-        .withColumn("_weights", F.sum("_weight").over(everything))
-        .withColumn("_spent", F.coalesce(F.sum("_most").over(before), F.lit(0)))
-        .withColumn("_gone", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
+        ranked.withColumn("__qn_most", most)
+        .withColumn("__qn_fill", F.col("__qn_most").cast("double") / F.col("__qn_weight"))
+        .withColumn("__qn_total", F.sum("source_size").over(everything))
+        .withColumn("__qn_weights", F.sum("__qn_weight").over(everything))
+        .withColumn("__qn_spent", F.coalesce(F.sum("__qn_most").over(before), F.lit(0)))
+        .withColumn("__qn_gone", F.coalesce(F.sum("__qn_weight").over(before), F.lit(0)))
         # With the sources before this one full, the others share the rest by weight. The
         # level rises until the last full source has been passed and falls after that.
         .withColumn(
-            "_level",
-            (F.col("_total") - F.col("_spent")).cast("double")
-            / (F.col("_weights") - F.col("_gone")).cast("double"),
+            "__qn_level",
+            (F.col("__qn_total") - F.col("__qn_spent")).cast("double")
+            / (F.col("__qn_weights") - F.col("__qn_gone")).cast("double"),
         )
-        .withColumn("_level", F.max("_level").over(everything))
+        .withColumn("__qn_level", F.max("__qn_level").over(everything))
     )
-    target = F.least(F.col("_most").cast("double"), F.col("_level") * F.col("_weight"))
+    target = F.least(F.col("__qn_most").cast("double"), F.col("__qn_level") * F.col("__qn_weight"))
     rate = F.when(
         F.col("source_size") > 0,
         F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size")),
@@ -89,38 +89,38 @@ def coin(seed=SEED):
 def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED):
     """The columns of keep with _size, _source_size, _target and _copies, a row per document."""
     targets = cut(source_targets(docs, weights, max_repeats)).select(
-        F.col("source").alias("_source"),
-        F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"),
-        F.col("rate").alias("_rate"),
+        F.col("source").alias("__qn_source"),
+        F.col("source_size").alias("__qn_source_size"),
+        F.col("target").alias("__qn_target"),
+        F.col("rate").alias("__qn_rate"),
     )
     side = broadcast_if_small(targets, BROADCAST_SOURCES)
     sized = docs.select(
         *[F.col(c) for c in keep],
-        F.col("source").alias("_of"),
-        word_count(F.col("text")).alias("_size"),
-        coin(seed).alias("_coin"),
+        F.col("source").alias("__qn_of"),
+        word_count(F.col("text")).alias("__qn_size"),
+        coin(seed).alias("__qn_coin"),
     )
-    same = F.col("_of").eqNullSafe(F.col("_source"))
+    same = F.col("__qn_of").eqNullSafe(F.col("__qn_source"))
     if side is targets:  # too many sources to broadcast: deal each to SALTS parts
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__qn_part")
         side = targets.select("*", salts)
-        sized = sized.withColumn("_deal", F.pmod(F.xxhash64("_coin"), F.lit(SALTS)).cast("int"))
-        same = same & (F.col("_deal") == F.col("_part"))
-    whole = F.floor("_rate")
-    copies = whole + (F.col("_coin") < F.col("_rate") - whole).cast("long")
+        sized = sized.withColumn("__qn_deal", F.pmod(F.xxhash64("__qn_coin"), F.lit(SALTS)).cast("int"))
+        same = same & (F.col("__qn_deal") == F.col("__qn_part"))
+    whole = F.floor("__qn_rate")
+    copies = whole + (F.col("__qn_coin") < F.col("__qn_rate") - whole).cast("long")
     return (
         sized.join(side, same, "left")
-        .withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-        .select(*keep, "_size", "_source_size", "_target", "_copies")
+        .withColumn("__qn_copies", F.when(F.col("__qn_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+        .select(*keep, "__qn_size", "__qn_source_size", "__qn_target", "__qn_copies")
     )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
     """docs with every document repeated as often as the mix takes it."""
     plan = mix_plan(docs, docs.columns, weights, max_repeats, seed)
-    turns = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return plan.filter("_copies > 0").withColumn("_turn", turns).select(*docs.columns)
+    turns = F.explode(F.sequence(F.lit(1), F.col("__qn_copies").cast("int")))
+    return plan.filter("__qn_copies > 0").withColumn("__qn_turn", turns).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir):
@@ -129,10 +129,10 @@ def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_plan(docs, ["doc_id"]).select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
+        F.col("__qn_size").alias("size"),
+        F.col("__qn_source_size").alias("source_size"),
+        F.col("__qn_target").alias("target"),
+        (F.col("__qn_size") * F.col("__qn_copies")).alias("taken"),
     )
 
 

@@ -76,20 +76,20 @@ def _shrunk(child: DataFrame, parent, key: str, up: str) -> DataFrame:
     parent: a table with up and mean, or the one mean that all children share.
     """
     if isinstance(parent, float):
-        joined = child.withColumn("_prior", F.lit(parent))
+        joined = child.withColumn("__qn_prior", F.lit(parent))
     else:
-        joined = child.join(parent.select(F.col(up), F.col("mean").alias("_prior")), up)
+        joined = child.join(parent.select(F.col(up), F.col("mean").alias("__qn_prior")), up)
     # Moments: the excess of the squared deviations over the binomial's gives the spread
     # rho = 1 / (strength + 1) of the children's own rates about their parents'.
-    noise = F.col("n") * F.col("_prior") * (1 - F.col("_prior"))
-    off = (F.col("bad") - F.col("n") * F.col("_prior")) ** 2
+    noise = F.col("n") * F.col("__qn_prior") * (1 - F.col("__qn_prior"))
+    off = (F.col("bad") - F.col("n") * F.col("__qn_prior")) ** 2
     over, most = joined.agg(
         F.sum(off - noise), F.sum(noise * (F.col("n") - 1))
     ).first()
     rho = over / most if most else 0.0
     low, high = STRENGTH
     strength = F.lit(max(low, min(high, 1 / rho - 1 if rho > 0 else high)))
-    mean = (F.col("bad") + strength * F.col("_prior")) / (F.col("n") + strength)
+    mean = (F.col("bad") + strength * F.col("__qn_prior")) / (F.col("n") + strength)
     return joined.select(*dict.fromkeys((key, up)), mean.alias("mean"), (F.col("n") + strength).alias("strength"))
 
 
@@ -131,20 +131,20 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold=THRESHOL
         .withColumn("path", url_path(F.col("url")))
         .withColumn("host", F.coalesce("host", F.lit("")))
         .withColumn("path", F.coalesce("path", F.lit("")))
-        .withColumn("_domain", domain)
-        .withColumn("_suffix", suffix)
+        .withColumn("__qn_domain", domain)
+        .withColumn("__qn_suffix", suffix)
     )
     for level in LEVELS:
         side = known[level].select(
-            F.col(level).alias(f"_{level}_key"),
-            F.struct("mean", "strength").alias(f"_{level}_seen"),
+            F.col(level).alias(f"__qn_{level}_key"),
+            F.struct("mean", "strength").alias(f"__qn_{level}_seen"),
         )
-        key = F.col("host" if level == "host" else f"_{level}")
+        key = F.col("host" if level == "host" else f"__qn_{level}")
         judged = judged.join(
-            broadcast_if_small(side, BROADCAST_HOSTS), key == F.col(f"_{level}_key"), "left"
+            broadcast_if_small(side, BROADCAST_HOSTS), key == F.col(f"__qn_{level}_key"), "left"
         )
     overall = F.struct(*[F.lit(x).alias(n) for x, n in zip(known["all"], ("mean", "strength"))])
-    seen = F.coalesce("_host_seen", "_domain_seen", "_suffix_seen", overall)
+    seen = F.coalesce("__qn_host_seen", "__qn_domain_seen", "__qn_suffix_seen", overall)
     bound = lower_bound(seen["mean"], seen["strength"])
     rule = best_rule(F.col("host"), F.col("path"), rules)
     return judged.select(

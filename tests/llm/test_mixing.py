@@ -49,6 +49,6 @@ def test_taken_is_near_the_target(spark):
         F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.expr("repeat('v ', cast(id % 50 as int))"), "id").alias("text"),
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))).alias("source"))
     plan = mixing.mix_plan(rows, ["doc_id", "source"])
-    out = plan.groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target").alias("target"), F.max("_copies").alias("most")).collect()
+    out = plan.groupBy("source").agg(F.sum(F.col("__qn_size") * F.col("__qn_copies")).alias("taken"), F.first("__qn_target").alias("target"), F.max("__qn_copies").alias("most")).collect()
     for r in out:
         assert r.taken == pytest.approx(r.target, rel=0.06) and r.most <= 3

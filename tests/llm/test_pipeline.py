@@ -25,7 +25,7 @@ def test_rows_against_a_plain_version(spark):
     left = spark.createDataFrame([(r.doc_id, clean[r.doc_id], r.source) for r in rows], "doc_id bigint, text string, source string")
     want = collections.Counter()
     for r in mixing.mix_plan(left, ["doc_id"]).collect():
-        want[r.doc_id, clean[r.doc_id]] += r._copies
+        want[r.doc_id, clean[r.doc_id]] += r["__qn_copies"]
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == docs.columns
     assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == +want
