@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import broadcast_if_small, cut, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -38,6 +38,8 @@ SEED = 42
 TABLES = range(1, 2 ** (RADIUS + 1))
 #: Larger buckets are dealt by the second family of codes.
 SPLIT = 8192
+#: Keys of rows that go are broadcast up to so many (some 60 bytes each).
+BROADCAST_GONE = 1_000_000
 
 
 def _codes() -> list[int]:
@@ -97,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple = ("doc_id
             columns = [*batch.columns[:n], pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__qn_text")).mapInArrow(run, schema)
 
 
 def _star(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +135,9 @@ def _tables(df: DataFrame, masks: list[int], names: list[str]) -> DataFrame:
             ]
         )
     )
-    tabled = df.withColumn("_x", each)
+    tabled = df.withColumn("__qn_x", each)
     return tabled.select(
-        "fp", *names, F.col("_x.t").alias(f"t{len(names)}"), F.col("_x.b").alias(f"b{len(names)}")
+        "fp", *names, F.col("__qn_x.t").alias(f"t{len(names)}"), F.col("__qn_x.b").alias(f"b{len(names)}")
     )
 
 
@@ -145,15 +147,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> Data
     distinct: one row per fingerprint, column fp.
     """
     first = _tables(distinct, FIRST_MASKS, [])
-    sizes = first.groupBy("t0", "b0").agg(F.count(F.lit(1)).alias("_n"))
-    shared = sizes.filter("_n > 1")
+    sizes = first.groupBy("t0", "b0").agg(F.count(F.lit(1)).alias("__qn_n"))
+    shared = sizes.filter("__qn_n > 1")
     members = first.join(shared, ["t0", "b0"])
     keys = ["t0", "b0", "t2", "b2"]
-    small = members.filter(F.col("_n") <= split).select(
+    small = members.filter(F.col("__qn_n") <= split).select(
         "fp", "t0", "b0", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("b2")
     )
     large = _tables(
-        members.filter(F.col("_n") > split).select("fp", "t0", "b0"), SECOND_MASKS, ["t0", "b0"]
+        members.filter(F.col("__qn_n") > split).select("fp", "t0", "b0"), SECOND_MASKS, ["t0", "b0"]
     )
 
     def run(pdf):
@@ -179,20 +181,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m"))
-        least = least.select("u", F.least("u", "_m").alias("_m"))
+        least = both.groupBy("u").agg(F.min("v").alias("__qn_m"))
+        least = least.select("u", F.least("u", "__qn_m").alias("__qn_m"))
         large = (
-            both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+            both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("__qn_m").alias("v"))
         ).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("_m"))
+        least = large.groupBy("u").agg(F.min("v").alias("__qn_m"))
         small = large.join(least, "u").select(
             F.explode(
-                F.array(F.struct("u", F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))
-            ).alias("_x")
+                F.array(F.struct("u", F.col("__qn_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("__qn_m").alias("v")))
+            ).alias("__qn_x")
         )
-        after = cut(small.select("_x.u", "_x.v").filter("u <> v").distinct())
+        after = cut(small.select("__qn_x.u", "__qn_x.v").filter("u <> v").distinct())
         # Done when every node points to one root and no root points on.
-        again = after.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        again = after.groupBy("u").agg(F.count(F.lit(1)).alias("__qn_n")).filter("__qn_n > 1")
         on = after.join(after.select(F.col("u").alias("v")), "v", "left_semi")
         if again.limit(1).count() == 0 and on.limit(1).count() == 0:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -203,16 +205,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
     """fp, root (of its component) and _least (its smallest doc_id), a row per fingerprint."""
     # Partial minima are taken before the shuffle, so copies cost one row a task.
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("__qn_least"))
     roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    return classes.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    return classes.join(roots, "fp", "left").select("fp", "__qn_least", F.coalesce("root", "fp").alias("root"))
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row of docs."""
     prints = cut(fingerprints(docs, shingle))
     rooted = _classes(prints, radius)
-    named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = rooted.groupBy("root").agg(F.min("__qn_least").alias("component_id"))
     of_class = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
@@ -221,24 +223,30 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     """One row of each group: that of the smallest doc_id (null last), then of least digest.
 
     Rows are told apart by doc_id and a digest of all columns; of rows equal in all of them
-    one stays.
+    one stays. Texts are only shuffled if more than BROADCAST_GONE rows go: the keys of those
+    that go are joined to the documents, not the documents to each other.
     """
     digest = F.xxhash64(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    marked = docs.withColumn("_digest", digest)
-    prints = cut(fingerprints(marked, shingle, ("doc_id", "_digest")))
+    marked = docs.withColumn("__qn_digest", digest)
+    prints = cut(fingerprints(marked, shingle, ("doc_id", "__qn_digest")))
     rooted = _classes(prints, radius).select("fp", "root")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__qn_digest").alias("of"))
     # The least of each fingerprint first: a hot one is reduced before any join.
-    least = prints.groupBy("fp").agg(F.min(row).alias("_row"))
-    kept = least.join(rooted, "fp").groupBy("root").agg(F.min("_row").alias("_row"))
-    kept = cut(kept.select(F.col("_row.doc_id").alias("_id"), F.col("_row._digest").alias("_of")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
-    stay = marked.join(kept, same, "left_semi")
-    often = prints.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    often = cut(often.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).join(kept, ["_id", "_of"]))
-    if often.limit(1).count():
-        once = stay.join(often, same, "left_anti")
-        stay = once.unionByName(stay.join(often, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
+    least = prints.groupBy("fp").agg(F.min(row).alias("__qn_row"))
+    kept = least.join(rooted, "fp").groupBy("root").agg(F.min("__qn_row").alias("__qn_kept"))
+    of_print = rooted.join(kept, "root").select("fp", "__qn_kept")
+    mine = F.col("__qn_kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__qn_kept.of") == F.col("__qn_digest"))
+    keys = (F.col("doc_id").alias("__qn_id"), F.col("__qn_digest").alias("__qn_of"))
+    rows = prints.join(of_print, "fp").withColumn("__qn_mine", mine).groupBy(*keys).agg(
+        F.max("__qn_mine").alias("__qn_stays"), F.count(F.lit(1)).alias("__qn_n")
+    )
+    gone = cut(rows.filter("not __qn_stays or __qn_n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col("__qn_id")) & (F.col("__qn_digest") == F.col("__qn_of"))
+    stay = marked.join(broadcast_if_small(gone.drop("__qn_n", "__qn_stays"), BROADCAST_GONE), same, "left_anti")
+    often = gone.filter("__qn_stays").drop("__qn_n", "__qn_stays")
+    if often.limit(1).count():  # the kept row occurs more than once
+        again = marked.join(broadcast_if_small(often, BROADCAST_GONE), same, "left_semi")
+        stay = stay.unionByName(again.dropDuplicates(["doc_id", "__qn_digest"]))
     return stay.select(*docs.columns)
 
 
