@@ -5,6 +5,7 @@
     debug           switches plans before results on or off
     load FOLDER     takes tables from a folder of Parquet tables
     load FILE.sql   runs a script
+    load sample [schema|data]   makes the sample tables, from the folder's rows
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import time
 from quillon import render
 from quillon.dialect.lexer import statements
 from quillon.session import Engine
+from quillon.sources import sample
 
 
 class Shell:
@@ -55,7 +57,9 @@ class Shell:
             self.say(f"error: {str(problem).strip().splitlines()[0]}")
 
     def load(self, path: str):
-        if path.endswith(".sql"):
+        if path.split()[0] == "sample":
+            sample.load(self.engine, *path.split()[1:2])
+        elif path.endswith(".sql"):
             with open(path) as script:
                 self.engine.script(script.read())
         else:

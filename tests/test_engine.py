@@ -240,3 +240,16 @@ def test_shell(engine, tmp_path):
     assert not shell.feed("exit")
     said = out.getvalue()
     assert " AFRICA" in said and "error: unknown column nonsense" in said and "a | 5" in said and "Time:" in said and "Physical Plan" in said
+
+
+def test_sample(engine):
+    from quillon.sources import sample
+
+    sample.load(engine, "schema")
+    sample.load(engine, "data")
+    got = rows(engine.sql("""SELECT a.area, count(*) AS n FROM clients c JOIN countries d ON d.country_id = c.country_id
+        JOIN areas a ON a.area_id = d.area_id GROUP BY a.area ORDER BY n DESC, a.area LIMIT 2"""))
+    assert len(got) == 2 and got[0][1] >= got[1][1]
+    with pytest.raises(ConstraintProblem):
+        engine.sql("INSERT INTO goods VALUES (1000000, 'x', 0, 1.0)")
+    assert engine.sql("INSERT INTO notes (client_id, note) VALUES (NULL, 'hello') RETURNING note_id").first()[0] == 1
