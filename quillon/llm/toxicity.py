@@ -22,6 +22,7 @@ give empty results.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from quillon.llm.common import cut, table
 
 #: Labelled rows of each class (ordinary, toxic) that the models are fitted on, about.
-SAMPLE = (5000, 3000)
+SAMPLE = (4000, 2500)
 #: Characters in the longest context plus one, and in the longest shared one plus one.
 ORDER, SHARED = 6, 3
 #: Bits of a character in the shared counts.
@@ -66,23 +67,21 @@ def _layout(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, starts, place
 
 
-def _grams(codes: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the grams of 1, 2 .. ORDER characters that end at each position.
+def _grams(codes: np.ndarray):
+    """Hashes of the grams of 1, 2 .. ORDER characters that end at each position, in turn.
 
     A gram is its context (the gram before its last character) and that character. Only
     those that start within the word may be used: place + 1 >= its length.
     """
-    found = []
     before = np.zeros(len(codes), np.uint64)
-    with np.errstate(over="ignore"):
-        for n in range(1, ORDER + 1):
+    for _ in range(ORDER):
+        with np.errstate(over="ignore"):
             h = (before ^ (codes + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
             h *= np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(32)
-            found.append(h)
-            before = np.concatenate(([np.uint64(0)], h[:-1]))
-    return found
+        yield h
+        before = np.concatenate(([np.uint64(0)], h[:-1]))
 
 
 def _cells(codes: np.ndarray) -> np.ndarray:
@@ -117,7 +116,7 @@ def shared_counts(docs: DataFrame) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(run, "cell bigint, n bigint")
     table_ = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << (FOLD * SHARED), np.float64)
+    counts = np.zeros(1 << (FOLD * SHARED), np.float32)
     counts[table_["cell"].to_numpy()] = table_["n"].to_numpy()
     return counts
 
@@ -126,58 +125,68 @@ class Models:
     """Both classes' models of expressions."""
 
     def __init__(self, words: list[str], counts: np.ndarray, shared: np.ndarray):
-        """counts: (2, len(words)), the uses of each word in the ordinary and the toxic class."""
+        """counts: (2, len(words)), the documents of each class that use each word."""
         rows = shared.reshape(-1, 1 << FOLD)
         self.shared = np.log((rows + 1) / (rows.sum(1, keepdims=True) + rows.shape[1])).astype(np.float32).reshape(-1)
         codes, _, place = _layout(words)
-        grams = _grams(codes)
-        uses = np.repeat(counts, [len(w) + 2 for w in words], axis=1).astype(np.float64)
         self.keys, self.share, self.rest = {}, {}, {}
-        own = {}
-        for n in range(ORDER, SHARED, -1):
-            usable = place + 1 >= n
-            keys, first, back = np.unique(grams[n - 1][usable], return_index=True, return_inverse=True)
-            at = np.flatnonzero(usable)[first]  # a position of each gram
-            c = np.stack([np.bincount(back, u[usable], len(keys)) for u in uses])
-            if n < ORDER:  # distinct characters before it, but where a word begins
-                longer, present, after = own[n + 1]
-                into = np.searchsorted(keys, after)
-                distinct = np.stack([np.bincount(into, p, len(keys)) for p in present])
-                c = np.where(place[at] + 1 == n, c, distinct)
-            own[n] = (keys, (c > 0).astype(np.float64), grams[n - 2][at])
-            context, of = np.unique(np.concatenate(([np.uint64(0)], grams[n - 2]))[at], return_inverse=True)
-            total = np.stack([np.bincount(of, x, len(context)) for x in c])
-            kinds = np.stack([np.bincount(of, x > 0, len(context)) for x in c])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                share = np.where(total[:, of] > 0, np.maximum(c - DISCOUNT, 0) / total[:, of], 0)
-                taken = np.minimum(c, DISCOUNT)
-                lost = np.stack([np.bincount(of, x, len(context)) for x in taken])
-                rest = np.where(total > 0, lost / total, 1)
-            self.keys[n], self.share[n] = keys, share.astype(np.float32)
-            self.rest[n] = (context, rest.astype(np.float32))
-            del kinds
-        whole = self._whole(codes, grams)
-        order = np.argsort(whole, kind="stable")
+        uses = np.repeat(counts, [len(w) + 2 for w in words], axis=1).astype(np.float32)
+        shorter = held = None  # hashes of the contexts; what is known of the grams of this order
+        for n, h in enumerate(_grams(codes), 1):
+            if n == 2:
+                whole = self._whole(codes, h)
+            if n > SHARED:
+                longer = self._distinct(h, place + 1 >= n, uses)
+                if held is not None:
+                    self._order(n - 1, held, longer, before_shorter, shorter, place)
+                held = longer
+            before_shorter, shorter = shorter, h
+        self._order(ORDER, held, None, before_shorter, None, place)
+        often = np.flatnonzero(counts.max(0) > WHOLE)
+        order = often[np.argsort(whole[often], kind="stable")]
         totals = np.maximum(counts.sum(1, keepdims=True), 1)
         self.words = whole[order]
-        self.word_share = (np.maximum(counts - WHOLE, 0) / totals)[:, order].astype(np.float64)
-        self.word_rest = np.minimum(counts, WHOLE).sum(1) / totals[:, 0]
-        self.word_rest = np.where(self.word_rest > 0, self.word_rest, 1.0)
+        self.word_share = (np.maximum(counts - WHOLE, 0) / totals)[:, order].astype(np.float32)
+        rest = np.minimum(counts, WHOLE).sum(1) / totals[:, 0]
+        self.word_rest = np.where(rest > 0, rest, 1.0)
+
+    @staticmethod
+    def _distinct(h, usable, uses):
+        """Distinct grams, a position of each, and their counts in both classes."""
+        at = np.flatnonzero(usable)
+        keys, first, back = np.unique(h[at], return_index=True, return_inverse=True)
+        return keys, at[first], np.stack([np.bincount(back, u[at], len(keys)) for u in uses])
+
+    def _order(self, n: int, held, longer, contexts, own, place):
+        """The tables of order n. contexts: hashes of the grams one shorter; own: of length n."""
+        keys, at, c = held
+        if longer is not None:  # distinct characters before a gram, but where a word begins
+            into = np.searchsorted(keys, own[longer[1]])
+            distinct = np.stack([np.bincount(into, p > 0, len(keys)) for p in longer[2]])
+            c = np.where(place[at] + 1 == n, c, distinct)
+        context, of = np.unique(contexts[at - 1], return_inverse=True)
+        total = np.stack([np.bincount(of, x, len(context)) for x in c])
+        lost = np.stack([np.bincount(of, np.minimum(x, DISCOUNT), len(context)) for x in c])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.where(total[:, of] > 0, np.maximum(c - DISCOUNT, 0) / total[:, of], 0)
+            rest = np.where(total > 0, lost / total, 1)
+        self.keys[n], self.share[n] = keys, share.astype(np.float32)
+        self.rest[n] = (context, rest.astype(np.float32))
 
     @staticmethod
-    def _whole(codes, grams) -> np.ndarray:
-        """A hash of each whole word, from the hashes of its characters in place."""
+    def _whole(codes, pairs) -> np.ndarray:
+        """A hash of each whole word, from those of its pairs of characters in place."""
         ends = np.flatnonzero(codes == 3)
         starts = np.flatnonzero(codes == 2)
         with np.errstate(over="ignore"):
             place = (np.arange(len(codes)) - np.repeat(starts, ends - starts + 1)).astype(np.uint64)
-            mixed = (grams[1] ^ (place * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
+            mixed = (pairs ^ (place * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
             return np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), starts)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each word."""
         codes, starts, place = _layout(words)
-        grams = _grams(codes)
+        grams = list(_grams(codes))
         base = np.exp(self.shared[_cells(codes)]).astype(np.float64)
         p = np.stack([base, base])
         for n in range(SHARED + 1, ORDER + 1):
@@ -198,7 +207,9 @@ class Models:
         logs = np.log(p)
         logs[:, place == 0] = 0
         spelled = np.add.reduceat(logs, starts, axis=1)
-        whole = self._whole(codes, grams)
+        whole = self._whole(codes, grams[1])
+        if not len(self.words):
+            return spelled[1] - spelled[0]
         i = np.minimum(np.searchsorted(self.words, whole), len(self.words) - 1)
         share = np.where(self.words[i] == whole, self.word_share[:, i], 0)
         p = np.log(np.maximum(share + self.word_rest[:, None] * np.exp(spelled), 1e-300))
@@ -230,29 +241,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Classifier:
-    def __init__(self, rows: list[tuple[bool, list[str], list[int]]], shared: np.ndarray):
-        """rows: whether toxic, the distinct expressions and their uses, a row per document."""
-        toxic = np.array([r[0] for r in rows], bool)
-        held = np.zeros((len(rows), FEATURES))
-        halves = np.zeros(len(rows), int)
+    def __init__(self, toxic: np.ndarray, words: list[str], codes: list[np.ndarray], uses: list[np.ndarray], shared: np.ndarray):
+        """toxic: of each document; words: the sample's; codes and uses: a document's words."""
+        held = np.zeros((len(toxic), FEATURES))
+        halves = np.zeros(len(toxic), int)
         for c in (False, True):  # every second document of either class
             halves[np.flatnonzero(toxic == c)[::2]] = 1
         for half in (0, 1):
-            models = self._models([r for r, h in zip(rows, halves) if h != half], shared)
-            for i in np.flatnonzero(halves == half):
-                held[i] = features(models.scores(rows[i][1]), np.array(rows[i][2])) if rows[i][1] else 0
+            models = self._models(toxic, words, codes, shared, np.flatnonzero(halves != half))
+            some = np.flatnonzero(halves == half)
+            used = np.unique(np.concatenate([codes[i] for i in some]))
+            ratios = np.zeros(len(words))
+            for at in range(0, len(used), PIECE):
+                part = used[at : at + PIECE]
+                ratios[part] = models.scores([words[w] for w in part])
+            for i in some:
+                held[i] = features(ratios[codes[i]], uses[i])
+            del models
         self.known: dict[str, float] = {}
         self.weights = _logistic(held, toxic.astype(float))
-        self.models = self._models(rows, shared)
+        self.models = self._models(toxic, words, codes, shared, np.arange(len(toxic)))
 
     @staticmethod
-    def _models(rows, shared) -> Models:
-        totals = [Counter(), Counter()]
-        for toxic, words, uses in rows:
-            totals[toxic].update(words)  # documents, so that one that repeats itself counts once
-        words = sorted(totals[0].keys() | totals[1].keys()) or ["a"]
-        counts = np.array([[t[w] for w in words] for t in totals], np.float64)
-        return Models(words, counts, shared)
+    def _models(toxic, words, codes, shared, some) -> Models:
+        # A document counts once for each word, so one that repeats itself weighs no more.
+        counts = np.stack([
+            np.bincount(np.concatenate([np.zeros(0, np.int64), *(codes[i] for i in some if toxic[i] == c)]), minlength=len(words))
+            for c in (False, True)
+        ])
+        used = np.flatnonzero(counts.sum(0))
+        return Models([words[w] for w in used], counts[:, used].astype(np.float64), shared)
 
     def score(self, texts):
         """From 0 to 1 for each text; new expressions of many texts are scored together."""
@@ -290,8 +308,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
-    """labels: doc_id and toxic (boolean), each doc_id once."""
+def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
+    """A pickled classifier. labels: doc_id and toxic (boolean), each doc_id once."""
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return None
@@ -313,22 +331,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = once.mapInArrow(run, f"doc_id {kind}, toxic boolean, words array<string>, uses array<bigint>").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["words"].to_pylist(), got["uses"].to_pylist()))
-    rows = [r[1:] for r in rows]
-    if len({r[0] for r in rows}) < 2:
-        return None
-    return Classifier(rows, shared_counts(docs))
-
-
-def score(docs: DataFrame, classifier: Classifier | None, keep: list[str]) -> DataFrame:
+    sample = once.mapInArrow(run, f"doc_id {kind}, toxic boolean, words array<string>, uses array<bigint>")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_counts(docs))
+
+    def train(batches):
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        if not rows.num_rows:
+            return
+        rows = rows.take(pa.array(np.argsort(rows["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
+        toxic = rows["toxic"].to_numpy().astype(bool)
+        lists, uses = rows["words"].chunk(0), rows["uses"].chunk(0).flatten().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        # words in order, so that the model doesn't depend on the order of arrival
+        words = np.array(coded.dictionary.to_pylist(), object)
+        order = np.argsort(words, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        cuts = np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]
+        codes = np.split(place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), cuts)
+        if not toxic.any() or toxic.all() or not len(words):
+            return
+        model = Classifier(toxic, words[order].tolist(), codes, np.split(uses.astype(np.float64), cuts), shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample's size is bounded, so one task may fit the models; the driver passes them on.
+    got = sample.repartition(1).mapInArrow(train, "model binary").collect()
+    return bytes(got[0][0]) if got else None
+
+
+def score(docs: DataFrame, classifier: bytes | None, keep: list[str]) -> DataFrame:
     """The columns of keep and toxicity, from 0 to 1."""
     schema = T.StructType([docs.schema[c] for c in keep]).add("toxicity", T.DoubleType())
     n = len(keep)
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches):
-        model = sent.value
+        model = pickle.loads(sent.value) if sent.value else None
         for batch in batches:
             texts = (t.as_py() for t in batch.column(n))
             found = model.score(texts) if model else [0.0] * batch.num_rows

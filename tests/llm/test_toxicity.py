@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -34,7 +35,7 @@ def test_learns_rows_and_odd_ones(spark):
     tail = [r.toxicity >= 0.5 for r in got[-len(odd) :]]
     assert tail == [False, False, True, False, False, True, False]
     again = t.fit(docs.repartition(3), t.training_labels(labels))
-    assert np.allclose(again.weights, model.weights)
+    assert np.allclose(pickle.loads(again).weights, pickle.loads(model).weights)
     assert t.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
@@ -53,9 +54,8 @@ def test_spelling_probabilities_sum_to_one():
     models = t.Models(words, np.array([[3, 1, 0, 2, 5, 1], [0, 4, 2, 1, 0, 3]], float), shared)
     for n in range(t.SHARED + 1, t.ORDER + 1):
         context, rest = models.rest[n]
-        _, _, _ = models.keys[n], models.share[n], rest
         codes, _, place = t._layout(words)
-        grams = t._grams(codes)
+        grams = list(t._grams(codes))
         usable = np.flatnonzero(place + 1 >= n)
         of = {}
         for i in usable:
