@@ -4,7 +4,10 @@ Sizes are words per document, summed per source. Targets follow from a water lev
 source gets level x weight words, at most MAX_REPEATS times what it has, and the level is
 the one at which the targets add up to all words. A source's rate is target / size. Each
 document is taken floor(rate) times, plus once more if a coin seeded by its own content
-falls below the rate's fraction.
+falls below the rate's fraction. Coins fall into BINS bins, and the fraction is moved to the
+border of bins at which the words drawn come nearest to the target: with many documents that
+is a matter of sampling noise only, with few or very long ones it keeps the mix near its
+targets.
 
 Nulls, empty texts and empty tables: a null or empty text has size 0 and is never taken;
 null is a source of its own, after all others; an empty table gives an empty mix. Repeated
@@ -26,15 +29,23 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
 #: Parts that a source's documents are dealt to where that table is joined by a shuffle.
 SALTS = 64
+#: Bins of a source's coins; words are summed per bin.
+BINS = 4096
 
 
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
+def coin_bins(docs: DataFrame, seed) -> DataFrame:
+    """source, bin and words: the sizes of each source's documents, by the bin of their coin."""
+    each = docs.select("source", coin_bin(seed).alias("bin"), word_count(F.col("text")).alias("size"))
+    return each.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+
+
+def source_targets(bins: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
     """One row per source: source, source_size, target and rate."""
-    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    sizes = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
     # One row per source from here on; the windows below run over sources, not documents.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(w)) for w in weights])
@@ -75,40 +86,56 @@ def source_targets(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) ->
     )
 
 
-def coin(seed=SEED):
-    """A number from 0 to 1, fixed by the document's id and text."""
+def coin_bin(seed=SEED):
+    """The bin of a document's coin, fixed by its id and text."""
     own = F.concat(
         F.lit(seed + "|"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
         F.lit("|"),
         F.coalesce(F.col("text"), F.lit("")),
     )
-    return F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+    return F.pmod(F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long"), F.lit(BINS)).cast("int")
+
+
+def source_plan(bins: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """source_targets() with last_bin, up to which coins give one more copy (null: none)."""
+    targets = source_targets(bins, weights, max_repeats).withColumnRenamed("source", "__qn_name")
+    named = bins.join(targets, F.col("source").eqNullSafe(F.col("__qn_name")))
+    # at most BINS rows of a source in a window
+    earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("words").over(earlier), F.lit(0))
+    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
+    # a bin is drawn if that brings the words nearer to what is wanted
+    drawn = F.when(before + F.col("words") / 2 <= wanted, F.col("bin"))
+    columns = ("source", "source_size", "target", "rate")
+    return named.select(*columns, drawn.alias("drawn")).groupBy(*columns).agg(F.max("drawn").alias("last_bin"))
 
 
 def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED):
     """The columns of keep with _size, _source_size, _target and _copies, a row per document."""
-    targets = cut(source_targets(docs, weights, max_repeats)).select(
+    bins = cut(coin_bins(docs, seed))
+    targets = cut(source_plan(bins, weights, max_repeats)).select(
         F.col("source").alias("__qn_source"),
         F.col("source_size").alias("__qn_source_size"),
         F.col("target").alias("__qn_target"),
         F.col("rate").alias("__qn_rate"),
+        F.col("last_bin").alias("__qn_last"),
     )
     side = broadcast_if_small(targets, BROADCAST_SOURCES)
     sized = docs.select(
         *[F.col(c) for c in keep],
         F.col("source").alias("__qn_of"),
         word_count(F.col("text")).alias("__qn_size"),
-        coin(seed).alias("__qn_coin"),
+        coin_bin(seed).alias("__qn_bin"),
     )
     same = F.col("__qn_of").eqNullSafe(F.col("__qn_source"))
     if side is targets:  # too many sources to broadcast: deal each to SALTS parts
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__qn_part")
         side = targets.select("*", salts)
-        sized = sized.withColumn("__qn_deal", F.pmod(F.xxhash64("__qn_coin"), F.lit(SALTS)).cast("int"))
+        sized = sized.withColumn("__qn_deal", F.pmod(F.xxhash64("__qn_bin"), F.lit(SALTS)).cast("int"))
         same = same & (F.col("__qn_deal") == F.col("__qn_part"))
-    whole = F.floor("__qn_rate")
-    copies = whole + (F.col("__qn_coin") < F.col("__qn_rate") - whole).cast("long")
+    once_more = F.coalesce(F.col("__qn_bin") <= F.col("__qn_last"), F.lit(False))
+    copies = F.floor("__qn_rate") + once_more.cast("long")
     return (
         sized.join(side, same, "left")
         .withColumn("__qn_copies", F.when(F.col("__qn_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
@@ -139,7 +166,9 @@ def op10_mixing(spark, sf_dir):
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, text,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT
+           % 4096 AS bin
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn FROM s),
@@ -153,12 +182,13 @@ l AS (
   WINDOW b AS (ORDER BY fill NULLS FIRST, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(most::DOUBLE, (max(level) OVER ()) * weight) AS target FROM l),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END AS rate FROM t),
+n AS (SELECT source, bin, sum(size)::BIGINT AS words FROM d GROUP BY source, bin),
 c AS (
-  SELECT d.doc_id, d.size, q.source_size, q.target, q.rate,
-    ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '') || '|' || coalesce(d.text, '')), 1, 13))::BIGINT
-      / 4503599627370496.0::DOUBLE AS coin
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+  SELECT n.source, n.bin, n.words, q.target - floor(q.rate) * q.source_size AS wanted,
+    coalesce(sum(n.words) OVER (PARTITION BY n.source ORDER BY n.bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source),
+z AS (SELECT source, max(bin) FILTER (before::DOUBLE + words / 2.0::DOUBLE <= wanted) AS last_bin FROM c GROUP BY source)
 SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c
+  (size * (floor(rate) + CASE WHEN bin <= last_bin THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN z ON d.source IS NOT DISTINCT FROM z.source
 """
