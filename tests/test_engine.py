@@ -253,3 +253,61 @@ def test_sample(engine):
     with pytest.raises(ConstraintProblem):
         engine.sql("INSERT INTO goods VALUES (1000000, 'x', 0, 1.0)")
     assert engine.sql("INSERT INTO notes (client_id, note) VALUES (NULL, 'hello') RETURNING note_id").first()[0] == 1
+
+
+NUMBERS = ("smallint", "integer", "bigint", "real", "double precision", "numeric")
+
+
+def test_numbers_fit_every_numeric_column(engine):
+    columns = ", ".join(f"c{i} {n}" for i, n in enumerate(NUMBERS))
+    engine.sql(f"CREATE TABLE n ({columns})")
+    engine.sql("INSERT INTO n VALUES (1.75, 2.75, 3.75, 4.75, 5, 6.5)")
+    engine.sql("INSERT INTO n SELECT c5, c4, c3, c2, c1, c0 FROM n")
+    got = sorted(tuple(map(float, r)) for r in rows(engine.sql("SELECT * FROM n")))
+    # fractions are cut off towards zero
+    assert got == [(1, 2, 3, 4.75, 5, 6.5), (6, 5, 4, 3, 2, 1)]
+    for i, big in ((0, "32768"), (1, "2147483648"), (2, "1e19"), (0, "-40000")):
+        with pytest.raises(Exception, match="OVERFLOW|out of range|NUMERIC_VALUE"):
+            engine.sql(f"INSERT INTO n (c{i}) VALUES ({big})")
+    assert engine.sql("SELECT count(*) AS n FROM n").first()[0] == 2
+
+
+@pytest.mark.parametrize("low", range(len(NUMBERS)))
+def test_promotion_is_symmetric(engine, low):
+    from quillon import types
+
+    for high in range(low, len(NUMBERS)):
+        a, b = types.spark_type(NUMBERS[low]), types.spark_type(NUMBERS[high])
+        assert types.promoted(a, b) == types.promoted(b, a) == b
+    with pytest.raises(TypeProblem):
+        types.promoted(types.TEXT, types.INTEGER)
+
+
+def test_timestamps_are_read_from_text(engine):
+    engine.sql("CREATE TABLE m (at timestamp with time zone)")
+    engine.sql("INSERT INTO m VALUES ('2020-02-29'), ('2020-02-29 12:30:00+02'), (NULL)")
+    got = [r[0] for r in rows(engine.sql("SELECT at FROM m ORDER BY at"))]
+    assert got == [datetime.datetime(2020, 2, 29), datetime.datetime(2020, 2, 29, 10, 30), None]
+    assert rows(engine.sql("SELECT count(*) AS n FROM m WHERE at > '2020-02-29 01:00:00+00'")) == [(1,)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        engine.sql("INSERT INTO m VALUES ('soon')")
+
+
+def test_every_join_kind_and_plan(engine):
+    a, b = "(VALUES (1), (2), (NULL)) a(n)", "(VALUES (2), (3), (NULL)) b(n)"
+    got = {k: sorted(rows(engine.sql(f"SELECT a.n AS x, b.n AS y FROM {a} {k} JOIN {b} ON a.n = b.n")), key=str) for k in ("", "LEFT", "RIGHT", "FULL OUTER")}
+    assert got[""] == [(2, 2)] and got["LEFT"] == [(1, None), (2, 2), (None, None)]
+    assert got["RIGHT"] == [(2, 2), (None, 3), (None, None)] and len(got["FULL OUTER"]) == 5
+    assert engine.sql(f"SELECT a.n AS x, b.n AS y FROM {a} CROSS JOIN {b}").count() == 9
+    plan = engine.explained("SELECT o.o_orderkey FROM orders o, lineitem l WHERE l.l_orderkey = o.o_orderkey")
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ambiguity_and_scopes(engine):
+    with pytest.raises(NameProblem, match="ambiguous"):
+        engine.sql("SELECT n FROM (VALUES (1)) a(n), (VALUES (2)) b(n)")
+    assert rows(engine.sql("SELECT a.n AS x, b.n AS y FROM (VALUES (1)) a(n), (VALUES (2)) b(n)")) == [(1, 2)]
+    # an alias of the select list comes before an input column in GROUP BY and ORDER BY
+    assert sorted(rows(engine.sql("SELECT n / 2 AS n, count(*) AS c FROM (VALUES (1), (2), (3)) v(n) GROUP BY n"))) == [(0, 1), (1, 2)]
+    assert rows(engine.sql("SELECT -n AS n FROM (VALUES (1), (3), (2)) v(n) ORDER BY n LIMIT 1")) == [(-3,)]
+    assert rows(engine.sql("SELECT x FROM (SELECT n + 1 AS x FROM (VALUES (1)) v(n)) s WHERE s.x > 1")) == [(2,)]

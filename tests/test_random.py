@@ -1,0 +1,48 @@
+"""Random expressions over rows with nulls, against DuckDB."""
+
+import duckdb
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from quillon.session import Engine
+
+VALUES = "(VALUES (1, 5, TRUE, 'ab'), (2, NULL, FALSE, 'b'), (3, -3, NULL, NULL), (4, 0, TRUE, 'aB%'), (5, 7, FALSE, '')) v(id, n, b, t)"
+
+numbers = st.deferred(
+    lambda: st.sampled_from(["id", "n", "2", "-3", "0"])
+    | st.tuples(numbers, st.sampled_from("+-*"), numbers).map(lambda x: f"({x[0]} {x[1]} {x[2]})")
+    | st.tuples(conditions, numbers, numbers).map(lambda x: f"CASE WHEN {x[0]} THEN {x[1]} ELSE {x[2]} END")
+    | numbers.map(lambda x: f"coalesce({x}, 1)")
+)
+texts = st.deferred(lambda: st.sampled_from(["t", "'a'", "'B'"]) | st.tuples(texts, texts).map(lambda x: f"({x[0]} || {x[1]})"))
+conditions = st.deferred(
+    lambda: st.sampled_from(["b", "TRUE", "FALSE"])
+    | st.tuples(numbers, st.sampled_from(["=", "<>", "<", "<=", ">", ">="]), numbers).map(lambda x: f"({x[0]} {x[1]} {x[2]})")
+    | st.tuples(numbers, numbers, numbers).map(lambda x: f"({x[0]} BETWEEN {x[1]} AND {x[2]})")
+    | st.tuples(texts, st.sampled_from(["LIKE", "NOT LIKE", "ILIKE"]), st.sampled_from(["'a%'", "'_b%'", "'%'"])).map(lambda x: f"({x[0]} {x[1]} {x[2]})")
+    | st.tuples(numbers, numbers).map(lambda x: f"({x[0]} IS DISTINCT FROM {x[1]})")
+    | st.tuples(conditions, st.sampled_from(["IS TRUE", "IS NOT FALSE", "IS NULL", "IS NOT NULL"])).map(lambda x: f"({x[0]} {x[1]})")
+    | st.tuples(conditions, st.sampled_from(["AND", "OR"]), conditions).map(lambda x: f"({x[0]} {x[1]} {x[2]})")
+    | conditions.map(lambda x: f"(NOT {x})")
+)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(numbers, min_size=4, max_size=8), st.lists(conditions, min_size=4, max_size=8), st.lists(texts, min_size=1, max_size=3), conditions)
+def test_expressions(spark, some, tests, words, where):
+    items = ", ".join(f"{e} AS c{i}" for i, e in enumerate([*some, *tests, *words]))
+    text = f"SELECT id, {items} FROM {VALUES} WHERE {where} OR id = 1 ORDER BY id"
+    want = duckdb.sql(text).fetchall()
+    assert [tuple(r) for r in Engine(spark).sql(text).collect()] == want
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["id % 2", "n", "b", "n > 1"]), min_size=0, max_size=2, unique=True), conditions, st.sampled_from(["", " HAVING count(*) > 1"]))
+def test_grouping(spark, keys, where, having):
+    keys = [k.replace("id % 2", "id / 2") for k in keys]
+    named = "".join(f"{k} AS k{i}, " for i, k in enumerate(keys))
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    aggregates = "count(*) AS a, count(n) AS c, min(n) AS d, max(t) AS e, CAST(sum(n) AS bigint) AS f, max(n) - min(id) AS g"
+    text = f"SELECT {named}{aggregates} FROM {VALUES} WHERE {where}{group}{having if keys else ''}"
+    want = duckdb.sql(text.replace("id / 2", "id // 2")).fetchall()
+    assert sorted(map(str, (tuple(r) for r in Engine(spark).sql(text).collect()))) == sorted(map(str, want))
