@@ -38,6 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that go to Python at once.
+BATCH = 4 << 20
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """df, about to be sent to Python: lowers the session's limit on the bytes of a batch.
+
+    Spark's default lets ten thousand rows or 64 MB go at once, which long texts turn into
+    several copies of that in an executor and its worker.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(conf.get(name).rstrip("b")) > BATCH:
+        conf.set(name, f"{BATCH}b")
+    return df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import broadcast_if_small, cut, table
+from quillon.llm.common import broadcast_if_small, cut, for_python, table
 from quillon.llm.url_filter import url_host
 
 #: The share of a page's good text that its chosen container holds at least.
@@ -235,7 +235,7 @@ def votes(pages: DataFrame) -> DataFrame:
             paths = pa.array([p if ok else None for p, ok in got], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), paths], names=["host", "path"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string").filter("path is not null")
+    return for_python(pages.select("host", "html")).mapInArrow(run, "host string, path string").filter("path is not null")
 
 
 def winners(pages: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
             texts = [Page(h.as_py() or "").main_text(w.as_py()) for h, w in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*keep, "main_text"])
 
-    return joined.mapInArrow(run, schema)
+    return for_python(joined).mapInArrow(run, schema)
 
 
 def op1_html_extract(spark, sf_dir):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table
+from quillon.llm.common import for_python, table
 
 DIMS = 4096
 CLUSTERS = 3
@@ -154,7 +154,7 @@ def fit(rows: DataFrame) -> Model | None:
             packed = [None if f is None else f.tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["lang", "x"])
 
-    got = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").filter("x is not null").collect()
+    got = for_python(sample.select("lang", "text")).mapInArrow(run, "lang string, x binary").filter("x is not null").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # rows arrive in no fixed order
@@ -178,7 +178,7 @@ def identify(
             new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=schema.fieldNames())
 
-    return docs.select(*keep, F.col("text").alias("__qn_judged")).mapInArrow(run, schema)
+    return for_python(docs.select(*keep, F.col("text").alias("__qn_judged"))).mapInArrow(run, schema)
 
 
 def recognised(docs: DataFrame) -> DataFrame:

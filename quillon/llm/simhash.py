@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import broadcast_if_small, cut, table
+from quillon.llm.common import broadcast_if_small, cut, for_python, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple = ("doc_id
             columns = [*batch.columns[:n], pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp"])
 
-    return docs.select(*keep, F.col("text").alias("__qn_text")).mapInArrow(run, schema)
+    return for_python(docs.select(*keep, F.col("text").alias("__qn_text"))).mapInArrow(run, schema)
 
 
 def _star(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import cut, fresh_path, remove_path, table
+from quillon.llm.common import cut, for_python, fresh_path, remove_path, table
 
 #: Tokens in a block of the scan.
 BLOCK = 1 << 20
@@ -98,7 +98,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sep
         if sink is not None:
             sink.close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return for_python(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def blocks(spark: SparkSession, folder: str, files: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, for_python, table
 
 #: Labelled rows of each class (ordinary, toxic) that the models are fitted on, about.
 SAMPLE = (4000, 2500)
@@ -114,7 +114,7 @@ def shared_counts(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "cell bigint, n bigint")
+    parts = for_python(docs.select("text")).mapInArrow(run, "cell bigint, n bigint")
     table_ = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << (FOLD * SHARED), np.float32)
     counts[table_["cell"].to_numpy()] = table_["n"].to_numpy()
@@ -331,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = once.mapInArrow(run, f"doc_id {kind}, toxic boolean, words array<string>, uses array<bigint>")
+    sample = for_python(once).mapInArrow(run, f"doc_id {kind}, toxic boolean, words array<string>, uses array<bigint>")
     shared = docs.sparkSession.sparkContext.broadcast(shared_counts(docs))
 
     def train(batches):
@@ -372,7 +372,7 @@ def score(docs: DataFrame, classifier: bytes | None, keep: list[str]) -> DataFra
             found = model.score(texts) if model else [0.0] * batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.float64())], names=[*keep, "toxicity"])
 
-    return docs.select(*keep, F.col("text").alias("__qn_scored")).mapInArrow(run, schema)
+    return for_python(docs.select(*keep, F.col("text").alias("__qn_scored"))).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark, sf_dir):
