@@ -250,7 +250,7 @@ class Classifier:
         for half in (0, 1):
             models = self._models(toxic, words, codes, shared, np.flatnonzero(halves != half))
             some = np.flatnonzero(halves == half)
-            used = np.unique(np.concatenate([codes[i] for i in some]))
+            used = np.unique(np.concatenate([np.zeros(0, np.int64), *(codes[i] for i in some)]))
             ratios = np.zeros(len(words))
             for at in range(0, len(used), PIECE):
                 part = used[at : at + PIECE]
@@ -270,6 +270,7 @@ class Classifier:
             for c in (False, True)
         ])
         used = np.flatnonzero(counts.sum(0))
+        used = used if len(used) else np.zeros(1, np.int64)  # a word that no document uses
         return Models([words[w] for w in used], counts[:, used].astype(np.float64), shared)
 
     def score(self, texts):
