@@ -21,7 +21,6 @@ Repeated rows are judged alike and learned from once per doc_id. Extra columns a
 from __future__ import annotations
 
 import sys
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,8 @@ CLUSTERS = 3
 ROUNDS = 8
 SAMPLE = 4000
 LANGUAGES = 500
+#: No code point from here on is a letter (Unicode has assigned none beyond this plane).
+LETTERS = 0x40000
 #: Longer texts are counted in pieces of so many characters that overlap by two.
 PIECE = 1 << 20
 #: The limit of a language, as a share of the cosine that one in a hundred of its training
@@ -44,16 +45,22 @@ LIMIT_SHARE = 0.25
 UNKNOWN = "und"
 
 
-@lru_cache(1)
-def _folded() -> np.ndarray:
+class _Folded:
     """For each code point: its lower case if it is a letter, a space otherwise."""
-    lut = np.full(sys.maxunicode + 1, 32, np.uint32)
-    for c in range(sys.maxunicode + 1):
-        x = chr(c)
-        if x.isalpha():
-            low = x.lower()
-            lut[c] = ord(low) if len(low) == 1 else c
-    return lut
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def get(cls) -> np.ndarray:
+        if cls.table is None:
+            lut = np.full(sys.maxunicode + 1, 32, np.uint32)
+            for c in range(LETTERS):
+                x = chr(c)
+                if x.isalpha():
+                    low = x.lower()
+                    lut[c] = ord(low) if len(low) == 1 else c
+            cls.table = lut
+        return cls.table
 
 
 def _grams(text: str) -> np.ndarray | None:
@@ -62,7 +69,7 @@ def _grams(text: str) -> np.ndarray | None:
     mix = np.uint32(2654435761)
     for at in range(0, len(text), PIECE):
         piece = text[max(0, at - 2) : at + PIECE] if at else text[:PIECE]
-        a = _folded()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")]
+        a = _Folded.get()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")]
         letter = a != 32
         if not letter.any():
             continue

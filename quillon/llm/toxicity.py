@@ -273,6 +273,18 @@ class Classifier:
         used = used if len(used) else np.zeros(1, np.int64)  # a word that no document uses
         return Models([words[w] for w in used], counts[:, used].astype(np.float64), shared)
 
+    def packed(self) -> bytes:
+        """Its arrays, without any class of this package."""
+        return pickle.dumps((self.weights, vars(self.models)))
+
+    @classmethod
+    def unpacked(cls, state: bytes) -> Classifier:
+        found, models = cls.__new__(cls), Models.__new__(Models)
+        found.weights, values = pickle.loads(state)
+        vars(models).update(values)
+        found.models, found.known = models, {}
+        return found
+
     def score(self, texts):
         """From 0 to 1 for each text; new expressions of many texts are scored together."""
         out: list[float] = []
@@ -310,7 +322,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
-    """A pickled classifier. labels: doc_id and toxic (boolean), each doc_id once."""
+    """A packed classifier. labels: doc_id and toxic (boolean), each doc_id once."""
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return None
@@ -353,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
         if not toxic.any() or toxic.all() or not len(words):
             return
         model = Classifier(toxic, words[order].tolist(), codes, np.split(uses.astype(np.float64), cuts), shared.value)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
 
     # The sample's size is bounded, so one task may fit the models; the driver passes them on.
     got = sample.repartition(1).mapInArrow(train, "model binary").collect()
@@ -367,7 +379,7 @@ def score(docs: DataFrame, classifier: bytes | None, keep: list[str]) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches):
-        model = pickle.loads(sent.value) if sent.value else None
+        model = Classifier.unpacked(sent.value) if sent.value else None
         for batch in batches:
             texts = (t.as_py() for t in batch.column(n))
             found = model.score(texts) if model else [0.0] * batch.num_rows

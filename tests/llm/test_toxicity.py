@@ -1,4 +1,3 @@
-import pickle
 import random
 
 import numpy as np
@@ -35,7 +34,7 @@ def test_learns_rows_and_odd_ones(spark):
     tail = [r.toxicity >= 0.5 for r in got[-len(odd) :]]
     assert tail == [False, False, True, False, False, True, False]
     again = t.fit(docs.repartition(3), t.training_labels(labels))
-    assert np.allclose(pickle.loads(again).weights, pickle.loads(model).weights)
+    assert np.allclose(t.Classifier.unpacked(again).weights, t.Classifier.unpacked(model).weights)
     assert t.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
