@@ -104,24 +104,24 @@ class Mutations:
         made = []
         for name, expr in changes:
             column = table.column(name)
-            bound = self.stored(self.planner.binder.bind(expr, scope), column)
-            made.append((column, self.planner.columns.make(bound).cast(column.type)))
+            made.append((column, self.stored(self.planner.binder.bind(expr, scope), column)))
+        make = self.planner.columns.make
         names = [c.name for c in table.columns]
         if not statement.sources:
             files = [r[0] for r in hits.select("__file").distinct().collect()]
-            relation = self.target(table, statement, files)
             uids = [f.uid for f in scope.fields]
-            inside = relation.df.toDF(*uids, *PLACE)
-            where = None
+            inside = self.target(table, statement, files).df.toDF(*uids, *PLACE)
+            where = F.lit(True)
             if statement.where is not None:
                 bound = self.planner.binder.boolean(self.planner.binder.bind(statement.where, scope))
-                where = F.coalesce(self.planner.columns.make(bound), F.lit(False))
-            new = {c.name: value for c, value in made}
-            rows = inside if where is None else inside.filter(where)
-            rest = inside.limit(0) if where is None else inside.filter(~where)
-            changed = rows.select(*[new.get(n, F.col(u)).alias(n) for n, u in zip(names, uids)])
-            return files, changed, rest.select(*[F.col(u).alias(n) for n, u in zip(names, uids)])
-        values = F.struct(*[v.alias(f"v{i}") for i, (_, v) in enumerate(made)], F.lit(0).alias("none"))
+                where = F.coalesce(make(bound), F.lit(False))
+            new = {c.name: e for c, e in made}
+            items = [(n, new.get(n, Col(f.uid, f.type))) for n, f in zip(names, scope.fields)]
+            rows, items = self.planner.numbered(inside.filter(where), items)
+            changed = rows.select(*[make(e).cast(c.type).alias(n) for (n, e), c in zip(items, table.columns)])
+            rest = inside.filter(~where).select(*[F.col(u).alias(n) for n, u in zip(names, uids)])
+            return files, changed, rest
+        values = F.struct(*[make(e).cast(c.type).alias(f"v{i}") for i, (c, e) in enumerate(made)], F.lit(0).alias("none"))
         once = hits.select(*PLACE, values.alias("__new")).groupBy(*PLACE).agg(F.min("__new").alias("__new"))
         once = self.engine.spark.read.parquet(storage.write_segment(once))
         files = [r[0] for r in once.select("__file").distinct().collect()]

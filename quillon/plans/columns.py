@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon import types
+from quillon.errors import TypeProblem
 from quillon.plans.bound import Agg, Col, Const, Op
 
 
@@ -73,6 +74,8 @@ class Columns:
                 return x > y
             case ">=", [x, y]:
                 return x >= y
+        if op.startswith("nextval:"):
+            raise TypeProblem("nextval() stands in select lists, inserted values and SET without FROM only")
         raise TypeError(op)
 
     def aggregate(self, agg: Agg) -> Column:

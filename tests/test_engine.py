@@ -311,3 +311,13 @@ def test_ambiguity_and_scopes(engine):
     assert sorted(rows(engine.sql("SELECT n / 2 AS n, count(*) AS c FROM (VALUES (1), (2), (3)) v(n) GROUP BY n"))) == [(0, 1), (1, 2)]
     assert rows(engine.sql("SELECT -n AS n FROM (VALUES (1), (3), (2)) v(n) ORDER BY n LIMIT 1")) == [(-3,)]
     assert rows(engine.sql("SELECT x FROM (SELECT n + 1 AS x FROM (VALUES (1)) v(n)) s WHERE s.x > 1")) == [(2,)]
+
+
+def test_sequences_in_updates(engine):
+    engine.script("CREATE SEQUENCE s; CREATE TABLE q (a integer, b bigint); INSERT INTO q VALUES (1, 0), (2, 0), (3, 0)")
+    engine.sql("UPDATE q SET b = nextval('s') * 10 WHERE a > 1")
+    assert sorted(rows(engine.sql("SELECT b FROM q"))) == [(0,), (10,), (20,)]
+    with pytest.raises(TypeProblem):
+        engine.sql("SELECT a FROM q WHERE nextval('s') > 1")
+    engine.sql("UPDATE q SET b = NULL")
+    assert rows(engine.sql("SELECT count(b) AS n, count(*) AS m FROM q")) == [(0, 3)]
