@@ -64,7 +64,7 @@ ENDS = {
 #: Words of class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
-    "navbar navigation footer header masthead comment comments disqus respond replies cookie cookies consent gdpr "
+    "navbar navigation sidenav submenu menubar topbar aside footer header masthead comment comments disqus respond replies cookie cookies consent gdpr "
     "notice alert popup modal overlay share sharing social related recommended breadcrumb breadcrumbs newsletter "
     "subscribe signup login toolbar pagination pager search complementary contentinfo".split()
 )

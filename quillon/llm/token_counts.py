@@ -101,7 +101,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sep
     return for_python(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
-def blocks(spark: SparkSession, folder: str, files: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+def blocks(
+    spark: SparkSession, folder: str, files: DataFrame, width: int = WIDTH, block: int = BLOCK, separator: int = SEPARATOR
+) -> DataFrame:
     """file, block and the scan of each block of the files (column file) under folder."""
 
     def sizes(batches):
@@ -116,7 +118,7 @@ def blocks(spark: SparkSession, folder: str, files: DataFrame, width: int = WIDT
     each = sized.select("file", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
     schema = "file string, block bigint, head bigint, tail bigint, separators bigint, inner array<bigint>"
 
-    def scan(batches, separator=SEPARATOR):
+    def scan(batches):
         system, root = _open(folder)
         for batch in batches:
             for file, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
