@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from quillon.catalog import Catalog
 from quillon.dialect import syntax as s
-from quillon.dialect.lexer import statements
+from quillon.dialect.lexer import statements, tokens
 from quillon.dialect.parser import parse
-from quillon.errors import NameProblem, SyntaxProblem
+from quillon.errors import NameProblem
 from quillon.functions import registry
 from quillon.operators.constraints import Constraints
 from quillon.operators.definition import Definitions
@@ -87,10 +87,6 @@ class Engine:
     def script(self, text: str) -> list[DataFrame]:
         """Runs every statement of a script."""
         found, rest = statements(text)
-        if rest.strip():
-            try:
-                found.append(rest) if parse(rest) else None
-            except SyntaxProblem:
-                if [line for line in rest.splitlines() if line.split("--")[0].strip()]:
-                    raise
+        if tokens(rest)[0].kind != "end":
+            found.append(rest)
         return [self.sql(one) for one in found]
