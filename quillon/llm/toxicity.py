@@ -100,19 +100,25 @@ def shared_counts(docs: DataFrame) -> np.ndarray:
     """Counts of the shared cells over all documents, as a dense table."""
 
     def run(batches):
-        total = np.zeros(1 << (FOLD * SHARED), np.int64)
+        total = np.zeros(1 << (FOLD * SHARED))  # whole numbers, exact far beyond any corpus
+        seen: Counter = Counter()
+
+        def settle():
+            codes, _, place = _layout(list(seen))
+            weights = np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), [len(w) + 2 for w in seen])
+            usable = place > 0
+            total[:] += np.bincount(_cells(codes)[usable], weights[usable], len(total))
+            seen.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                seen: Counter = Counter()
-                for t in batch.column(0).slice(at, 256).to_pylist():
-                    seen.update(expressions(t))
-                if seen:
-                    codes, _, place = _layout(list(seen))
-                    weights = np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), [len(w) + 2 for w in seen])
-                    usable = place > 0
-                    total += np.bincount(_cells(codes)[usable], weights[usable], len(total)).astype(np.int64)
+            for t in batch.column(0):
+                seen.update(expressions(t.as_py()))
+                if len(seen) >= 4 * PIECE:
+                    settle()
+        if seen:
+            settle()
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
 
     parts = for_python(docs.select("text")).mapInArrow(run, "cell bigint, n bigint")
     table_ = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
