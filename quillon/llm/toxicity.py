@@ -47,7 +47,7 @@ MARGINS = (1.0, 2.5, 4.0)
 #: Expressions scored at once.
 PIECE = 50_000
 #: Expressions whose scores a worker remembers before it starts afresh.
-KNOWN = 300_000
+KNOWN = 800_000
 
 EXPRESSION = re.compile(r"[^\W\d_]+")
 FEATURES = 3 + len(MARGINS)
@@ -382,10 +382,14 @@ def score(docs: DataFrame, classifier: bytes | None, keep: list[str]) -> DataFra
     """The columns of keep and toxicity, from 0 to 1."""
     schema = T.StructType([docs.schema[c] for c in keep]).add("toxicity", T.DoubleType())
     n = len(keep)
-    sent = docs.sparkSession.sparkContext.broadcast(classifier)
+    # A worker keeps what it has unpacked, and the expressions it has scored, with the broadcast.
+    sent = docs.sparkSession.sparkContext.broadcast({"packed": classifier})
 
     def run(batches):
-        model = Classifier.unpacked(sent.value) if sent.value else None
+        held = sent.value
+        if held["packed"] and "model" not in held:
+            held["model"] = Classifier.unpacked(held["packed"])
+        model = held.get("model")
         for batch in batches:
             texts = (t.as_py() for t in batch.column(n))
             found = model.score(texts) if model else [0.0] * batch.num_rows
