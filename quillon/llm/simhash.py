@@ -69,19 +69,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of every word shingle of a whole text, in its order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(shingle, len(words))
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    n, ones = len(words) - size + 1, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a whole text."""
+    hashes = shingle_hashes(text, shingle)
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -220,16 +225,26 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group: that of the smallest doc_id (null last), then of least digest."""
+    found = lambda marked: fingerprints(marked, shingle, ("doc_id", "__qn_digest"))
+    return one_of_each(docs, found, lambda prints, _: _classes(prints, radius).select("fp", "root"))
+
+
+def one_of_each(docs: DataFrame, found, classed) -> DataFrame:
     """One row of each group: that of the smallest doc_id (null last), then of least digest.
 
+    found gives fp, equal for copies, for the rows of docs with __qn_digest; classed gives
+    the root of each fp from those and the rows.
+
     Rows are told apart by doc_id and a digest of all columns; of rows equal in all of them
     one stays. Texts are only shuffled if more than BROADCAST_GONE rows go: the keys of those
     that go are joined to the documents, not the documents to each other.
     """
     digest = F.xxhash64(*[F.col(c) for c in docs.columns if c != "doc_id"])
     marked = docs.withColumn("__qn_digest", digest)
-    prints = cut(fingerprints(marked, shingle, ("doc_id", "__qn_digest")))
-    rooted = _classes(prints, radius).select("fp", "root")
+    prints = cut(found(marked))
+    rooted = classed(prints, marked)
+    prints = prints.select("doc_id", "__qn_digest", "fp")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__qn_digest").alias("of"))
     # The least of each fingerprint first: a hot one is reduced before any join.
     least = prints.groupBy("fp").agg(F.min(row).alias("__qn_row"))
