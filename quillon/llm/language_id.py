@@ -5,7 +5,8 @@ characters, hashed to DIMS columns; counts are damped, weighted by inverse docum
 frequency and scaled to length one. Each language is clustered into up to CLUSTERS
 centroids by spherical k-means. A text gets the language of the centroid of largest cosine,
 and is rejected when it has no letter or that cosine is below the language's own limit,
-which lies well under what its training texts reach.
+which lies well under what its training texts reach (letter junk and unlearned languages of
+the same alphabet reach less; near relatives and texts of a few letters can go either way).
 
 The centroids are fitted on a sample of about SAMPLE labelled rows in all, shared equally by
 the languages (a language with fewer rows gives all), chosen by a hash of doc_id; at most
@@ -41,7 +42,7 @@ LETTERS = 0x40000
 PIECE = 1 << 20
 #: The limit of a language, as a share of the cosine that one in a hundred of its training
 #: texts falls short of.
-LIMIT_SHARE = 0.25
+LIMIT_SHARE = 0.5
 UNKNOWN = "und"
 
 

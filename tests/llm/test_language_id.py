@@ -36,3 +36,23 @@ def test_pieces_count_the_whole_text(monkeypatch):
     monkeypatch.setattr(l, "PIECE", 64)
     pieces = l._grams(text)
     assert pieces.sum() >= whole.sum() and ((pieces > 0) >= (whole > 0)).all()
+
+
+def test_unlearned_languages_and_letter_junk_are_rejected(spark):
+    import base64
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = l.fit(l.training_rows(docs))
+    rng = random.Random(5)
+    junk = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)), base64.b64encode(rng.randbytes(200)).decode(), rng.randbytes(200).hex(),
+        "qqqq zzzz xxxx",
+    ]
+    assert [t for t in junk if not model.predict(t)[2]] == []
+    own = [model.predict(r.text) for r in docs.filter("length(text) > 12").limit(2000).collect()]
+    assert sum(rejected for _, _, rejected in own) <= 2
