@@ -3,10 +3,11 @@
 Each page is parsed once into blocks of text and the containers that hold them. A container
 scores the length of the good text below it (no boilerplate, few links); the page's choice is
 the deepest container with most of that text, lifted to the article or main element around
-it, and the page votes for that container's path: tags and first classes from the root, with
+it or, without one, to the highest container below body, and the page votes for that container's path: tags and first classes from the root, with
 digits generalised. Votes are counted per host in Spark. Each page is then parsed again and
 the text below all containers on its host's winning path is returned, or below the page's
-own choice if it has none of them.
+own choice if it has none of them. Without an article or main element, good blocks that stand
+in body itself belong to the text, too; containers beside the winning one in body don't.
 
 Left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 markup and reader comments, by element or by the words of class, id and role. Character
@@ -36,6 +37,8 @@ from quillon.llm.url_filter import url_host
 
 #: The share of a page's good text that its chosen container holds at least.
 MOST = 0.8
+#: Elements that hold a page's main text as a whole, and those that are the page itself.
+MAIN, WHOLE = ("article", "main"), ("", "html", "body")
 #: Blocks with a larger share of their text in links are no good text.
 LINKS = 0.5
 #: Winning paths are broadcast up to so many hosts (some 100 bytes each).
@@ -186,23 +189,29 @@ class Page:
                 container = len(self.paths) - 1
         flush()
 
-    def choice(self) -> int:
-        """The container that the page votes for."""
+    def core(self) -> int:
+        """The deepest container with most of the good text."""
         held = [0] * len(self.paths)
         for container, pieces, good in self.blocks:
             if good:
                 held[container] += sum(len(p.strip()) for p in pieces)
         for c in range(len(held) - 1, 0, -1):  # a parent stands before its children
             held[self.parents[c]] += held[c]
-        best = max((c for c in range(len(held)) if held[c] >= MOST * held[0]), default=0) if held[0] else 0
-        at, lifted = best, best
+        return max((c for c in range(len(held)) if held[c] >= MOST * held[0]), default=0) if held[0] else 0
+
+    def choice(self) -> int:
+        """The container that the page votes for."""
+        at = highest = self.core()
+        main = None
         while at:
-            if self.tags[at] in ("article", "main"):
-                lifted = at
+            if self.tags[at] in MAIN:
+                main = at
                 if self.tags[at] == "article":
                     break
+            if self.tags[at] not in WHOLE:
+                highest = at
             at = self.parents[at]
-        return lifted
+        return highest if main is None else main
 
     def path(self) -> tuple[str, int]:
         """The voted path and whether there is any text to vote with."""
@@ -213,12 +222,24 @@ class Page:
         chosen = {c for c, p in enumerate(self.paths) if p == winner}
         if not chosen:
             chosen = {self.choice()}
-        inside = [False] * len(self.paths)
-        for c in range(len(inside)):
-            inside[c] = c in chosen or (c > 0 and inside[self.parents[c]])
+        core, n = self.core(), len(self.paths)
+        inside, deep, main = [False] * n, [False] * n, [False] * n
+        for c in range(n):
+            up = self.parents[c]
+            inside[c] = c in chosen or (c > 0 and inside[up])
+            deep[c] = c == core or (c > 0 and deep[up])
+            main[c] = self.tags[c] in MAIN or (c > 0 and main[up])
+        # Around the container of most text, blocks of links are no part of a choice lifted
+        # from it, and titles and leads that stand in the page itself are one.
+        lifted = not any(main[c] for c in chosen)
+        strict = lifted and inside[core] and core not in chosen
         found = []
-        for container, pieces, _ in self.blocks:
+        for container, pieces, good in self.blocks:
             if inside[container]:
+                taken = good or deep[container] or not strict
+            else:
+                taken = good and lifted and self.tags[container] in WHOLE
+            if taken:
                 # references are decoded piece by piece, as no reference spans a tag
                 words = "".join(references.unescape(p) if "&" in p else p for p in pieces).split()
                 if words:

@@ -66,3 +66,13 @@ def test_query_against_a_plain_reading(spark):
         inner = re.sub(r"<[^>]*\Z", "", re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1)>", "\x01", inner.replace("<br>", " "))))
         want = " ".join(" ".join(html.unescape(b).split()) for b in inner.split("\x01") if b.split())
         assert (r.text, r.n_chars, r.url) == (want, len(want), pages[r.page_id].url)
+
+
+def test_titles_and_leads_around_most_of_the_text():
+    body = "good text " * 40
+    post = "<div class=post><h1>Title</h1><p class=lead>intro</p><div class=post-body><p>%s</p></div><p>end</p>%s</div>"
+    want = f"Title intro {body.strip()} end"
+    assert own("<body>" + post % (body, "")) == want
+    # links around the text are no part of it, and nothing else goes with them
+    assert own("<body><div class=page>" + post % (body, "<p><a href=x>one</a> <a href=y>two</a></p>") + "</div>") == want
+    assert own(f"<body><h1>Title</h1><p>intro</p><div class=post-body><p>{body}</p></div>") == f"Title intro {body.strip()}"
