@@ -10,7 +10,9 @@ own choice if it has none of them. Without an article or main element, good bloc
 in body itself belong to the text, too; containers beside the winning one in body don't.
 
 Left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-markup and reader comments, by element or by the words of class, id and role. Character
+markup and reader comments, by element or by the words of class, id and role. Words as in
+has-sidebar or comments-open, and those of article and main elements or of an element with
+most of the page's text, mark nothing, but reader comments and consent go always. Character
 references are decoded, white space within a block becomes one space, blocks are joined by
 one space in page order, and nothing else is dropped or capped.
 
@@ -64,6 +66,10 @@ ENDS = {
     "li": ("li", {"ul", "ol"}), "dt": ("dd", {"dl"}), "dd": ("dt", {"dl"}), "tr": ("tr", {"table"}),
     "td": ("td", {"tr", "table"}), "th": ("td", {"tr", "table"}),
 }
+#: Words that turn a mark after or before them into a property of something else.
+BEFORE, AFTER = frozenset("has no with without".split()), frozenset("open closed".split())
+#: Marks that hold however much of a page's text they have.
+ALWAYS = frozenset("comment comments disqus respond replies cookie cookies consent gdpr".split())
 #: Words of class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
@@ -81,13 +87,34 @@ ENDING = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 DIGITS = re.compile(r"[0-9]+")
 
 
+def marks(value: str) -> set[str]:
+    """The words of an attribute's value that mark boilerplate."""
+    found = set()
+    for name in value.split():
+        words = ["", *map(str.lower, WORD.findall(name)), ""]
+        for before, word, after in zip(words, words[1:], words[2:]):
+            if word in MARKS and before not in BEFORE and after not in AFTER:
+                found.add(word)
+    return found
+
+
 class Page:
     """blocks: (container, text pieces, whether it is good text); containers: path, parent, tag."""
 
     def __init__(self, source: str):
+        spared = self._read(source, frozenset())
+        if spared:
+            self._read(source, spared)
+
+    def _read(self, source: str, spared: frozenset) -> frozenset:
+        """Reads the page; numbers of marked elements that are no boilerplate, as they hold most of it."""
         self.blocks: list[tuple[int, list[str], bool]] = []
         self.paths, self.parents, self.tags = [""], [0], [""]
-        stack: list[tuple[str, int, int]] = []  # tag, container, depth of dropping before it
+        stack: list[tuple[str, int, int, int]] = []  # tag; container, depth of dropping, marked element before it
+        # of marked elements: text, linked text, the one around, whether always dropped, number
+        held: list[list[int]] = []
+        number = kept = 0
+        mark = -1  # the marked element that text is in, if nothing else drops it
         count: Counter = Counter()
         container = dropping = 0
         pieces: list[str] = []
@@ -104,17 +131,21 @@ class Page:
             in_link = False
 
         def pop():
-            nonlocal container, dropping
-            tag, container, dropping = stack.pop()
+            nonlocal container, dropping, mark
+            tag, container, dropping, mark = stack.pop()
             count[tag] -= 1
             return tag
 
         def text(part):
-            nonlocal linked, length
+            nonlocal linked, length, kept
             if not dropping and part:
                 pieces.append(part)
                 length += (n := len(part.strip()))
                 linked += n * in_link
+                kept += n
+            elif mark >= 0 and part:
+                held[mark][0] += (n := len(part.strip()))
+                held[mark][1] += n * in_link
 
         for_token = TOKEN.search
         while True:
@@ -153,7 +184,7 @@ class Page:
                         pass
                 if tag in ENDS:
                     other, within = ENDS[tag]
-                    for tag_of, _, _ in reversed(stack):
+                    for tag_of, *_ in reversed(stack):
                         if tag_of in within:
                             break
                         if tag_of in (tag, other):
@@ -165,19 +196,28 @@ class Page:
             if tag in VOID:
                 continue
             attributes = m.group(3)
-            marked, first = tag in DROPPED, ""
+            marked, first, words = tag in DROPPED, "", set()
             if "=" in attributes:
                 for a in ATTRIBUTE.finditer(attributes):
                     value = a.group(2) or a.group(3) or a.group(4) or ""
                     if not marked and tag not in ("html", "body"):
-                        marked = any(w.lower() in MARKS for w in WORD.findall(value))
+                        words |= marks(value)
                     if a.group(1).lower() == "class" and value.split():
                         first = "." + DIGITS.sub("#", value.split()[0].lower())
-            if not block and not marked:
+            if tag in ("article", "main"):
+                words &= ALWAYS
+            number += bool(words)
+            by_words = bool(words) and number not in spared
+            if not block and not marked and not by_words:
                 continue
-            stack.append((tag, container, dropping))
+            stack.append((tag, container, dropping, mark))
             count[tag] += 1
             if marked:
+                dropping, mark = dropping + 1, -1
+            elif by_words:
+                if not dropping or mark >= 0:
+                    held.append([0, 0, mark, bool(words & ALWAYS) or (mark >= 0 and held[mark][3]), number])
+                    mark = len(held) - 1
                 dropping += 1
             elif tag in CONTAINERS and not dropping:
                 path = f"{self.paths[container]}/{tag}{first}"
@@ -188,6 +228,13 @@ class Page:
                 self.tags.append(tag)
                 container = len(self.paths) - 1
         flush()
+        whole = kept + sum(h[0] for h in held if not h[3])
+        for h in reversed(held):  # the one around stands before
+            if h[2] >= 0 and not h[3]:
+                held[h[2]][0] += h[0]
+                held[h[2]][1] += h[1]
+        large = [h for h in held if not h[3] and h[0] >= MOST * whole > 0 and h[1] <= LINKS * h[0]]
+        return frozenset(h[4] for h in large)
 
     def core(self) -> int:
         """The deepest container with most of the good text."""

@@ -76,3 +76,22 @@ def test_titles_and_leads_around_most_of_the_text():
     # links around the text are no part of it, and nothing else goes with them
     assert own("<body><div class=page>" + post % (body, "<p><a href=x>one</a> <a href=y>two</a></p>") + "</div>") == want
     assert own(f"<body><h1>Title</h1><p>intro</p><div class=post-body><p>{body}</p></div>") == f"Title intro {body.strip()}"
+
+
+@pytest.mark.parametrize(
+    "tag", ['div class="content has-sidebar"', 'main class="no-sidebar"', 'article class="post comments-open"',
+            "div class=header-layout", 'div id="page-with-menu"', 'article class="related"', "div class=ad><div class=promo"],
+)
+def test_marks_spare_the_main_text(tag):
+    end = "</div></body>" if tag.startswith("div") else f"</{tag.split()[0]}></body>"
+    page = f"<body><{tag}><h1>T</h1><p>{'good text ' * 20}</p><div class=sidebar>links</div><p>end</p>{end}"
+    assert own(page) == f"T {('good text ' * 20).strip()} end"
+
+
+def test_marks_still_drop():
+    long = "said a reader " * 40
+    assert own(f"<article><p>short text</p></article><div class=comments><p>{long}</p></div>") == "short text"
+    assert own("<p>text</p><div class=menu><a href=x>" + long + "</a></div>") == "text"
+    began = time.time()
+    own("<div class=ad>x" * 50000)
+    assert time.time() - began < 10
