@@ -9,9 +9,10 @@ which lies well under what its training texts reach (letter junk and unlearned l
 the same alphabet reach less; near relatives and texts of a few letters can go either way).
 
 The centroids are fitted on a sample of about SAMPLE labelled rows in all, shared equally by
-the languages (a language with fewer rows gives all), chosen by a hash of doc_id; at most
-LANGUAGES languages are learned, the most frequent first. Their features are computed on the
-executors; the driver gets 2 bytes x DIMS a row, so some 32 MB at most.
+the languages (a language with fewer rows gives all), chosen by a hash of doc_id. Every value
+of lang is learned, however many there are, from about FEW rows at least if it has them. The
+features are computed on the executors; the driver gets 2 bytes x DIMS a row: some 32 MB up to
+SAMPLE / FEW languages, and beyond that some 64 KB a language.
 
 Null or empty texts and texts without a letter are "und" with score 0. Whole texts are used
 whatever their length. Equal cosines go to the smaller language name. Rows without lang,
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import for_python, table
+from quillon.llm.common import broadcast_if_small, cut, for_python, table
 
 DIMS = 4096
 CLUSTERS = 3
 ROUNDS = 8
 SAMPLE = 4000
-LANGUAGES = 500
+FEW = 8
+#: The shares of languages are broadcast up to so many languages.
+BROADCAST_LANGUAGES = 100_000
 #: No code point from here on is a letter (Unicode has assigned none beyond this plane).
 LETTERS = 0x40000
 #: Longer texts are counted in pieces of so many characters that overlap by two.
@@ -104,7 +107,8 @@ class Model:
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         unit = _unit(x * self.idf)
         self.languages = sorted(set(names), key=lambda s: s.encode("utf-8", "surrogatepass"))
-        own = np.array([self.languages.index(n) for n in names])
+        place = {name: k for k, name in enumerate(self.languages)}
+        own = np.array([place[n] for n in names])
         rng, centroids, of = np.random.default_rng(seed), [], []
         for k in range(len(self.languages)):
             rows = unit[own == k]
@@ -140,21 +144,19 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame) -> Model | None:
     """A model from rows of doc_id, lang and text, or None if there is nothing to learn."""
-    sizes = (
+    sizes = cut(
         rows.groupBy("lang", "doc_id").agg(F.lit(1).alias("__qn_one"))
-        .groupBy("lang").agg(F.count("__qn_one").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+        .groupBy(F.col("lang").alias("__qn_lang")).agg(F.count("__qn_one").alias("__qn_n"))
     )
-    each = SAMPLE // max(1, len(sizes))
-    wanted = None
+    languages = sizes.count()
+    if not languages:
+        return None
+    each = max(SAMPLE // languages, FEW)
     # A number from 0 to 1 fixed by doc_id; a language's share of it gives its sample.
     place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    for r in sizes:
-        one = (F.col("lang") == r["lang"]) & (place < min(1.0, each / r["n"]))
-        wanted = one if wanted is None else wanted | one
-    if wanted is None:
-        return None
-    sample = rows.filter(wanted).dropDuplicates(["doc_id", "lang"])
+    wanted = (F.col("lang") == F.col("__qn_lang")) & (place < F.least(F.lit(1.0), F.lit(float(each)) / F.col("__qn_n")))
+    shares = broadcast_if_small(sizes, BROADCAST_LANGUAGES)
+    sample = rows.join(shares, wanted).dropDuplicates(["doc_id", "lang"])
 
     def run(batches):
         for batch in batches:

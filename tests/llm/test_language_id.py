@@ -56,3 +56,12 @@ def test_unlearned_languages_and_letter_junk_are_rejected(spark):
     assert [t for t in junk if not model.predict(t)[2]] == []
     own = [model.predict(r.text) for r in docs.filter("length(text) > 12").limit(2000).collect()]
     assert sum(rejected for _, _, rejected in own) <= 2
+
+
+def test_every_language_is_learned(spark):
+    word = lambda k, i: "".join(chr(0x4E00 + 12 * k + (i + j) % 12) for j in range(6))
+    rows = [(3 * k + i, word(k, i) + " " + word(k, i + 3), f"l{k:03}") for k in range(520) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = l.fit(docs)
+    assert model.languages == [f"l{k:03}" for k in range(520)]
+    assert [model.predict(t)[0] for _, t, _ in rows[::97]] == [lang for _, _, lang in rows[::97]]
