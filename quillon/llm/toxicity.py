@@ -1,28 +1,42 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-An expression is a run of letters, lower-cased. Each class (toxic, ordinary) has a model of
-expressions: discounted expression counts that back off to a Kneser-Ney model of their
-characters, of order ORDER down to SHARED + 1 with continuation counts, and from there to
-character counts that both classes share and that are gathered from all documents. What was
-rarely or never seen is thus judged alike by both classes, but for the parts that were.
-A document's features are the difference of its two log-likelihoods per expression, the
-part of it above a margin, and its strongest expressions; a logistic curve, fitted to
-held-out halves of the training sample, makes the score of them.
-
-The classes are fitted on about SAMPLE labelled rows of each, chosen by a hash of doc_id;
-fitting gets the counts of their expressions, never their texts. Shared counts lie in a
-table of 2 ** 21 cells whatever the alphabet, summed from every task.
-
-Null texts and texts without letters have no expressions and get the score of the features
-zero. Whole texts are scored. Rows without a label, doc_id or text are not learned from; a
-doc_id with several labels is toxic if one says so; repeated rows are scored alike. Without
-both classes to learn from every score is 0. Extra columns don't matter, and empty tables
-give empty results.
+An expression is a run of letters, lower-cased. Either class (toxic, ordinary) has an
+interpolated Kneser-Ney model of expressions that backs off from the whole expression to ever
+shorter beginnings of it and at last to shared counts:
+
+    P(e | class) = sum over beginnings p of e: X(p) / N * S(e | p)  +  (1 - sum of all X / N) * S(e)
+
+S is the shared continuation distribution: an expression counts once for every document that
+has it, whatever the labels, however often. N is the same count over the class's documents, and
+X(p) is what absolute discounting leaves of the class's count of beginning p, after the longer
+beginnings have taken theirs. The discount is no constant: DISCOUNT, plus SPARED times the
+count that shared counts lead to expect, plus NOISE of its standard deviations. So rare
+expressions, and ordinary ones of either class, are judged by the shared counts alone, and what
+a class has in excess counts for all expressions that begin alike. Since S(e | p) / S(e) is
+1 / S(p), the classes' likelihoods are compared without S(e) itself, and only beginnings with
+an excess are needed to score; both probabilities sum to one over all expressions.
+
+A document's one feature is its length-normalised comparison: the difference of its two
+log-likelihoods divided by its number of expressions. Its score is a monotone function of that,
+a logistic curve fitted to held-out folds of the training sample.
+
+The classes are fitted on about SAMPLE labelled documents of each, chosen by a hash of doc_id;
+equal texts count once. The shared counts are an aggregate over all documents, a row for every
+expression of the corpus. Everything is counted in Spark; the driver gets the beginnings that
+more than DISCOUNT documents of the sample have, and a number for each of its documents.
+
+Null texts and texts without letters have no expressions and are scored like an expression
+that neither class has in excess. Whole texts are scored, in time linear in their length. Rows without a
+label, doc_id or text are not learned from; a doc_id with several labels is toxic if one says
+so, and one with several texts is learned from with each, so the order of rows changes nothing.
+Repeated rows are scored alike; there are no ties to break. Without both classes to learn from
+every score is 0. Columns of score()'s input that aren't kept don't matter, and one named like
+its output is replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import pickle
+import math
 import re
 from collections import Counter
 
@@ -32,292 +46,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import cut, for_python, table
+from quillon.llm.common import broadcast_if_small, cut, for_python, table
 
-#: Labelled rows of each class (ordinary, toxic) that the models are fitted on, about.
+#: Labelled documents of each class (ordinary, toxic) that the models are fitted on, about.
 SAMPLE = (4000, 2500)
-#: Characters in the longest context plus one, and in the longest shared one plus one.
-ORDER, SHARED = 6, 3
-#: Bits of a character in the shared counts.
-FOLD = 7
-DISCOUNT = 0.75
-#: The discount of whole expressions: those of a single document are known by their parts.
-WHOLE = 1.0
-MARGINS = (1.0, 2.5, 4.0)
-#: Expressions scored at once.
-PIECE = 50_000
-#: Expressions whose scores a worker remembers before it starts afresh.
+#: The discount of a beginning with an expected count x is DISCOUNT + SPARED * x + NOISE * sqrt(x).
+DISCOUNT, SPARED, NOISE = 5.0, 1.2, 4.0
+#: Folds of the sample, each scored by models of the others to fit the curve.
+FOLDS = 5
+#: Ends a whole expression; never a letter.
+END = "$"
+#: Distinct expressions that a task counts before it passes them on.
+PIECE = 200_000
+#: Expressions whose ratios a worker remembers before it starts afresh.
 KNOWN = 800_000
+#: Beginnings that are broadcast to the corpus's expressions at most (some 100 bytes each).
+BROADCAST_BEGINNINGS = 1_000_000
 
 EXPRESSION = re.compile(r"[^\W\d_]+")
-FEATURES = 3 + len(MARGINS)
 
 
 def expressions(text: str | None) -> list[str]:
     return EXPRESSION.findall(text.lower()) if text else []
 
 
-def _layout(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words, each between a 2 and a 3; where words start; place in word."""
-    joined = "\x02" + "\x03\x02".join(words) + "\x03"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    starts = np.flatnonzero(codes == 2)
-    sizes = np.diff(np.append(starts, len(codes)))
-    place = np.arange(len(codes)) - np.repeat(starts, sizes)
-    return codes, starts, place
+def counted(docs: DataFrame, keys: tuple = ()) -> DataFrame:
+    """The keys, e and n: in how many rows of docs (the keys, text) each expression occurs."""
+    schema = T.StructType([docs.schema[k] for k in keys]).add("e", T.StringType()).add("n", T.LongType())
+    width = len(keys)
 
+    def run(batches):
+        seen: dict[tuple, Counter] = {}
+
+        def parts():
+            for key, counts in seen.items():
+                columns = [pa.array([x] * len(counts), f.type) for x, f in zip(key, fields)]
+                columns += [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            seen.clear()
+
+        fields = []
+        for batch in batches:
+            fields = list(batch.schema)[:width]
+            rows = zip(*[c.to_pylist() for c in batch.columns[:width]]) if width else iter(lambda: (), None)
+            for key, text in zip(rows, batch.column(width)):
+                seen.setdefault(key, Counter()).update(set(expressions(text.as_py())))
+                if sum(map(len, seen.values())) > PIECE:
+                    yield from parts()
+        yield from parts()
+
+    found = for_python(docs.select(*keys, "text")).mapInArrow(run, schema)
+    return found.groupBy(*keys, "e").agg(F.sum("n").alias("n"))
 
-def _grams(codes: np.ndarray):
-    """Hashes of the grams of 1, 2 .. ORDER characters that end at each position, in turn.
 
-    A gram is its context (the gram before its last character) and that character. Only
-    those that start within the word may be used: place + 1 >= its length.
+def beginnings(counts: DataFrame, longest: int | None = None) -> DataFrame:
+    """counts with p instead of e, a row for each beginning of it, from the empty one to the whole."""
+    whole = F.concat("e", F.lit(END))
+    size = F.length(whole) if longest is None else F.least(F.length(whole), F.lit(longest))
+    places = F.transform(F.sequence(F.lit(0), size), lambda i: F.substring(whole, F.lit(1), i))
+    return counts.select(*[c for c in counts.columns if c != "e"], F.explode(places).alias("p"))
+
+
+def excess(counts: dict[str, float], shared: dict[str, float]) -> tuple[float, dict[str, float]]:
+    """The rest that backs off to the shared distribution, and X(p) / N / S(p) of each beginning.
+
+    counts and shared: counts by beginning, the empty one's being the total.
     """
-    before = np.zeros(len(codes), np.uint64)
-    for _ in range(ORDER):
-        with np.errstate(over="ignore"):
-            h = (before ^ (codes + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(32)
-        yield h
-        before = np.concatenate(([np.uint64(0)], h[:-1]))
-
-
-def _cells(codes: np.ndarray) -> np.ndarray:
-    """The shared cell of the last SHARED characters at each position."""
-    # as if an end stood before the first word too
-    codes = np.concatenate((np.full(SHARED - 1, 3, np.uint64), codes))
-    folded = ((codes * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - FOLD)).astype(np.int64)
-    n = len(codes) - SHARED + 1
-    cell = np.zeros(n, np.int64)
-    for at in range(SHARED):
-        cell = (cell << FOLD) | folded[at : at + n]
-    return cell
-
-
-def shared_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of the shared cells over all documents, as a dense table."""
+    total, everything = counts.get("", 0.0), shared.get("", 0.0)
+    if not total or not everything:
+        return 1.0, {}
+    taken, found = Counter(), {}
+    for p in sorted(counts, key=lambda p: (-len(p), p)):
+        if not p:
+            continue
+        # a sample's expressions are in the corpus, so expected counts aren't zero
+        expected = total * max(shared.get(p, 0.0), counts[p]) / everything
+        left = counts[p] - taken[p] - (DISCOUNT + SPARED * expected + NOISE * math.sqrt(expected))
+        if left > 0:
+            found[p] = left / expected
+        taken[p[:-1]] += taken[p] + max(left, 0.0)
+    return 1 - taken[""] / total, found
+
+
+def model_of(counts: tuple[dict, dict], shared: dict) -> dict:
+    """Both classes' rests, and by beginning what it adds to each likelihood; plain data."""
+    (rest0, found0), (rest1, found1) = (excess(c, shared) for c in counts)
+    nodes = {}
+    for p in {*found0, *found1}:
+        nodes[p] = (found0.get(p, 0.0), found1.get(p, 0.0))
+        for size in range(1, len(p)):  # a way to each of them
+            nodes.setdefault(p[:size], (0.0, 0.0))
+    return {"rests": (rest0, rest1), "nodes": nodes}
+
+
+class Ratios(dict):
+    """log P(e | toxic) - log P(e | ordinary) of each expression that is asked for."""
+
+    def __init__(self, model: dict):
+        super().__init__()
+        self.rests, self.nodes = model["rests"], model["nodes"]
+
+    def __missing__(self, e: str) -> float:
+        (p0, p1), nodes, whole = self.rests, self.nodes, e + END
+        for size in range(1, len(whole) + 1):
+            found = nodes.get(whole[:size])
+            if found is None:
+                break
+            p0, p1 = p0 + found[0], p1 + found[1]
+        ratio = self[e] = math.log(max(p1, 1e-300)) - math.log(max(p0, 1e-300))
+        return ratio
+
+    def feature(self, text: str | None) -> float:
+        """The length-normalised comparison of a whole text."""
+        words = expressions(text)
+        if not words:
+            return math.log(max(self.rests[1], 1e-300)) - math.log(max(self.rests[0], 1e-300))
+        found = sum(map(self.__getitem__, words)) / len(words)
+        if len(self) > KNOWN:
+            self.clear()
+        return found
 
-    def run(batches):
-        total = np.zeros(1 << (FOLD * SHARED))  # whole numbers, exact far beyond any corpus
-        seen: Counter = Counter()
-
-        def settle():
-            codes, _, place = _layout(list(seen))
-            weights = np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), [len(w) + 2 for w in seen])
-            usable = place > 0
-            total[:] += np.bincount(_cells(codes)[usable], weights[usable], len(total))
-            seen.clear()
 
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(expressions(t.as_py()))
-                if len(seen) >= 4 * PIECE:
-                    settle()
-        if seen:
-            settle()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
-
-    parts = for_python(docs.select("text")).mapInArrow(run, "cell bigint, n bigint")
-    table_ = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << (FOLD * SHARED), np.float32)
-    counts[table_["cell"].to_numpy()] = table_["n"].to_numpy()
-    return counts
-
-
-class Models:
-    """Both classes' models of expressions."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, shared: np.ndarray):
-        """counts: (2, len(words)), the documents of each class that use each word."""
-        rows = shared.reshape(-1, 1 << FOLD)
-        self.shared = np.log((rows + 1) / (rows.sum(1, keepdims=True) + rows.shape[1])).astype(np.float32).reshape(-1)
-        codes, _, place = _layout(words)
-        self.keys, self.share, self.rest = {}, {}, {}
-        uses = np.repeat(counts, [len(w) + 2 for w in words], axis=1).astype(np.float32)
-        shorter = held = None  # hashes of the contexts; what is known of the grams of this order
-        for n, h in enumerate(_grams(codes), 1):
-            if n == 2:
-                whole = self._whole(codes, h)
-            if n > SHARED:
-                longer = self._distinct(h, place + 1 >= n, uses)
-                if held is not None:
-                    self._order(n - 1, held, longer, before_shorter, shorter, place)
-                held = longer
-            before_shorter, shorter = shorter, h
-        self._order(ORDER, held, None, before_shorter, None, place)
-        often = np.flatnonzero(counts.max(0) > WHOLE)
-        order = often[np.argsort(whole[often], kind="stable")]
-        totals = np.maximum(counts.sum(1, keepdims=True), 1)
-        self.words = whole[order]
-        self.word_share = (np.maximum(counts - WHOLE, 0) / totals)[:, order].astype(np.float32)
-        rest = np.minimum(counts, WHOLE).sum(1) / totals[:, 0]
-        self.word_rest = np.where(rest > 0, rest, 1.0)
-
-    @staticmethod
-    def _distinct(h, usable, uses):
-        """Distinct grams, a position of each, and their counts in both classes."""
-        at = np.flatnonzero(usable)
-        keys, first, back = np.unique(h[at], return_index=True, return_inverse=True)
-        return keys, at[first], np.stack([np.bincount(back, u[at], len(keys)) for u in uses])
-
-    def _order(self, n: int, held, longer, contexts, own, place):
-        """The tables of order n. contexts: hashes of the grams one shorter; own: of length n."""
-        keys, at, c = held
-        if longer is not None:  # distinct characters before a gram, but where a word begins
-            into = np.searchsorted(keys, own[longer[1]])
-            distinct = np.stack([np.bincount(into, p > 0, len(keys)) for p in longer[2]])
-            c = np.where(place[at] + 1 == n, c, distinct)
-        context, of = np.unique(contexts[at - 1], return_inverse=True)
-        total = np.stack([np.bincount(of, x, len(context)) for x in c])
-        lost = np.stack([np.bincount(of, np.minimum(x, DISCOUNT), len(context)) for x in c])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            share = np.where(total[:, of] > 0, np.maximum(c - DISCOUNT, 0) / total[:, of], 0)
-            rest = np.where(total > 0, lost / total, 1)
-        self.keys[n], self.share[n] = keys, share.astype(np.float32)
-        self.rest[n] = (context, rest.astype(np.float32))
-
-    @staticmethod
-    def _whole(codes, pairs) -> np.ndarray:
-        """A hash of each whole word, from those of its pairs of characters in place."""
-        ends = np.flatnonzero(codes == 3)
-        starts = np.flatnonzero(codes == 2)
-        with np.errstate(over="ignore"):
-            place = (np.arange(len(codes)) - np.repeat(starts, ends - starts + 1)).astype(np.uint64)
-            mixed = (pairs ^ (place * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
-            return np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), starts)
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word."""
-        codes, starts, place = _layout(words)
-        grams = list(_grams(codes))
-        base = np.exp(self.shared[_cells(codes)]).astype(np.float64)
-        p = np.stack([base, base])
-        for n in range(SHARED + 1, ORDER + 1):
-            at = np.flatnonzero(place + 1 >= n)
-            if not len(at) or not len(self.keys[n]):
-                continue
-            context, rest = self.rest[n]
-            before = grams[n - 2][at - 1]
-            i = np.minimum(np.searchsorted(context, before), len(context) - 1)
-            known = np.flatnonzero(context[i] == before)
-            if not len(known):
-                continue
-            at, i = at[known], i[known]
-            gram = grams[n - 1][at]
-            j = np.minimum(np.searchsorted(self.keys[n], gram), len(self.keys[n]) - 1)
-            share = np.where(self.keys[n][j] == gram, self.share[n][:, j], 0)
-            p[:, at] = share + rest[:, i] * p[:, at]
-        logs = np.log(p)
-        logs[:, place == 0] = 0
-        spelled = np.add.reduceat(logs, starts, axis=1)
-        whole = self._whole(codes, grams[1])
-        if not len(self.words):
-            return spelled[1] - spelled[0]
-        i = np.minimum(np.searchsorted(self.words, whole), len(self.words) - 1)
-        share = np.where(self.words[i] == whole, self.word_share[:, i], 0)
-        p = np.log(np.maximum(share + self.word_rest[:, None] * np.exp(spelled), 1e-300))
-        return p[1] - p[0]
-
-
-def features(ratios: np.ndarray, uses: np.ndarray) -> np.ndarray:
-    """Of a document: ratios of its distinct expressions and how often it uses each."""
-    n = uses.sum() if len(uses) else 0
-    if not n:
-        return np.zeros(FEATURES)
-    over = [np.log1p(100 * (np.maximum(ratios - m, 0) @ uses) / n) for m in MARGINS]
-    top = np.sort(ratios)[::-1]
-    return np.array([ratios @ uses / n, *over, max(0.0, float(top[:3].mean())), np.log1p(uses[ratios > MARGINS[-1]].sum())])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a lightly ridged logistic regression, the constant last, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
-        w = w - step
+def curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float, float, float]:
+    """Centre and scale of the feature, slope (never negative) and constant of the logistic curve."""
+    ordinary = x[~y]
+    centre, scale = float(np.median(ordinary)), float(max(ordinary.std(), 1e-6))
+    z = np.stack([np.arcsinh((x - centre) / scale), np.ones(len(x))], axis=1)
+    w, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hessian = z.T @ (z * (weights * p * (1 - p))[:, None]) + ridge
+        step = np.linalg.solve(hessian, z.T @ (weights * (p - y)) + ridge @ w)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return w
-
-
-class Classifier:
-    def __init__(self, toxic: np.ndarray, words: list[str], codes: list[np.ndarray], uses: list[np.ndarray], shared: np.ndarray):
-        """toxic: of each document; words: the sample's; codes and uses: a document's words."""
-        held = np.zeros((len(toxic), FEATURES))
-        halves = np.zeros(len(toxic), int)
-        for c in (False, True):  # every second document of either class
-            halves[np.flatnonzero(toxic == c)[::2]] = 1
-        for half in (0, 1):
-            models = self._models(toxic, words, codes, shared, np.flatnonzero(halves != half))
-            some = np.flatnonzero(halves == half)
-            used = np.unique(np.concatenate([np.zeros(0, np.int64), *(codes[i] for i in some)]))
-            ratios = np.zeros(len(words))
-            for at in range(0, len(used), PIECE):
-                part = used[at : at + PIECE]
-                ratios[part] = models.scores([words[w] for w in part])
-            for i in some:
-                held[i] = features(ratios[codes[i]], uses[i])
-            del models
-        self.known: dict[str, float] = {}
-        self.weights = _logistic(held, toxic.astype(float))
-        self.models = self._models(toxic, words, codes, shared, np.arange(len(toxic)))
-
-    @staticmethod
-    def _models(toxic, words, codes, shared, some) -> Models:
-        # A document counts once for each word, so one that repeats itself weighs no more.
-        counts = np.stack([
-            np.bincount(np.concatenate([np.zeros(0, np.int64), *(codes[i] for i in some if toxic[i] == c)]), minlength=len(words))
-            for c in (False, True)
-        ])
-        used = np.flatnonzero(counts.sum(0))
-        used = used if len(used) else np.zeros(1, np.int64)  # a word that no document uses
-        return Models([words[w] for w in used], counts[:, used].astype(np.float64), shared)
-
-    def packed(self) -> bytes:
-        """Its arrays, without any class of this package."""
-        return pickle.dumps((self.weights, vars(self.models)))
-
-    @classmethod
-    def unpacked(cls, state: bytes) -> Classifier:
-        found, models = cls.__new__(cls), Models.__new__(Models)
-        found.weights, values = pickle.loads(state)
-        vars(models).update(values)
-        found.models, found.known = models, {}
-        return found
+    if w[0] < 0:  # no more toxic the likelier: only the classes' shares are left
+        share = float(np.average(y, weights=weights))
+        w = np.array([0.0, math.log(share / (1 - share))])
+    return centre, scale, float(w[0]), float(w[1])
 
-    def score(self, texts):
-        """From 0 to 1 for each text; new expressions of many texts are scored together."""
-        out: list[float] = []
-        pending: list[Counter] = []
-        new: set[str] = set()
-
-        def settle():
-            if new:
-                words = list(new)
-                self.known.update(zip(words, self.models.scores(words).tolist()))
-            for seen in pending:
-                uses = np.fromiter(seen.values(), np.float64, len(seen))
-                x = features(np.fromiter(map(self.known.__getitem__, seen), np.float64, len(seen)), uses)
-                out.append(float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))))
-            pending.clear()
-            new.clear()
-            if len(self.known) > KNOWN:
-                self.known.clear()
-
-        for t in texts:
-            seen = Counter(expressions(t))
-            new.update(w for w in seen if w not in self.known)
-            pending.append(seen)
-            if len(new) >= PIECE:
-                settle()
-        settle()
-        return out
+
+def scored(x: float, parameters: tuple) -> float:
+    centre, scale, slope, constant = parameters
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, slope * math.asinh((x - centre) / scale) + constant))))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -327,82 +198,93 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
-    """A packed classifier. labels: doc_id and toxic (boolean), each doc_id once."""
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Distinct texts of the sample (toxic, fold, text), and what each row of a class stands for."""
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(True) or not sizes.get(False):
-        return None
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = [min(1.0, SAMPLE[c] / sizes[bool(c)]) for c in (0, 1)]
+    share = [min(1.0, SAMPLE[c] / max(1, sizes.get(bool(c), 0))) for c in (0, 1)]
     chosen = cut(labels.filter(place < F.when(F.col("toxic"), share[1]).otherwise(share[0])))
-    # About sum(SAMPLE) rows of a key and a flag, so the broadcast is bounded.
+    # about sum(SAMPLE) rows of a key and a flag, so the broadcast is bounded
     side = F.broadcast(chosen.withColumnRenamed("doc_id", "__qn_id"))
     texts = docs.select("doc_id", "text").filter("text is not null").join(side, F.col("doc_id") == F.col("__qn_id"))
-    once = texts.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
+    digest = F.md5("text")
+    fold = F.pmod(F.xxhash64(digest), F.lit(FOLDS)).cast("int")
+    once = texts.select("toxic", digest.alias("__qn_digest"), "text").dropDuplicates(["toxic", "__qn_digest"])
+    return once.select("toxic", fold.alias("fold"), "text"), [1 / s for s in share]
 
-    def run(batches):
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """A classifier, as plain data. labels: doc_id and toxic (boolean), each doc_id once."""
+    sample, weights = sampled(docs, labels)
+    sample = cut(sample)
+    if sample.select("toxic").distinct().count() < 2:
+        return None
+    # a class of the model per class and fold
+    each = [(c, f) for c in (False, True) for f in range(FOLDS)]
+    names = [f"n{int(c)}_{f}" for c, f in each]
+    of = beginnings(counted(sample, ("toxic", "fold")))
+    sums = [F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(n) for (c, f), n in zip(each, names)]
+    total = lambda k: sum(F.col(n) for n in names[k * FOLDS : (k + 1) * FOLDS])
+    nodes = of.groupBy("p").agg(*sums).filter((total(0) > DISCOUNT) | (total(1) > DISCOUNT) | (F.col("p") == ""))
+    nodes = cut(nodes)
+    longest = nodes.agg(F.max(F.length("p"))).first()[0] or 0
+    corpus = beginnings(counted(docs), longest).withColumnRenamed("p", "__qn_p")
+    known = broadcast_if_small(nodes.select("p"), BROADCAST_BEGINNINGS)
+    shared = corpus.join(known, F.col("__qn_p") == F.col("p")).groupBy("p").agg(F.sum("n").alias("n"))
+    rows = nodes.join(shared, "p", "left").select("p", F.coalesce("n", F.lit(0)).alias("n"), *names).collect()
+    held = {r["p"]: float(r["n"]) for r in rows}
+
+    def classes(left_out):
+        counts = ({}, {})
+        for r in rows:
+            for (c, f), n in zip(each, names):
+                if f != left_out and r[n]:
+                    counts[c][r["p"]] = counts[c].get(r["p"], 0.0) + r[n]
+        return counts
+
+    model = model_of(classes(None), held)
+    folds = docs.sparkSession.sparkContext.broadcast([model_of(classes(f), held) for f in range(FOLDS)])
+
+    def features(batches):
+        ratios = [Ratios(m) for m in folds.value]
         for batch in batches:
-            seen = [Counter(expressions(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(s) for s in seen], pa.list_(pa.string())),
-                 pa.array([list(s.values()) for s in seen], pa.list_(pa.int64()))],
-                names=["doc_id", "toxic", "words", "uses"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = for_python(once).mapInArrow(run, f"doc_id {kind}, toxic boolean, words array<string>, uses array<bigint>")
-    shared = docs.sparkSession.sparkContext.broadcast(shared_counts(docs))
-
-    def train(batches):
-        rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        if not rows.num_rows:
-            return
-        rows = rows.take(pa.array(np.argsort(rows["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
-        toxic = rows["toxic"].to_numpy().astype(bool)
-        lists, uses = rows["words"].chunk(0), rows["uses"].chunk(0).flatten().to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        # words in order, so that the model doesn't depend on the order of arrival
-        words = np.array(coded.dictionary.to_pylist(), object)
-        order = np.argsort(words, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        cuts = np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]
-        codes = np.split(place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), cuts)
-        if not toxic.any() or toxic.all() or not len(words):
-            return
-        model = Classifier(toxic, words[order].tolist(), codes, np.split(uses.astype(np.float64), cuts), shared.value)
-        yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
-
-    # The sample's size is bounded, so one task may fit the models; the driver passes them on.
-    got = sample.repartition(1).mapInArrow(train, "model binary").collect()
-    return bytes(got[0][0]) if got else None
-
-
-def score(docs: DataFrame, classifier: bytes | None, keep: list[str]) -> DataFrame:
-    """The columns of keep and toxicity, from 0 to 1."""
-    schema = T.StructType([docs.schema[c] for c in keep]).add("toxicity", T.DoubleType())
+            found = [ratios[f].feature(t) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["toxic", "x"])
+
+    # a number for each document of the bounded sample
+    got = for_python(sample).mapInArrow(features, "toxic boolean, x double").toArrow().sort_by([("x", "ascending"), ("toxic", "ascending")])
+    y = got["toxic"].to_numpy(zero_copy_only=False).astype(bool)
+    model["curve"] = curve(got["x"].to_numpy(), y, np.where(y, weights[1], weights[0]))
+    return model
+
+
+def score(docs: DataFrame, model: dict | None, keep: list[str], name: str = "toxicity") -> DataFrame:
+    """The columns of keep and, under name, the score from 0 to 1."""
+    keep = [c for c in keep if c.lower() != name.lower()]
+    schema = T.StructType([docs.schema[c] for c in keep]).add(name, T.DoubleType())
     n = len(keep)
-    # A worker keeps what it has unpacked, and the expressions it has scored, with the broadcast.
-    sent = docs.sparkSession.sparkContext.broadcast({"packed": classifier})
+    # A worker keeps the expressions it has scored with the broadcast.
+    sent = docs.sparkSession.sparkContext.broadcast({"model": model})
 
     def run(batches):
         held = sent.value
-        if held["packed"] and "model" not in held:
-            held["model"] = Classifier.unpacked(held["packed"])
-        model = held.get("model")
+        if held["model"] and "ratios" not in held:
+            held["ratios"] = Ratios(held["model"])
+        ratios = held.get("ratios")
         for batch in batches:
             texts = (t.as_py() for t in batch.column(n))
-            found = model.score(texts) if model else [0.0] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.float64())], names=[*keep, "toxicity"])
+            found = [scored(ratios.feature(t), held["model"]["curve"]) if ratios is not None else 0.0 for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.float64())], names=[*keep, name])
 
     return for_python(docs.select(*keep, F.col("text").alias("__qn_scored"))).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark, sf_dir):
+    """doc_id, held_out, score and predicted of every document; see the module for odd rows."""
     docs = table(spark, sf_dir, "documents")
-    classifier = fit(docs, training_labels(table(spark, sf_dir, "labels")))
+    model = fit(docs, training_labels(table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return score(docs, classifier, ["doc_id"]).select(
+    return score(docs, model, ["doc_id"]).select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
