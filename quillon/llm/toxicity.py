@@ -23,7 +23,7 @@ a logistic curve fitted to held-out folds of the training sample.
 The classes are fitted on about SAMPLE labelled documents of each, chosen by a hash of doc_id;
 equal texts count once. The shared counts are an aggregate over all documents, a row for every
 expression of the corpus. Everything is counted in Spark; the driver gets the beginnings that
-more than DISCOUNT documents of the sample have, and a number for each of its documents.
+exceed their discount in the sample, and a number for each of its documents.
 
 Null texts and texts without letters have no expressions and are scored like an expression
 that neither class has in excess. Whole texts are scored, in time linear in their length. Rows without a
@@ -51,7 +51,7 @@ from quillon.llm.common import broadcast_if_small, cut, for_python, table
 #: Labelled documents of each class (ordinary, toxic) that the models are fitted on, about.
 SAMPLE = (4000, 2500)
 #: The discount of a beginning with an expected count x is DISCOUNT + SPARED * x + NOISE * sqrt(x).
-DISCOUNT, SPARED, NOISE = 5.0, 1.2, 4.0
+DISCOUNT, SPARED, NOISE = 8.0, 1.2, 4.0
 #: Folds of the sample, each scored by models of the others to fit the curve.
 FOLDS = 5
 #: Ends a whole expression; never a letter.
@@ -107,10 +107,16 @@ def beginnings(counts: DataFrame, longest: int | None = None) -> DataFrame:
     return counts.select(*[c for c in counts.columns if c != "e"], F.explode(places).alias("p"))
 
 
+def discount(expected):
+    """What a class's count must exceed, given the count that shared counts lead to expect."""
+    return DISCOUNT + SPARED * expected + NOISE * expected**0.5
+
+
 def excess(counts: dict[str, float], shared: dict[str, float]) -> tuple[float, dict[str, float]]:
     """The rest that backs off to the shared distribution, and X(p) / N / S(p) of each beginning.
 
-    counts and shared: counts by beginning, the empty one's being the total.
+    counts and shared: counts by beginning, the empty one's being the total. Beginnings that
+    don't exceed their discount may be missing.
     """
     total, everything = counts.get("", 0.0), shared.get("", 0.0)
     if not total or not everything:
@@ -121,10 +127,11 @@ def excess(counts: dict[str, float], shared: dict[str, float]) -> tuple[float, d
             continue
         # a sample's expressions are in the corpus, so expected counts aren't zero
         expected = total * max(shared.get(p, 0.0), counts[p]) / everything
-        left = counts[p] - taken[p] - (DISCOUNT + SPARED * expected + NOISE * math.sqrt(expected))
+        left = counts[p] - taken[p] - discount(expected)
         if left > 0:
             found[p] = left / expected
-        taken[p[:-1]] += taken[p] + max(left, 0.0)
+            for size in range(len(p)):
+                taken[p[:size]] += left
     return 1 - taken[""] / total, found
 
 
@@ -231,7 +238,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     corpus = beginnings(counted(docs), longest).withColumnRenamed("p", "__qn_p")
     known = broadcast_if_small(nodes.select("p"), BROADCAST_BEGINNINGS)
     shared = corpus.join(known, F.col("__qn_p") == F.col("p")).groupBy("p").agg(F.sum("n").alias("n"))
-    rows = nodes.join(shared, "p", "left").select("p", F.coalesce("n", F.lit(0)).alias("n"), *names).collect()
+    joined = cut(nodes.join(shared, "p", "left").select("p", F.coalesce("n", F.lit(0)).alias("n"), *names))
+    # Only what exceeds its discount in a class, of all or of all but one fold, goes to the driver.
+    root = joined.filter("p = ''").first()
+    wanted = F.col("p") == ""
+    for left_out in (None, *range(FOLDS)):
+        for k in (False, True):
+            own = [n for (c, f), n in zip(each, names) if c == k and f != left_out]
+            have = sum(F.col(n) for n in own).cast("double")
+            expected = sum(root[n] for n in own) * F.greatest("n", have) / float(root["n"])
+            wanted = wanted | (have > discount(expected))
+    rows = joined.filter(wanted).collect()
     held = {r["p"]: float(r["n"]) for r in rows}
 
     def classes(left_out):
