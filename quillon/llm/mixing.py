@@ -2,157 +2,181 @@
 
 Sizes are words per document, summed per source. Targets follow from a water level: each
 source gets level x weight words, at most MAX_REPEATS times what it has, and the level is
-the one at which the targets add up to all words. A source's rate is target / size. Each
-document is taken floor(rate) times, plus once more if a coin seeded by its own content
-falls below the rate's fraction. Coins fall into BINS bins, and the fraction is moved to the
-border of bins at which the words drawn come nearest to the target: with many documents that
-is a matter of sampling noise only, with few or very long ones it keeps the mix near its
-targets.
+the one at which the targets add up to all words; it is found by resharing the excess of full
+sources until none is above, a small aggregate over sources each time. A source's rate is
+target / size. Each document is taken floor(rate) times, plus once more by a Bernoulli draw of
+its own, seeded by a hash of its id and text, whose probability is the rate's fraction.
+
+The draws of a source are those of systematic sampling, so that its words come near the target:
+its documents lie in cells by size (STRATA) and hash (BINS); of cells in that order, the running
+sum of fraction x documents, moved by one hash-seeded number of the source, gives each cell a
+whole number of copies, and a document draws with probability copies / documents of its cell.
+Over the source's number that is the fraction, for every document.
 
 Nulls, empty texts and empty tables: a null or empty text has size 0 and is never taken;
-null is a source of its own, after all others; an empty table gives an empty mix. Repeated
-rows are documents of their own but share one coin, as the coin depends on doc_id and text.
-Extra columns are kept, and helper columns carry a prefix that keeps them apart.
+null is a source of its own, after all others; an empty table gives an empty mix. Very long
+texts are documents like others: one that holds much of its source moves what the source takes
+by as much. Ties: sources of equal fill become full together. Repeated rows are documents of
+their own but share one draw, as it depends on doc_id and text. Extra columns are kept, and
+helper columns carry a prefix that keeps them apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACED_WORD, broadcast_if_small, cut
+from quillon.llm.common import SPACED_WORD, broadcast_if_small, cut, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-SEED = "mix-1"
-#: The table of sources is broadcast up to so many rows (some 100 bytes each).
-BROADCAST_SOURCES = 50_000
-#: Parts that a source's documents are dealt to where that table is joined by a shuffle.
+SEED = "mix-2"
+#: The table of cells is broadcast up to so many rows (some 100 bytes each).
+BROADCAST_CELLS = 100_000
+#: Parts that a cell's documents are dealt to where that table is joined by a shuffle.
 SALTS = 64
-#: Bins of a source's coins; words are summed per bin.
-BINS = 4096
+#: Cells by hash within each stratum of sizes. A source has some 18 strata for each decimal
+#: place of its longest document's size, so its cells are bounded whatever its documents are.
+BINS = 64
 
 
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
-def coin_bins(docs: DataFrame, seed) -> DataFrame:
-    """source, bin and words: the sizes of each source's documents, by the bin of their coin."""
-    each = docs.select("source", coin_bin(seed).alias("bin"), word_count(F.col("text")).alias("size"))
-    return each.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+def stratum(size: Column) -> Column:
+    """Of sizes: decimal places, first digit, and which half of it; in the order of sizes."""
+    s = size.cast("string")
+    half = F.when(F.substring(s, 2, 1) >= "5", 1).otherwise(0)
+    return F.length(s) * 100 + F.substring(s, 1, 1).cast("int") * 10 + half
 
 
-def source_targets(bins: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
-    """One row per source: source, source_size, target and rate."""
-    sizes = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
-    # One row per source from here on; the windows below run over sources, not documents.
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.array(*[F.lit(int(w)) for w in weights])
-    ranked = sizes.withColumn("__qn_turn", F.row_number().over(by_name) - 1).withColumn(
-        "__qn_weight", F.element_at(cycle, (F.col("__qn_turn") % len(weights) + 1).cast("int"))
-    )
-    most = F.col("source_size") * max_repeats
-    ordered = Window.orderBy(F.col("__qn_fill"), F.col("__qn_turn"))
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    levels = (
-        ranked.withColumn("__qn_most", most)
-        .withColumn("__qn_fill", F.col("__qn_most").cast("double") / F.col("__qn_weight"))
-        .withColumn("__qn_total", F.sum("source_size").over(everything))
-        .withColumn("__qn_weights", F.sum("__qn_weight").over(everything))
-        .withColumn("__qn_spent", F.coalesce(F.sum("__qn_most").over(before), F.lit(0)))
-        .withColumn("__qn_gone", F.coalesce(F.sum("__qn_weight").over(before), F.lit(0)))
-        # With the sources before this one full, the others share the rest by weight. The
-        # level rises until the last full source has been passed and falls after that.
-        .withColumn(
-            "__qn_level",
-            (F.col("__qn_total") - F.col("__qn_spent")).cast("double")
-            / (F.col("__qn_weights") - F.col("__qn_gone")).cast("double"),
-        )
-        .withColumn("__qn_level", F.max("__qn_level").over(everything))
-    )
-    target = F.least(F.col("__qn_most").cast("double"), F.col("__qn_level") * F.col("__qn_weight"))
-    rate = F.when(
-        F.col("source_size") > 0,
-        F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size")),
-    ).otherwise(F.lit(0.0))
-    return (
-        levels.withColumn("target", target)
-        .withColumn("rate", rate)
-        .select("source", "source_size", "target", "rate")
-    )
-
+def _hashed(*parts: Column) -> Column:
+    """52 bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 13), 16, 10).cast("long")
 
-def coin_bin(seed=SEED):
-    """The bin of a document's coin, fixed by its id and text."""
-    own = F.concat(
-        F.lit(seed + "|"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-        F.lit("|"),
-        F.coalesce(F.col("text"), F.lit("")),
-    )
-    return F.pmod(F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long"), F.lit(BINS)).cast("int")
 
+def coin(seed=SEED) -> Column:
+    """52 bits fixed by a document's id and text: its bin, and above that its draw."""
+    own = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))
+    return _hashed(F.lit(seed + "|"), *own)
 
-def source_plan(bins: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
-    """source_targets() with last_bin, up to which coins give one more copy (null: none)."""
-    targets = source_targets(bins, weights, max_repeats).withColumnRenamed("source", "__qn_name")
-    named = bins.join(targets, F.col("source").eqNullSafe(F.col("__qn_name")))
-    # at most BINS rows of a source in a window
-    earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("words").over(earlier), F.lit(0))
-    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
-    # a bin is drawn if that brings the words nearer to what is wanted
-    drawn = F.when(before + F.col("words") / 2 <= wanted, F.col("bin"))
-    columns = ("source", "source_size", "target", "rate")
-    return named.select(*columns, drawn.alias("drawn")).groupBy(*columns).agg(F.max("drawn").alias("last_bin"))
 
-
-def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED):
-    """The columns of keep with _size, _source_size, _target and _copies, a row per document."""
-    bins = cut(coin_bins(docs, seed))
-    targets = cut(source_plan(bins, weights, max_repeats)).select(
-        F.col("source").alias("__qn_source"),
-        F.col("source_size").alias("__qn_source_size"),
-        F.col("target").alias("__qn_target"),
-        F.col("rate").alias("__qn_rate"),
-        F.col("last_bin").alias("__qn_last"),
-    )
-    side = broadcast_if_small(targets, BROADCAST_SOURCES)
-    sized = docs.select(
+def sized(docs: DataFrame, keep: list[str], seed=SEED) -> DataFrame:
+    """The columns of keep and, with a prefix, source, size, stratum, bin and draw (0 to 1)."""
+    made = docs.select(
         *[F.col(c) for c in keep],
-        F.col("source").alias("__qn_of"),
+        F.col("source").alias("__qn_source"),
         word_count(F.col("text")).alias("__qn_size"),
-        coin_bin(seed).alias("__qn_bin"),
+        coin(seed).alias("__qn_coin"),
     )
-    same = F.col("__qn_of").eqNullSafe(F.col("__qn_source"))
-    if side is targets:  # too many sources to broadcast: deal each to SALTS parts
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__qn_part")
-        side = targets.select("*", salts)
-        sized = sized.withColumn("__qn_deal", F.pmod(F.xxhash64("__qn_bin"), F.lit(SALTS)).cast("int"))
+    return made.select(
+        *keep, "__qn_source", "__qn_size",
+        stratum(F.col("__qn_size")).alias("__qn_stratum"),
+        F.pmod("__qn_coin", F.lit(BINS)).cast("int").alias("__qn_bin"),
+        (F.floor(F.col("__qn_coin") / BINS) / float((1 << 52) // BINS)).alias("__qn_draw"),
+    )
+
+
+def cells(documents: DataFrame) -> DataFrame:
+    """source, stratum, bin, n (documents with words) and words, from sized()."""
+    n = F.sum(F.when(F.col("__qn_size") > 0, 1).otherwise(0))
+    grouped = documents.groupBy("__qn_source", "__qn_stratum", "__qn_bin").agg(n.alias("n"), F.sum("__qn_size").alias("words"))
+    return grouped.select(F.col("__qn_source").alias("source"), F.col("__qn_stratum").alias("stratum"), F.col("__qn_bin").alias("bin"), "n", "words")
+
+
+def turns(sizes: DataFrame) -> DataFrame:
+    """sizes (a row per source) with turn, from 0, by code point and null last.
+
+    Sources are dealt to ranges and numbered within each, so no task sees all of them.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    dealt = cut(sizes.repartitionByRange(by_name).withColumn("__qn_part", F.spark_partition_id()))
+    # a row per range, of which there are as many as shuffle partitions
+    before = Window.orderBy("__qn_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__qn_part").agg(F.count(F.lit(1)).alias("__qn_n"))
+    starts = starts.select(F.col("__qn_part").alias("__qn_range"), F.coalesce(F.sum("__qn_n").over(before), F.lit(0)).alias("__qn_start"))
+    within = F.row_number().over(Window.partitionBy("__qn_part").orderBy(by_name))
+    placed = dealt.withColumn("__qn_within", within - 1).join(F.broadcast(starts), F.col("__qn_part") == F.col("__qn_range"))
+    return placed.select(*sizes.columns, (F.col("__qn_start") + F.col("__qn_within")).alias("turn"))
+
+
+def water_level(sources: DataFrame) -> float:
+    """The level, of a row per source with weight, source_size and most."""
+    level = 0.0
+    while True:
+        full = F.col("most").cast("double") / F.col("weight") <= level
+        free = F.sum(F.when(full, 0).otherwise(F.col("weight")))
+        spent = F.sum(F.when(full, F.col("most")).otherwise(0))
+        total, spent, free = sources.agg(F.sum("source_size"), spent, free).first()
+        if not free:  # no words at all, or no source
+            return level
+        # with the full sources at their most, the others share the rest by weight
+        higher = float(total - spent) / float(free)
+        if higher <= level:
+            return level
+        level = higher
+
+
+def source_targets(cells_: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """One row per source: source, source_size, target and rate."""
+    sizes = cells_.groupBy("source").agg(F.sum("words").alias("source_size"))
+    cycle = F.array(*[F.lit(int(w)) for w in weights])
+    weight = F.element_at(cycle, (F.col("turn") % len(weights) + 1).cast("int"))
+    sources = cut(turns(sizes).withColumn("weight", weight).withColumn("most", F.col("source_size") * max_repeats))
+    target = F.least(F.col("most").cast("double"), F.lit(water_level(sources)) * F.col("weight"))
+    made = sources.select("source", "source_size", target.alias("target"))
+    rate = F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))
+    return made.withColumn("rate", F.when(F.col("source_size") > 0, rate).otherwise(F.lit(0.0)))
+
+
+def cell_plan(cells_: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
+    """cells_ with source_size, target, rate and more, the copies beyond floor(rate) in all."""
+    targets = source_targets(cells_, weights, max_repeats).withColumnRenamed("source", "__qn_name")
+    named = cells_.join(targets, F.col("source").eqNullSafe(F.col("__qn_name")))
+    start = _hashed(F.lit(seed + "|source|"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))) / float(1 << 52)
+    # the cells of a source, a bounded number
+    upto = Window.partitionBy("source").orderBy("stratum", "bin").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum("n").over(upto)
+    fraction = F.col("rate") - F.floor("rate")
+    whole = lambda n: F.floor(fraction * n.cast("double") + F.col("__qn_start"))
+    placed = named.withColumn("__qn_start", start).withColumn("__qn_upto", running)
+    more = whole(F.col("__qn_upto")) - whole(F.col("__qn_upto") - F.col("n"))
+    return placed.select(*cells_.columns, "source_size", "target", "rate", more.alias("more"))
+
+
+def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED):
+    """The columns of keep with __qn_size, __qn_source_size, __qn_target and __qn_copies, a row per document."""
+    counted = cut(cells(sized(docs, [], seed)))
+    plan = cut(cell_plan(counted, weights, max_repeats, seed))
+    plan = plan.select(*[F.col(c).alias(f"__qn_of_{c}") for c in plan.columns])
+    side = broadcast_if_small(plan, BROADCAST_CELLS)
+    documents = sized(docs, keep, seed)
+    same = F.col("__qn_source").eqNullSafe(F.col("__qn_of_source"))
+    for name in ("stratum", "bin"):
+        same = same & (F.col(f"__qn_{name}") == F.col(f"__qn_of_{name}"))
+    if side is plan:  # too many cells to broadcast: deal each to SALTS parts
+        side = plan.withColumn("__qn_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        deal = F.pmod(F.xxhash64("__qn_draw", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+        documents = documents.withColumn("__qn_deal", deal)
         same = same & (F.col("__qn_deal") == F.col("__qn_part"))
-    once_more = F.coalesce(F.col("__qn_bin") <= F.col("__qn_last"), F.lit(False))
-    copies = F.floor("__qn_rate") + once_more.cast("long")
-    return (
-        sized.join(side, same, "left")
-        .withColumn("__qn_copies", F.when(F.col("__qn_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-        .select(*keep, "__qn_size", "__qn_source_size", "__qn_target", "__qn_copies")
-    )
+    once_more = (F.col("__qn_draw") * F.col("__qn_of_n").cast("double") < F.col("__qn_of_more").cast("double")).cast("long")
+    copies = F.when(F.col("__qn_size") > 0, F.floor("__qn_of_rate") + once_more).otherwise(F.lit(0)).cast("long")
+    return documents.join(side, same, "left").select(
+        *keep, "__qn_size", F.col("__qn_of_source_size").alias("__qn_source_size"), F.col("__qn_of_target").alias("__qn_target"),
+        copies.alias("__qn_copies"),
+    )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
     """docs with every document repeated as often as the mix takes it."""
     plan = mix_plan(docs, docs.columns, weights, max_repeats, seed)
-    turns = F.explode(F.sequence(F.lit(1), F.col("__qn_copies").cast("int")))
-    return plan.filter("__qn_copies > 0").withColumn("__qn_turn", turns).select(*docs.columns)
+    each = F.explode(F.sequence(F.lit(1), F.col("__qn_copies").cast("int")))
+    return plan.filter("__qn_copies > 0").withColumn("__qn_turn", each).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir):
-    from quillon.llm.common import table
-
+    """size, source_size, target and taken of every document; see the module for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_plan(docs, ["doc_id"]).select(
         "doc_id",
@@ -164,12 +188,16 @@ def op10_mixing(spark, sf_dir):
 
 
 OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, text,
+WITH e AS (
+  SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT
-           % 4096 AS bin
+         ('0x' || substr(md5('mix-2|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT AS coin
   FROM documents),
+d AS (
+  SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 1)::INTEGER * 10
+      + CASE WHEN substr(size::VARCHAR, 2, 1) >= '5' THEN 1 ELSE 0 END AS stratum,
+    coin % 64 AS bin, (coin // 64)::DOUBLE / 70368744177664::DOUBLE AS draw
+  FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn FROM s),
 w AS (SELECT *, (turn % 3 + 1) AS weight, source_size * 3 AS most FROM r),
@@ -181,14 +209,17 @@ l AS (
   FROM f
   WINDOW b AS (ORDER BY fill NULLS FIRST, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(most::DOUBLE, (max(level) OVER ()) * weight) AS target FROM l),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END AS rate FROM t),
-n AS (SELECT source, bin, sum(size)::BIGINT AS words FROM d GROUP BY source, bin),
+q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('mix-2|source|' || coalesce('=' || source, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS start
+  FROM t),
+n AS (SELECT source, stratum, bin, count(*) FILTER (size > 0) AS n FROM d GROUP BY source, stratum, bin),
 c AS (
-  SELECT n.source, n.bin, n.words, q.target - floor(q.rate) * q.source_size AS wanted,
-    coalesce(sum(n.words) OVER (PARTITION BY n.source ORDER BY n.bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT n.*, q.source_size, q.target, q.rate, q.rate - floor(q.rate) AS fraction, q.start,
+    (sum(n.n) OVER (PARTITION BY n.source ORDER BY n.stratum, n.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
   FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source),
-z AS (SELECT source, max(bin) FILTER (before::DOUBLE + words / 2.0::DOUBLE <= wanted) AS last_bin FROM c GROUP BY source)
+k AS (SELECT *, floor(fraction * upto::DOUBLE + start) - floor(fraction * (upto - n)::DOUBLE + start) AS more FROM c)
 SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN bin <= last_bin THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN z ON d.source IS NOT DISTINCT FROM z.source
+  CASE WHEN size > 0 THEN (size * (floor(rate) + CASE WHEN draw * n::DOUBLE < more THEN 1 ELSE 0 END))::BIGINT ELSE 0 END AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.stratum = k.stratum AND d.bin = k.bin
 """
