@@ -7,11 +7,12 @@ sources until none is above, a small aggregate over sources each time. A source'
 target / size. Each document is taken floor(rate) times, plus once more by a Bernoulli draw of
 its own, seeded by a hash of its id and text, whose probability is the rate's fraction.
 
-The draws of a source are those of systematic sampling, so that its words come near the target:
-its documents lie in cells by size (STRATA) and hash (BINS); of cells in that order, the running
-sum of fraction x documents, moved by one hash-seeded number of the source, gives each cell a
-whole number of copies, and a document draws with probability copies / documents of its cell.
-Over the source's number that is the fraction, for every document.
+The draws of a source are those of stratified, systematic sampling, so that its words come near
+the target. Its documents lie in strata of sizes (stratum()); of strata in that order, the
+running sum of fraction x documents, moved by one hash-seeded number of the source, gives each
+stratum a whole number of copies, which go to its documents of least hash. Over hashes that is
+the fraction as a probability, for every document. The least hashes are found by a histogram
+of BINS bins for each stratum; within the last of them, documents draw by further bits.
 
 Nulls, empty texts and empty tables: a null or empty text has size 0 and is never taken;
 null is a source of its own, after all others; an empty table gives an empty mix. Very long
@@ -31,13 +32,13 @@ from quillon.llm.common import SPACED_WORD, broadcast_if_small, cut, table
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = "mix-2"
-#: The table of cells is broadcast up to so many rows (some 100 bytes each).
-BROADCAST_CELLS = 100_000
-#: Parts that a cell's documents are dealt to where that table is joined by a shuffle.
+#: The table of strata is broadcast up to so many rows (some 100 bytes each). A source has some
+#: 18 of them for each decimal place of its longest document's size.
+BROADCAST_STRATA = 100_000
+#: Parts that a stratum's documents are dealt to where that table is joined by a shuffle.
 SALTS = 64
-#: Cells by hash within each stratum of sizes. A source has some 18 strata for each decimal
-#: place of its longest document's size, so its cells are bounded whatever its documents are.
-BINS = 64
+#: Bins of a stratum's hashes; documents are counted per bin.
+BINS = 4096
 
 
 def word_count(text):
@@ -78,7 +79,7 @@ def sized(docs: DataFrame, keep: list[str], seed=SEED) -> DataFrame:
     )
 
 
-def cells(documents: DataFrame) -> DataFrame:
+def histogram(documents: DataFrame) -> DataFrame:
     """source, stratum, bin, n (documents with words) and words, from sized()."""
     n = F.sum(F.when(F.col("__qn_size") > 0, 1).otherwise(0))
     grouped = documents.groupBy("__qn_source", "__qn_stratum", "__qn_bin").agg(n.alias("n"), F.sum("__qn_size").alias("words"))
@@ -118,9 +119,9 @@ def water_level(sources: DataFrame) -> float:
         level = higher
 
 
-def source_targets(cells_: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
-    """One row per source: source, source_size, target and rate."""
-    sizes = cells_.groupBy("source").agg(F.sum("words").alias("source_size"))
+def source_targets(counts: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """One row per source of a histogram: source, source_size, target and rate."""
+    sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
     cycle = F.array(*[F.lit(int(w)) for w in weights])
     weight = F.element_at(cycle, (F.col("turn") % len(weights) + 1).cast("int"))
     sources = cut(turns(sizes).withColumn("weight", weight).withColumn("most", F.col("source_size") * max_repeats))
@@ -130,37 +131,50 @@ def source_targets(cells_: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS)
     return made.withColumn("rate", F.when(F.col("source_size") > 0, rate).otherwise(F.lit(0.0)))
 
 
-def cell_plan(cells_: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
-    """cells_ with source_size, target, rate and more, the copies beyond floor(rate) in all."""
-    targets = source_targets(cells_, weights, max_repeats).withColumnRenamed("source", "__qn_name")
-    named = cells_.join(targets, F.col("source").eqNullSafe(F.col("__qn_name")))
+def plan(counts: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
+    """One row per source and stratum of a histogram: source_size, target, rate, and who gets a copy more.
+
+    Documents in bins before last do, and those in it whose draw x n is below more.
+    """
+    targets = source_targets(counts, weights, max_repeats).withColumnRenamed("source", "__qn_name")
+    strata = counts.groupBy("source", "stratum").agg(F.sum("n").alias("n"))
+    named = strata.join(targets, F.col("source").eqNullSafe(F.col("__qn_name")))
     start = _hashed(F.lit(seed + "|source|"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))) / float(1 << 52)
-    # the cells of a source, a bounded number
-    upto = Window.partitionBy("source").orderBy("stratum", "bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum("n").over(upto)
     fraction = F.col("rate") - F.floor("rate")
     whole = lambda n: F.floor(fraction * n.cast("double") + F.col("__qn_start"))
-    placed = named.withColumn("__qn_start", start).withColumn("__qn_upto", running)
+    # the strata of a source, and the bins of a stratum: bounded numbers of rows
+    upto = Window.partitionBy("source").orderBy("stratum").rowsBetween(Window.unboundedPreceding, 0)
+    placed = named.withColumn("__qn_start", start).withColumn("__qn_upto", F.sum("n").over(upto))
     more = whole(F.col("__qn_upto")) - whole(F.col("__qn_upto") - F.col("n"))
-    return placed.select(*cells_.columns, "source_size", "target", "rate", more.alias("more"))
+    wanted = cut(placed.select("source", "stratum", "source_size", "target", "rate", more.alias("wanted")))
+    before = Window.partitionBy("source", "stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    run = counts.select(
+        F.col("source").alias("__qn_name"), F.col("stratum").alias("__qn_stratum"), "bin", "n",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__qn_before"),
+    )
+    same = F.col("source").eqNullSafe(F.col("__qn_name")) & (F.col("stratum") == F.col("__qn_stratum"))
+    last = (F.col("__qn_before") < F.col("wanted")) & (F.col("wanted") <= F.col("__qn_before") + F.col("n"))
+    return wanted.join(run, same & last, "left").select(
+        "source", "stratum", "source_size", "target", "rate", F.coalesce("bin", F.lit(-1)).alias("last"), "n",
+        (F.col("wanted") - F.col("__qn_before")).alias("more"),
+    )
 
 
 def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED):
     """The columns of keep with __qn_size, __qn_source_size, __qn_target and __qn_copies, a row per document."""
-    counted = cut(cells(sized(docs, [], seed)))
-    plan = cut(cell_plan(counted, weights, max_repeats, seed))
-    plan = plan.select(*[F.col(c).alias(f"__qn_of_{c}") for c in plan.columns])
-    side = broadcast_if_small(plan, BROADCAST_CELLS)
+    counts = cut(histogram(sized(docs, [], seed)))
+    planned = cut(plan(counts, weights, max_repeats, seed))
+    planned = planned.select(*[F.col(c).alias(f"__qn_of_{c}") for c in planned.columns])
+    side = broadcast_if_small(planned, BROADCAST_STRATA)
     documents = sized(docs, keep, seed)
-    same = F.col("__qn_source").eqNullSafe(F.col("__qn_of_source"))
-    for name in ("stratum", "bin"):
-        same = same & (F.col(f"__qn_{name}") == F.col(f"__qn_of_{name}"))
-    if side is plan:  # too many cells to broadcast: deal each to SALTS parts
-        side = plan.withColumn("__qn_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("__qn_source").eqNullSafe(F.col("__qn_of_source")) & (F.col("__qn_stratum") == F.col("__qn_of_stratum"))
+    if side is planned:  # too many strata to broadcast: deal each to SALTS parts
+        side = planned.withColumn("__qn_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         deal = F.pmod(F.xxhash64("__qn_draw", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
         documents = documents.withColumn("__qn_deal", deal)
         same = same & (F.col("__qn_deal") == F.col("__qn_part"))
-    once_more = (F.col("__qn_draw") * F.col("__qn_of_n").cast("double") < F.col("__qn_of_more").cast("double")).cast("long")
+    at_last = (F.col("__qn_bin") == F.col("__qn_of_last")) & (F.col("__qn_draw") * F.col("__qn_of_n").cast("double") < F.col("__qn_of_more").cast("double"))
+    once_more = F.coalesce((F.col("__qn_bin") < F.col("__qn_of_last")) | at_last, F.lit(False)).cast("long")
     copies = F.when(F.col("__qn_size") > 0, F.floor("__qn_of_rate") + once_more).otherwise(F.lit(0)).cast("long")
     return documents.join(side, same, "left").select(
         *keep, "__qn_size", F.col("__qn_of_source_size").alias("__qn_source_size"), F.col("__qn_of_target").alias("__qn_target"),
@@ -196,7 +210,7 @@ WITH e AS (
 d AS (
   SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 1)::INTEGER * 10
       + CASE WHEN substr(size::VARCHAR, 2, 1) >= '5' THEN 1 ELSE 0 END AS stratum,
-    coin % 64 AS bin, (coin // 64)::DOUBLE / 70368744177664::DOUBLE AS draw
+    coin % 4096 AS bin, (coin // 4096)::DOUBLE / 1099511627776::DOUBLE AS draw
   FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn FROM s),
@@ -214,12 +228,16 @@ q AS (
     ('0x' || substr(md5('mix-2|source|' || coalesce('=' || source, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS start
   FROM t),
 n AS (SELECT source, stratum, bin, count(*) FILTER (size > 0) AS n FROM d GROUP BY source, stratum, bin),
+g AS (SELECT source, stratum, sum(n)::BIGINT AS n FROM n GROUP BY source, stratum),
 c AS (
-  SELECT n.*, q.source_size, q.target, q.rate, q.rate - floor(q.rate) AS fraction, q.start,
-    (sum(n.n) OVER (PARTITION BY n.source ORDER BY n.stratum, n.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
-  FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source),
-k AS (SELECT *, floor(fraction * upto::DOUBLE + start) - floor(fraction * (upto - n)::DOUBLE + start) AS more FROM c)
+  SELECT g.*, q.source_size, q.target, q.rate, q.rate - floor(q.rate) AS fraction, q.start,
+    (sum(g.n) OVER (PARTITION BY g.source ORDER BY g.stratum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
+  FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, floor(fraction * upto::DOUBLE + start) - floor(fraction * (upto - n)::DOUBLE + start) AS wanted FROM c),
+m AS (
+  SELECT *, coalesce((sum(n) OVER (PARTITION BY source, stratum ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS before FROM n)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN size > 0 THEN (size * (floor(rate) + CASE WHEN draw * n::DOUBLE < more THEN 1 ELSE 0 END))::BIGINT ELSE 0 END AS taken
-FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.stratum = k.stratum AND d.bin = k.bin
+  CASE WHEN size > 0 THEN (size * (floor(rate) + CASE WHEN d.bin < m.bin OR (d.bin = m.bin AND draw * m.n::DOUBLE < wanted - before) THEN 1 ELSE 0 END))::BIGINT ELSE 0 END AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.stratum = k.stratum
+  LEFT JOIN m ON k.source IS NOT DISTINCT FROM m.source AND k.stratum = m.stratum AND before < wanted AND wanted <= before + m.n
 """
