@@ -9,15 +9,18 @@ which lies well under what its training texts reach (letter junk and unlearned l
 the same alphabet reach less; near relatives and texts of a few letters can go either way).
 
 The centroids are fitted on a sample of about SAMPLE labelled rows in all, shared equally by
-the languages (a language with fewer rows gives all), chosen by a hash of doc_id. Every value
+the languages (a language with fewer rows gives all), chosen by a hash of doc_id; equal texts
+of a language count once. Every value
 of lang is learned, however many there are, from about FEW rows at least if it has them. The
 features are computed on the executors; the driver gets 2 bytes x DIMS a row: some 32 MB up to
 SAMPLE / FEW languages, and beyond that some 64 KB a language.
 
 Null or empty texts and texts without a letter are "und" with score 0. Whole texts are used
-whatever their length. Equal cosines go to the smaller language name. Rows without lang,
+whatever their length. Ties: equal cosines go to the smaller language name. Rows without lang,
 text or doc_id are not learned from; with nothing to learn from, every text is "und".
-Repeated rows are judged alike and learned from once per doc_id. Extra columns are kept.
+Repeated rows are judged alike and learned from once; a doc_id with several texts is learned
+from with each, so the order of rows changes nothing. Empty tables give empty results. Extra
+columns are kept, but those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -156,7 +159,8 @@ def fit(rows: DataFrame) -> Model | None:
     place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     wanted = (F.col("lang") == F.col("__qn_lang")) & (place < F.least(F.lit(1.0), F.lit(float(each)) / F.col("__qn_n")))
     shares = broadcast_if_small(sizes, BROADCAST_LANGUAGES)
-    sample = rows.join(shares, wanted).dropDuplicates(["doc_id", "lang"])
+    # equal texts are the same whichever of them is kept
+    sample = rows.join(shares, wanted).withColumn("__qn_digest", F.md5("text")).dropDuplicates(["lang", "__qn_digest"])
 
     def run(batches):
         for batch in batches:
@@ -175,7 +179,8 @@ def identify(
     docs: DataFrame, model: Model | None, keep: list[str] | None = None, names=("lang_pred", "lang_score", "lang_rejected")
 ) -> DataFrame:
     """The columns of keep (all by default) with language, cosine and rejection under names."""
-    keep = docs.columns if keep is None else keep
+    made = {name.lower() for name in names}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     schema = T.StructType([docs.schema[c] for c in keep])
     for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())):
         schema = schema.add(name, kind)
@@ -199,6 +204,7 @@ def recognised(docs: DataFrame) -> DataFrame:
 
 
 def op9_language_id(spark, sf_dir):
+    """Language and score of every document; see the module for odd rows."""
     docs = table(spark, sf_dir, "documents")
     model = fit(training_rows(docs))
     fold = F.crc32(F.col("doc_id").cast("string")) % 3

@@ -1,3 +1,7 @@
+import math
+
+from pyspark.sql import functions as F
+
 from quillon.llm import language_id as l
 
 
@@ -26,8 +30,51 @@ def test_rows_without_letters_and_clashes(spark):
     assert l.recognised(docs).count() == 43
     assert l.fit(l.training_rows(docs.limit(0))) is None
     assert [r.lang_pred for r in l.identify(docs.limit(2), None).collect()] == ["und", "und"]
-    again = l.fit(l.training_rows(docs.repartition(3)))
-    assert (again.centroids == model.centroids).all()
+    clash = docs.selectExpr("*", "x AS lang_pred", "1 AS LANG_SCORE")
+    assert l.identify(clash, model).columns == [*docs.columns, "lang_pred", "lang_score", "lang_rejected"]
+    assert l.recognised(clash).columns == clash.columns
+
+
+def test_order_of_rows_changes_nothing(spark):
+    words = {"en": "cat sat on the mat and dog ran home".split(), "de": "Hund und die Katze sind nicht so müde".split()}
+    # every doc_id has several texts, some of them equal
+    rows = [(i % 20, " ".join(words[k][j % 9 % 8] for j in range(i % 7, i % 7 + 5)), k) for i in range(90) for k in words]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = [l.fit(l.training_rows(d)) for d in (docs, docs.repartition(3), docs.orderBy("text"), docs.orderBy("lang", F.desc("text")).coalesce(1))]
+    for m in models[1:]:
+        assert (m.centroids == models[0].centroids).all() and (m.limits == models[0].limits).all() and (m.idf == models[0].idf).all()
+
+
+def brute(rows, texts):
+    """Language and cosine of each text, by plain loops over the fitted centroids' training rows."""
+    model = l.fit(rows)
+    out = []
+    for t in texts:
+        folded = "".join(c.lower() if c.isalpha() else " " for c in t)
+        folded = " " + " ".join(folded.split()) + " "
+        counts = {}
+        for n in (1, 2, 3):
+            for at in range(len(folded) - n + 1):
+                h = 0
+                for j, c in enumerate(folded[at : at + n]):
+                    h = ((ord(c) if not j else h ^ (ord(c) + (0, 0x9E3779B9, 0x85EBCA6B)[j])) * 2654435761) % 2**32
+                counts[h >> 20] = counts.get(h >> 20, 0) + 1
+        weights = {h: math.log1p(n) * float(model.idf[h]) for h, n in counts.items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(float(c[h]) * w for h, w in weights.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: (round(cosines[k], 6), -k))
+        out.append((model.languages[model.of[best]], cosines[best]))
+    return out
+
+
+def test_cosines_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = l.training_rows(docs)
+    texts = [r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 3000][:60]
+    model = l.fit(rows)
+    for t, (lang, cosine) in zip(texts, brute(rows, texts)):
+        got = model.predict(t)
+        assert got[0] == lang and abs(got[1] - cosine) < 1e-4
 
 
 def test_pieces_count_the_whole_text(monkeypatch):
@@ -60,8 +107,8 @@ def test_unlearned_languages_and_letter_junk_are_rejected(spark):
 
 def test_every_language_is_learned(spark):
     word = lambda k, i: "".join(chr(0x4E00 + 12 * k + (i + j) % 12) for j in range(6))
-    rows = [(3 * k + i, word(k, i) + " " + word(k, i + 3), f"l{k:03}") for k in range(520) for i in range(3)]
+    rows = [(3 * k + i, word(k, i) + " " + word(k, i + 3), f"l{k:03}") for k in range(600) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = l.fit(docs)
-    assert model.languages == [f"l{k:03}" for k in range(520)]
+    assert model.languages == [f"l{k:03}" for k in range(600)]
     assert [model.predict(t)[0] for _, t, _ in rows[::97]] == [lang for _, _, lang in rows[::97]]
