@@ -7,15 +7,25 @@ the spread of the children by the method of moments. A page is blocked when the
 of its host's posterior exceeds the threshold; a host without outcomes has its domain's
 posterior, and so on upwards.
 
-The registered domain is the last two labels of a host without its port and user part, the
-suffix the last one; a host of one label is both. Null urls and urls without "://" have an
-empty host and path and are judged by the overall prior. Empty tables give empty results;
-without outcomes everything that no rule blocks is allowed. Repeated rows are judged alike,
-each on its own row. Rules are a short policy list held in the plan; outcomes of any number.
+The bound holds for every beta posterior, whatever its shape: a beta distribution of strength s
+is sub-Gaussian with variance proxy 1 / (4 (s + 1)), and Cantelli's inequality uses its own
+variance; the better of the two lower bounds is taken, each exceeded with probability RISK at most.
+
+The suffix is a host's last label, or its last two if the last is a country's (two letters) and
+the one before it is among SECOND; the registered domain has one label more. Ports, user parts
+and a final dot don't count; a host of a suffix alone is its own domain, and so is an IP
+address, whose suffix is empty. Null urls and urls without "://" have an empty host and path and
+are judged by the overall prior. Urls of any length are read whole. Ties: of rules that fit, the
+longest wins, and of equally long ones the greater text. Empty tables give empty results; without outcomes everything
+that no rule blocks is allowed. Repeated rows are judged alike, each on its own row. Extra
+columns are kept, but those named like an output are replaced. Rules are a short policy list
+held in the plan; outcomes of any number.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +41,16 @@ RULES = (
 )
 #: Block where the lower bound of the posterior rate of bad pages exceeds this.
 THRESHOLD = 0.5
-#: Standard deviations from the posterior mean to the bound, about the 5th percentile.
-BOUND = 1.645
+#: The probability that the posterior rate lies below its lower bound, at most.
+RISK = 0.05
+#: Labels under which countries register names, by convention.
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "govt", "mil", "ne", "net", "nom", "or", "org", "sch")
 #: Least and most strength of a prior, in pages.
 STRENGTH = (1.0, 1000.0)
 #: Reputations are broadcast up to so many hosts (some 60 bytes each).
 BROADCAST_HOSTS = 100_000
 LEVELS = ("host", "domain", "suffix")
+OUTPUTS = ("host", "path", "rule", "verdict", "bound")
 
 
 def url_host(url: Column) -> Column:
@@ -53,8 +66,12 @@ def url_path(url: Column) -> Column:
 
 def split_host(host: Column) -> tuple[Column, Column]:
     """The registered domain and the suffix."""
-    name = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
-    return F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.$", "")
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+    last = F.substring_index(name, ".", -1)
+    two = (F.length(last) == 2) & F.substring_index(F.substring_index(name, ".", -2), ".", 1).isin(*SECOND) & name.contains(".")
+    labels = lambda n: F.when(two, F.substring_index(name, ".", -n - 1)).otherwise(F.substring_index(name, ".", -n))
+    return F.when(address, name).otherwise(labels(2)), F.when(address, "").otherwise(labels(1))
 
 
 def best_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -118,13 +135,16 @@ def reputations(outcomes: DataFrame) -> dict:
 
 
 def lower_bound(mean: Column, strength: Column) -> Column:
-    """Of a beta posterior, by its mean and standard deviation."""
-    return mean - BOUND * F.sqrt(mean * (1 - mean) / (strength + 1))
+    """What a beta posterior's rate exceeds with a probability of 1 - RISK at least."""
+    shape_free = F.sqrt(F.lit(math.log(1 / RISK) / 2) / (strength + 1))
+    by_variance = F.sqrt(F.lit(1 / RISK - 1) * mean * (1 - mean) / (strength + 1))
+    return mean - F.least(shape_free, by_variance)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold=THRESHOLD) -> DataFrame:
     """pages (column url) with host, path, rule, verdict and the bound it rests on."""
     known = reputations(outcomes)
+    pages = pages.select(*[c for c in pages.columns if c.lower() not in OUTPUTS])
     domain, suffix = split_host(F.col("host"))
     judged = (
         pages.withColumn("host", url_host(F.col("url")))
@@ -148,7 +168,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold=THRESHOL
     bound = lower_bound(seen["mean"], seen["strength"])
     rule = best_rule(F.col("host"), F.col("path"), rules)
     return judged.select(
-        *[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "bound")],
+        *[F.col(c) for c in pages.columns],
         "host",
         "path",
         rule["rule"].alias("rule"),
@@ -175,6 +195,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page; see the module for odd rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
     return judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
@@ -190,11 +211,16 @@ h AS (
     CASE WHEN ok THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM p),
 u AS (
-  SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS name,
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\.$', '') AS name,
     regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS num FROM h),
+i AS (
+  SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') OR starts_with(name, '[') AS address FROM u),
+t AS (
+  SELECT *, CASE WHEN length(parts[-1]) = 2 AND coalesce(parts[-2], '') IN
+    ('ac', 'co', 'com', 'edu', 'gob', 'gov', 'govt', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'sch') THEN 2 ELSE 1 END AS size FROM i),
 k AS (
-  SELECT *, string_split(name, '.')[-1] AS suffix,
-    array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS domain FROM u),
+  SELECT *, CASE WHEN address THEN '' ELSE array_to_string(list_slice(parts, -size, -1), '.') END AS suffix,
+    CASE WHEN address THEN name ELSE array_to_string(list_slice(parts, -size - 1, -1), '.') END AS domain FROM t),
 l AS (
   SELECT doc_id, max(coalesce((toxic = 1 OR quality = 0)::INT, 0)) AS bad FROM labels GROUP BY doc_id),
 o AS (
@@ -229,6 +255,6 @@ r AS (
   FROM j)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN mean - least(sqrt(ln(20) / 2 / (strength + 1)), sqrt(19 * mean * (1 - mean) / (strength + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
