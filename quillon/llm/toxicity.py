@@ -58,8 +58,8 @@ FOLDS = 5
 END = "$"
 #: Distinct expressions that a task counts before it passes them on.
 PIECE = 200_000
-#: Expressions whose ratios a worker remembers before it starts afresh.
-KNOWN = 800_000
+#: Expressions whose ratios a task remembers before it starts afresh.
+KNOWN = 200_000
 #: Beginnings that are broadcast to the corpus's expressions at most (some 100 bytes each).
 BROADCAST_BEGINNINGS = 1_000_000
 
@@ -280,17 +280,14 @@ def score(docs: DataFrame, model: dict | None, keep: list[str], name: str = "tox
     keep = [c for c in keep if c.lower() != name.lower()]
     schema = T.StructType([docs.schema[c] for c in keep]).add(name, T.DoubleType())
     n = len(keep)
-    # A worker keeps the expressions it has scored with the broadcast.
-    sent = docs.sparkSession.sparkContext.broadcast({"model": model})
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        held = sent.value
-        if held["model"] and "ratios" not in held:
-            held["ratios"] = Ratios(held["model"])
-        ratios = held.get("ratios")
+        model = sent.value
+        ratios = Ratios(model) if model else None  # a task's own, so a worker's memory doesn't grow with its tasks
         for batch in batches:
             texts = (t.as_py() for t in batch.column(n))
-            found = [scored(ratios.feature(t), held["model"]["curve"]) if ratios is not None else 0.0 for t in texts]
+            found = [scored(ratios.feature(t), model["curve"]) if model else 0.0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.float64())], names=[*keep, name])
 
     return for_python(docs.select(*keep, F.col("text").alias("__qn_scored"))).mapInArrow(run, schema)
