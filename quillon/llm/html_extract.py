@@ -1,25 +1,28 @@
 """Main text of web pages by consensus host paths.
 
 Each page is parsed once into blocks of text and the containers that hold them. A container
-scores the length of the good text below it (no boilerplate, few links); the page's choice is
-the deepest container with most of that text, lifted to the article or main element around
-it or, without one, to the highest container below body, and the page votes for that container's path: tags and first classes from the root, with
-digits generalised. Votes are counted per host in Spark. Each page is then parsed again and
-the text below all containers on its host's winning path is returned, or below the page's
-own choice if it has none of them. Without an article or main element, good blocks that stand
-in body itself belong to the text, too; containers beside the winning one in body don't.
+scores the length of the good text below it (no boilerplate, few links), and the page votes for
+the path of the deepest container with most of that text: tags and first classes from the root,
+with digits generalised. Votes are counted per host in Spark. Each page is then parsed again
+and its text is taken around all containers on its host's winning path, or around its own
+deepest one if it has none of them: what the article or main element around them holds or,
+without one, the highest container below body. There, good blocks that stand in body itself
+belong to the text, too; containers beside the winning one in body don't.
 
 Left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-markup and reader comments, by element or by the words of class, id and role. Words as in
-has-sidebar or comments-open, and those of article and main elements or of an element with
-most of the page's text, mark nothing, but reader comments and consent go always. Character
+markup and reader comments, by element or by a name in class, id or role. A name marks if it is
+made of MARKS and PARTS only (ad-box, but not notice-period); words as in has-sidebar or
+comments-open don't, and no name does on article and main elements, beside a name of CONTENT, or
+on an element with most of the page's text, but for reader comments and consent. Character
 references are decoded, white space within a block becomes one space, blocks are joined by
 one space in page order, and nothing else is dropped or capped.
 
 A null or empty html gives an empty text; a page without markup is one block. A tag that the
 page's end cuts off is dropped, open elements then end. A null url, or one without "://",
 has the empty host and votes there. Repeated rows are pages of their own and each votes.
-Empty tables give empty results; extra columns don't matter. Parsing takes linear time.
+Ties: of paths with equal votes the smaller wins, of containers with equal text the deeper one.
+Empty tables give empty results. Columns that aren't kept don't matter, and one named like the
+output is replaced. Very long pages are read whole, in linear time.
 """
 
 from __future__ import annotations
@@ -77,6 +80,15 @@ MARKS = frozenset(
     "notice alert popup modal overlay share sharing social related recommended breadcrumb breadcrumbs newsletter "
     "subscribe signup login toolbar pagination pager search complementary contentinfo".split()
 )
+#: Words that may stand beside a mark in one name without making something else of it.
+PARTS = frozenset(
+    "box boxes list container wrapper wrap block section area widget widgets panel bar region slot unit zone module group "
+    "row col column inner outer top bottom left right site page global main primary secondary mobile desktop sticky fixed "
+    "floating links link buttons button icons icon form message text posts post articles article stories story news content "
+    "contents title heading label toggle trigger by on of the and to for us js is cta".split()
+)
+#: Names of what holds a page's text, whatever stands beside them.
+CONTENT = frozenset("content entry post article story body text main maincontent".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
@@ -89,13 +101,19 @@ DIGITS = re.compile(r"[0-9]+")
 
 def marks(value: str) -> set[str]:
     """The words of an attribute's value that mark boilerplate."""
-    found = set()
+    found, spared = set(), False
     for name in value.split():
-        words = ["", *map(str.lower, WORD.findall(name)), ""]
-        for before, word, after in zip(words, words[1:], words[2:]):
+        words = [w.lower() for w in WORD.findall(name)]
+        spared = spared or (bool(words) and CONTENT.issuperset(words))
+        own = set()
+        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
             if word in MARKS and before not in BEFORE and after not in AFTER:
-                found.add(word)
-    return found
+                own.add(word)
+            elif word not in PARTS and word not in MARKS:
+                break
+        else:
+            found |= own
+    return found & ALWAYS if spared else found
 
 
 class Page:
@@ -246,10 +264,9 @@ class Page:
             held[self.parents[c]] += held[c]
         return max((c for c in range(len(held)) if held[c] >= MOST * held[0]), default=0) if held[0] else 0
 
-    def choice(self) -> int:
-        """The container that the page votes for."""
-        at = highest = self.core()
-        main = None
+    def around(self, at: int) -> int:
+        """What holds a container's page text: article, else main, else the highest below body."""
+        highest, main = at, None
         while at:
             if self.tags[at] in MAIN:
                 main = at
@@ -262,28 +279,26 @@ class Page:
 
     def path(self) -> tuple[str, int]:
         """The voted path and whether there is any text to vote with."""
-        return self.paths[self.choice()], bool(self.blocks)
+        return self.paths[self.core()], bool(self.blocks)
 
     def main_text(self, winner: str | None) -> str:
-        """The text below the containers on the winning path, else below the page's choice."""
-        chosen = {c for c, p in enumerate(self.paths) if p == winner}
-        if not chosen:
-            chosen = {self.choice()}
-        core, n = self.core(), len(self.paths)
+        """The text around the containers on the winning path, else around the page's own."""
+        cores = {c for c, p in enumerate(self.paths) if p == winner} or {self.core()}
+        chosen = {self.around(c) for c in cores}
+        n = len(self.paths)
         inside, deep, main = [False] * n, [False] * n, [False] * n
         for c in range(n):
             up = self.parents[c]
             inside[c] = c in chosen or (c > 0 and inside[up])
-            deep[c] = c == core or (c > 0 and deep[up])
+            deep[c] = c in cores or (c > 0 and deep[up])
             main[c] = self.tags[c] in MAIN or (c > 0 and main[up])
-        # Around the container of most text, blocks of links are no part of a choice lifted
-        # from it, and titles and leads that stand in the page itself are one.
+        # Around the winning containers, blocks of links are no part of the text, and titles
+        # and leads that stand in the page itself are one.
         lifted = not any(main[c] for c in chosen)
-        strict = lifted and inside[core] and core not in chosen
         found = []
         for container, pieces, good in self.blocks:
             if inside[container]:
-                taken = good or deep[container] or not strict
+                taken = good or deep[container] or not lifted
             else:
                 taken = good and lifted and self.tags[container] in WHOLE
             if taken:
@@ -313,25 +328,27 @@ def winners(pages: DataFrame) -> DataFrame:
     return counted.groupBy("host").agg(best.alias("best")).select("host", F.col("best.path").alias("winner"))
 
 
-def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep with main_text."""
+def extract(pages: DataFrame, keep: list[str], name: str = "main_text") -> DataFrame:
+    """The columns of keep and, under name, the main text."""
+    keep = [c for c in keep if c.lower() != name.lower()]
     hosted = pages.select(*keep, F.coalesce(url_host(F.col("url")), F.lit("")).alias("__qn_host"), F.col("html").alias("__qn_html"))
     known = cut(winners(hosted.select(F.col("__qn_host").alias("host"), F.col("__qn_html").alias("html"))))
-    side = broadcast_if_small(known, BROADCAST_HOSTS).withColumnRenamed("host", "__qn_of")
-    joined = hosted.join(side, F.col("__qn_host") == F.col("__qn_of"), "left").select(*keep, "__qn_html", "winner")
-    schema = T.StructType([pages.schema[c] for c in keep]).add("main_text", T.StringType())
+    side = broadcast_if_small(known, BROADCAST_HOSTS).select(F.col("host").alias("__qn_of"), F.col("winner").alias("__qn_winner"))
+    joined = hosted.join(side, F.col("__qn_host") == F.col("__qn_of"), "left").select(*keep, "__qn_html", "__qn_winner")
+    schema = T.StructType([pages.schema[c] for c in keep]).add(name, T.StringType())
     n = len(keep)
 
     def run(batches):
         for batch in batches:
             rows = zip(batch.column(n), batch.column(n + 1))
             texts = [Page(h.as_py() or "").main_text(w.as_py()) for h, w in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*keep, "main_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=[*keep, name])
 
     return for_python(joined).mapInArrow(run, schema)
 
 
 def op1_html_extract(spark, sf_dir):
+    """The main text of every page and its code points; see the module for odd rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, ["page_id", "url"]).select(
         "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
