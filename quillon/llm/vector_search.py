@@ -1,21 +1,26 @@
 """Nearest neighbours by a block matrix join over int8 codes.
 
 Equal vectors are merged first: a class keeps its vector and, of its ids, the smallest
-k + 1, which is all that any answer can use. Classes are dealt to blocks of candidates,
-query classes to blocks of queries, and each pair of blocks is a tile, keyed so that tiles
-spread over all tasks and every block is shuffled once per tile it takes part in.
+k + 1, which is all that any answer can use. Classes are dealt to clusters by the nearest of
+PIVOTS vectors, and a cluster to blocks of BLOCK by hash. By the triangle inequality, a cluster's
+pivot, radius and size bound how far a query's answers can lie and how near its members can, so
+a query meets only the clusters that may hold an answer. Blocks of queries and of candidates
+meet in tiles, keyed so that tiles spread over all tasks.
 
-In a tile both sides are quantised to int8 with one scale a block. The product of the codes
+In a tile both sides are quantised to int8 with one scale a vector. The product of the codes
 (exact in 32-bit floats as long as a slice has at most SLICE dimensions) gives each
 distance within a bound: with quantisation errors e(q) and e(x), measured for each vector,
 |d - d'| <= e(q) + e(x). A candidate survives if d' less the bound is within the k-th
 smallest d' plus its bound. Survivors are recomputed in double precision on the original
-vectors, and a heap of the best goes on; heaps are merged per query class.
+vectors, and a heap of the best of a tile goes on; the heaps of a query's tiles are merged into
+one as they come, sorted by query.
 
 Null or empty vectors, vectors holding a null, NaN or infinity, and zero vectors take no
 part, as candidate or query; nor does a row without an id. Vectors of different lengths are
 never compared. Rows that repeat an id and its vector count once; an id that has several
-vectors is a query and a candidate with each. Fewer candidates than k give all of them. Empty tables give empty results; extra columns don't matter.
+vectors is a query and a candidate with each. Ties go to the smaller id. Fewer candidates than k
+give all of them. Vectors may be long. Empty tables give empty results; extra columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from quillon.llm.common import cut, table
 
 #: Most vectors in a block; a tile then holds 2 x BLOCK vectors and a slice of distances.
 BLOCK = 16384
-#: Blocks of candidates that are made at least, of LEAST vectors or more, to keep tasks busy.
-TILES, LEAST = 64, 128
+#: Vectors that clusters form around, chosen by a hash of their ids; they are all broadcast.
+PIVOTS = 64
 #: Dimensions whose int8 products sum exactly in a 32-bit float: 127 * 127 * 1024 < 2 ** 24.
 SLICE = 1024
 #: Distances held at once in a tile.
@@ -81,11 +86,12 @@ def classes(rows: DataFrame, k: int, every: int) -> DataFrame:
     return parts.groupBy("class").agg(F.first("v").alias("v"), smallest.alias("ids"), F.max("asked").alias("asked"))
 
 
-def codes(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """int8 codes of x, their scale, and the length of each row's quantisation error."""
-    scale = float(np.abs(x).max()) / 127 or 1.0
-    c = np.rint(x / scale).astype(np.int8)
-    error = np.linalg.norm(x - c.astype(np.float64) * scale, axis=1)
+def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes of x and, for each row, their scale and the length of its quantisation error."""
+    scale = np.abs(x).max(1, initial=0) / 127
+    scale[scale == 0] = 1.0
+    c = np.rint(x / scale[:, None]).astype(np.int8)
+    error = np.linalg.norm(x - c * scale[:, None], axis=1)
     return c, scale, error * (1 + 1e-9) + 1e-12 * scale
 
 
@@ -116,7 +122,7 @@ def tile(q: np.ndarray, x: np.ndarray, need: int):
     step = max(1, CELLS // len(x))
     for at in range(0, len(q), step):
         part = slice(at, at + step)
-        square = qn[part, None] + xn[None, :] - 2 * qs * xs * product(qc[part], xc)
+        square = qn[part, None] + xn[None, :] - 2 * (qs[part, None] * xs[None, :]) * product(qc[part], xc)
         about = np.sqrt(np.maximum(square, 0.0))
         # rounding of the squares themselves, which the square root can enlarge near zero
         slack = np.sqrt(1e-13 * (qn[part, None] + xn[None, :]))
@@ -136,22 +142,126 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
+class Pivots:
+    """Vectors to cluster by; a cluster is the place of its pivot, or -1 for lengths that have none."""
+
+    def __init__(self, vectors: list[list[float]]):
+        unique = sorted({tuple(v) for v in vectors})
+        self.places = {n: [i for i, v in enumerate(unique) if len(v) == n] for n in {len(v) for v in unique}}
+        self.vectors = {n: np.array([unique[i] for i in found], np.float64) for n, found in self.places.items()}
+
+    def rows(self, column) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """For each length: which rows of an Arrow list column have it, the length, and their vectors."""
+        sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+        found = []
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            found.append((at, int(n), _matrix(column.take(pa.array(at)))))
+        return found
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """From each row of x to each pivot of its length."""
+        return np.stack([np.linalg.norm(x - p, axis=1) for p in self.vectors[x.shape[1]]], axis=1)
+
+
+def placed(merged: DataFrame, pivots: Pivots) -> DataFrame:
+    """merged with dims, cluster and far, the distance from the cluster's pivot."""
+
+    def run(batches):
+        for batch in batches:
+            size = batch.num_rows
+            dims, cluster, far = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.zeros(size)
+            for at, n, x in pivots.rows(batch.column(1)):
+                dims[at] = n
+                if n in pivots.places:
+                    d = pivots.distances(x)
+                    best = d.argmin(1)
+                    cluster[at], far[at] = np.array(pivots.places[n])[best], d[np.arange(len(at)), best]
+            new = [pa.array(dims), pa.array(cluster), pa.array(far)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "dims", "cluster", "far"])
+
+    kind = merged.schema["v"].dataType.simpleString()
+    return merged.mapInArrow(run, f"class string, v {kind}, ids array<bigint>, asked boolean, dims int, cluster int, far double")
+
+
+def wanted(asked: DataFrame, pivots: Pivots, sizes: dict[int, tuple[int, float]], need: int) -> DataFrame:
+    """asked (class, v, dims) with clusters, those that may hold one of the need nearest classes.
+
+    sizes: by cluster, its number of classes and the largest distance from its pivot.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [[-1]] * batch.num_rows
+            for at, n, x in pivots.rows(batch.column(1)):
+                if n not in pivots.places:
+                    continue
+                places = [i for i, c in enumerate(pivots.places[n]) if c in sizes]
+                count, radius = (np.array(z) for z in zip(*[sizes[pivots.places[n][i]] for i in places]))
+                d = pivots.distances(x)[:, places]
+                # the clusters that lie wholly within a distance hold need classes from some cluster on
+                far = d + radius
+                order = np.argsort(far, axis=1)
+                held = np.cumsum(count[order], axis=1)
+                last = np.minimum((held < need).sum(1), len(places) - 1)
+                bound = np.where(held[:, -1] >= need, np.take_along_axis(far, order, 1)[np.arange(len(at)), last], np.inf)
+                near = d - radius <= (bound * (1 + 1e-9))[:, None] + 1e-9 * radius
+                for row, some in zip(at.tolist(), near):
+                    found[row] = [pivots.places[n][places[i]] for i in np.flatnonzero(some)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "clusters"])
+
+    kind = asked.schema["v"].dataType.simpleString()
+    return asked.select("class", "v", "dims").mapInArrow(run, f"class string, v {kind}, dims int, clusters array<int>")
+
+
+def merged_heaps(found: DataFrame, size: int) -> DataFrame:
+    """class and best, the size least (score, id) of its rows; a task holds one heap at a time."""
+
+    def run(batches):
+        name, heap = None, []
+        for batch in batches:
+            names, out = [], []
+            for n, i, d in zip(*(c.to_pylist() for c in batch.columns)):
+                if n != name:
+                    if name is not None:
+                        names.append(name)
+                        out.append([{"score": -d, "ids": -i} for d, i in sorted(heap, reverse=True)])
+                    name, heap = n, []
+                if len(heap) < size:
+                    heapq.heappush(heap, (-d, -i))
+                elif (-d, -i) > heap[0]:
+                    heapq.heapreplace(heap, (-d, -i))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, kind)], names=["class", "best"])
+        if name is not None:
+            last = [{"score": -d, "ids": -i} for d, i in sorted(heap, reverse=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([last], kind)], names=["class", "best"])
+
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.int64())]))
+    dealt = found.select("class", "ids", "score").repartition("class").sortWithinPartitions("class")
+    return dealt.mapInArrow(run, "class string, best array<struct<score: double, ids: bigint>>")
+
+
 def nearest(rows: DataFrame, id_column: str, vector: str, k: int = 10, every: int = EVERY) -> DataFrame:
     """query_id, rank, id and score: the k nearest other rows of each row whose id every divides."""
     spark = rows.sparkSession
     used = usable(rows, id_column, vector)
-    merged = cut(classes(used, k, every))
-    merged = merged.withColumn("dims", F.size("v"))
-    total = merged.count()
-    if not total:
+    # One class more than k, as a query's own class may hold no other id; a class counts
+    # for its smallest id, and all k + 1 ids stand at the class's distance.
+    need = k + 1
+    chosen = used.select("v", "id").orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(PIVOTS).collect()
+    pivots = Pivots([[float(a) for a in r["v"]] for r in chosen])
+    merged = cut(placed(classes(used, k, every), pivots))
+    stats = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.sum(F.col("asked").cast("long")).alias("asked")).collect()
+    if not stats:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    asked = merged.filter("asked")
-    across = max(-(-total // BLOCK), min(TILES, -(-total // LEAST)))
-    down = -(-max(1, asked.count()) // BLOCK)
-    spread = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("dims", spread(down).alias("qb"), "class", "v").withColumn("xb", each(across))
-    right = merged.select("dims", spread(across).alias("xb"), "ids", "v").withColumn("qb", each(down))
+    sizes = {r["cluster"]: (r["n"], r["far"]) for r in stats}
+    blocks = F.create_map(*[F.lit(x) for c, (n, _) in sizes.items() for x in (c, -(-n // BLOCK))])
+    down = -(-max(1, sum(r["asked"] for r in stats)) // BLOCK)
+    spread = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = wanted(merged.filter("asked"), pivots, sizes, need).withColumn("cluster", F.explode("clusters"))
+    left = left.select("dims", "cluster", spread(F.lit(down)).alias("qb"), "class", "v", each(blocks[F.col("cluster")]).alias("xb"))
+    right = merged.select("dims", "cluster", spread(blocks[F.col("cluster")]).alias("xb"), "ids", "v", each(F.lit(down)).alias("qb"))
 
     def run(queries, candidates):
         empty = pa.table({"class": pa.array([], pa.string()), "ids": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -159,9 +269,7 @@ def nearest(rows: DataFrame, id_column: str, vector: str, k: int = 10, every: in
             return empty
         q, x = _matrix(queries["v"]), _matrix(candidates["v"])
         names, ids = queries["class"].to_pylist(), candidates["ids"].to_pylist()
-        # One class more than k, as a query's own class may hold no other id; a class counts
-        # for its smallest id, and all k + 1 ids stand at the class's distance.
-        need, best = k + 1, [[] for _ in names]
+        best = [[] for _ in names]
         for a, b, d in tile(q, x, need):
             order = np.lexsort((b, d, a))
             a, b, d = a[order], b[order], d[order]
@@ -177,14 +285,13 @@ def nearest(rows: DataFrame, id_column: str, vector: str, k: int = 10, every: in
         columns = list(zip(*flat)) or [(), (), ()]
         return pa.table({"class": pa.array(columns[0], pa.string()), "ids": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    keys = ("dims", "qb", "xb")
+    keys = ("dims", "cluster", "qb", "xb")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "class string, ids bigint, score double")
-    one = F.struct("score", "ids")
-    merged_heaps = found.groupBy("class").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k + 1).alias("best"))
+    heaps = merged_heaps(found, need)
     # Back to single rows: one row a query, so a class that many queries share can be split.
     queries = used.filter(F.col("id") % every == 0).select("class", F.col("id").alias("query_id")).distinct()
     others = F.filter("best", lambda b: b["ids"] != F.col("query_id"))
-    answers = queries.join(merged_heaps, "class").select(
+    answers = queries.join(heaps, "class").select(
         "query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "b")
     )
     return answers.select(
@@ -193,6 +300,7 @@ def nearest(rows: DataFrame, id_column: str, vector: str, k: int = 10, every: in
 
 
 def op3_vector_search(spark, sf_dir):
+    """The 10 nearest of every hundredth vector; see the module for odd rows."""
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 

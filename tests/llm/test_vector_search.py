@@ -52,7 +52,7 @@ def test_int8_bounds_hold():
     c, scale, error = v.codes(x)
     exact = c.astype(np.int64) @ c.astype(np.int64).T
     assert (v.product(c, c) == exact).all()
-    assert (np.linalg.norm(x - c * scale, axis=1) <= error).all()
+    assert (np.linalg.norm(x - c * scale[:, None], axis=1) <= error).all()
     found = {i: set() for i in range(20)}
     for a, b, _ in v.tile(x[:20], x, 5):
         for i, j in zip(a, b):
@@ -60,3 +60,38 @@ def test_int8_bounds_hold():
     for i in range(20):
         d = np.linalg.norm(x - x[i], axis=1)
         assert set(np.argsort(d, kind="stable")[:5]) <= found[i]
+
+
+def survivors(x, need=11, queries=40):
+    return sum(len(a) for a, _, _ in v.tile(x[:queries], x, need))
+
+
+def test_an_outlier_leaves_the_bounds_of_others_as_they_are():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 32))
+    before = survivors(x)
+    x[3999] *= 10_000
+    assert survivors(x) <= 2 * before < 40 * 4000 / 20
+
+
+def test_far_clusters_are_not_met(spark, monkeypatch):
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 40) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 1) for c in centres[i % 12]]) for i in range(900)]
+    rows += [(900 + i, [1.0 + i, 2.0]) for i in range(30)] + [(1000, [5.0] * 7), (1001, [6.0] * 7)]
+    same(run(spark, rows), brute(rows, 10, 10))
+    df = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in rows], "vec_id bigint, embedding array<float>")
+    met = []
+    monkeypatch.setattr(v, "wanted", lambda *a, real=v.wanted: met.append(real(*a)) or met[-1])
+    v.nearest(df, "vec_id", "embedding", 10, 10)
+    clusters = [len(r.clusters) for r in met[0].filter("dims = 6").collect()]
+    assert 90 <= len(clusters) and sum(clusters) < 0.4 * v.PIVOTS * len(clusters)
+
+
+def test_heaps_of_many_tiles_are_merged(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), rng.randrange(400), float(rng.randrange(50))) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "class string, ids bigint, score double")
+    got = {r["class"]: [(b.score, b.ids) for b in r.best] for r in v.merged_heaps(df, 7).collect()}
+    assert got == {c: sorted((d, i) for n, i, d in rows if n == c)[:7] for c in "abc"}
+    assert v.merged_heaps(df.limit(0), 7).count() == 0
