@@ -59,7 +59,7 @@ class Table:
     def frame(self, spark: SparkSession, files: list[str] | None = None) -> DataFrame:
         """All rows, or those of some files."""
         if files is None and self.path:
-            return spark.read.parquet(self.path)
+            return spark.read.schema(self.schema).parquet(self.path)
         some = self.files if files is None else files
         if not some:
             return spark.createDataFrame([], self.schema)
@@ -139,5 +139,3 @@ class Catalog:
 
     def add_sequence(self, name: str, kind: str):
         self.sequences[name.lower()] = Sequence(name, kind)
-
-

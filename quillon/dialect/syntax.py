@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 
@@ -229,3 +229,14 @@ class CreateIndex:
 class AddConstraint:
     table: str
     constraint: Any
+
+
+def names(node) -> list[str]:
+    """The columns that a part of the tree names."""
+    if isinstance(node, Name):
+        return [node.name]
+    if isinstance(node, tuple):
+        return [n for part in node for n in names(part)]
+    if is_dataclass(node):
+        return [n for f in fields(node) for n in names(getattr(node, f.name))]
+    return []

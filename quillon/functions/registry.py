@@ -26,6 +26,8 @@ class Function:
     build: Callable
     least: int | None = None  # arguments needed, all by default
     repeat: bool = False  # whether the last parameter may be repeated
+    #: Of aggregates: "same" if repeats don't matter, else SQL over distinct columns, or None if there is none.
+    distinct: str | None = None
 
     def result(self, kinds: list):
         need = len(self.params) if self.least is None else self.least
@@ -77,6 +79,15 @@ def _summed(kinds):
     return types.NUMERIC if isinstance(kind, T.DecimalType) else types.DOUBLE
 
 
+#: No value at all gives null, as an aggregate does.
+JOINED = "array_join(array_sort(nullif(collect_set({0}), array())), first({1}))"
+
+
+def _joined(x, between):
+    values = F.nullif(F.collect_list(x), F.array().cast("array<string>"))
+    return F.call_function("array_join", F.array_sort(values), F.first(between))
+
+
 def scalars() -> Registry:
     text, whole = types.TEXT, types.BIGINT
     return Registry([
@@ -102,12 +113,14 @@ def scalars() -> Registry:
 def aggregates() -> Registry:
     whole, double = types.BIGINT, types.DOUBLE
     return Registry([
-        Function("count", (None,), whole, F.count),
-        Function("sum", (NUMBER,), _summed, F.sum),
-        Function("min", (None,), _same, F.min),
-        Function("max", (None,), _same, F.max),
-        Function("avg", (NUMBER,), double, F.avg),
-        Function("stddev", (NUMBER,), double, F.stddev),
-        Function("bool_and", (types.BOOLEAN,), types.BOOLEAN, F.bool_and),
-        Function("bool_or", (types.BOOLEAN,), types.BOOLEAN, F.bool_or),
+        Function("count", (None,), whole, F.count, distinct="count(DISTINCT {0})"),
+        Function("sum", (NUMBER,), _summed, F.sum, distinct="sum(DISTINCT {0})"),
+        Function("min", (None,), _same, F.min, distinct="same"),
+        Function("max", (None,), _same, F.max, distinct="same"),
+        Function("avg", (NUMBER,), double, F.avg, distinct="avg(DISTINCT {0})"),
+        Function("stddev", (NUMBER,), double, F.stddev, distinct="stddev(DISTINCT {0})"),
+        Function("bool_and", (types.BOOLEAN,), types.BOOLEAN, F.bool_and, distinct="same"),
+        Function("bool_or", (types.BOOLEAN,), types.BOOLEAN, F.bool_or, distinct="same"),
+        # in the order of the texts, as SQL leaves it open
+        Function("string_agg", (types.TEXT, types.TEXT), types.TEXT, _joined, distinct=JOINED),
     ])

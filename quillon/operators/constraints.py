@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +26,37 @@ class Constraints:
     def column(self, table: Table, expr):
         return self.planner.columns.make(self.planner.binder.bind(expr, table_scope(table)))
 
-    def validate(self, table: Table, new: DataFrame, others: DataFrame):
-        """new: rows to be added; others: the rows that stay beside them."""
-        required = [c.name for c in table.columns if not c.nullable]
-        if required and _any(new.filter(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in required]))):
-            raise ConstraintProblem(f"null in a column of {table.name} that is NOT NULL ({', '.join(required)})")
-        for constraint in table.constraints:
-            self.one(table, constraint, new, others)
+    def validate(self, table: Table, new: DataFrame, others: DataFrame, changed: set[str] | None = None):
+        """new: rows to be added; others: the rows that stay beside them.
+
+        changed: lower-cased columns that new rows may differ in from rows that were valid;
+        constraints on none of them hold still. All of a row's own conditions are one job.
+        """
+        touched = lambda names: changed is None or bool(changed & {n.lower() for n in names})
+        broken = []
+        for c in table.columns:
+            if not c.nullable and touched([c.name]):
+                broken.append((F.col(f"`{c.name}`").isNull(), f"null in column {c.name} of {table.name}, which is NOT NULL"))
+        for c in table.constraints:
+            if isinstance(c, s.Check) and touched(s.names(c.condition)):
+                # a null result passes
+                broken.append((F.coalesce(~self.column(table, c.condition), F.lit(False)), f"check {c.name or ''} of {table.name} fails"))
+        if broken:
+            found = new.agg(*[F.max(condition).alias(f"x{i}") for i, (condition, _) in enumerate(broken)]).first()
+            for seen, (_, problem) in zip(found, broken):
+                if seen:
+                    raise ConstraintProblem(problem)
+        for c in table.constraints:
+            if not isinstance(c, s.Check) and touched(c.columns):
+                self.one(table, c, new, others)
         for index in table.indexes:
-            if index.unique:
+            names = [n for e in (*index.keys, index.where) for n in s.names(e)]
+            if index.unique and (touched(names) or not names):
                 self.unique(table, index.name, index.keys, index.where, new, others)
 
     def one(self, table: Table, constraint, new: DataFrame, others: DataFrame):
         match constraint:
             case s.Check(condition, name):
-                # a null result passes
                 if _any(new.filter(~self.column(table, condition))):
                     raise ConstraintProblem(f"check {name or ''} of {table.name} fails")
             case s.PrimaryKey(columns, name):

@@ -19,6 +19,7 @@ from quillon.plans.bound import Col, Const
 from quillon.plans.select import Planner, Relation
 
 PLACE = ("__file", "__row")
+CHANGED = "__changed"
 
 
 class Mutations:
@@ -26,13 +27,18 @@ class Mutations:
         self.engine, self.planner, self.constraints = engine, planner, constraints
 
     def run(self, statement) -> DataFrame:
-        match statement:
-            case s.Insert():
-                rows = self.insert(statement)
-            case s.Update():
-                rows = self.update(statement)
-            case s.Delete():
-                rows = self.delete(statement)
+        made = len(self.engine.segments)
+        try:
+            match statement:
+                case s.Insert():
+                    rows = self.insert(statement)
+                case s.Update():
+                    rows = self.update(statement)
+                case s.Delete():
+                    rows = self.delete(statement)
+        except Exception:
+            self.engine.drop_segments(made)
+            raise
         if not statement.returning:
             return self.engine.nothing()
         return self.returned(self.engine.catalog.table(statement.table), statement, rows)
@@ -52,8 +58,13 @@ class Mutations:
     def default(self, column):
         return Const(None, types.NULL) if column.default is None else self.planner.binder.bind(column.default, Scope([]))
 
+    def segment(self, df: DataFrame, by: str | None = None) -> str:
+        path = storage.write_segment(df, by)
+        self.engine.segments.append(path)
+        return path
+
     def written(self, df: DataFrame) -> list[str]:
-        return storage.files_of(self.engine.spark, storage.write_segment(df))
+        return storage.files_of(self.engine.spark, self.segment(df))
 
     # INSERT
 
@@ -95,7 +106,7 @@ class Mutations:
         return self.planner.filtered(Relation(df, fields), statement.where).df, Scope(fields)
 
     def split(self, table: Table, statement, changes=()):
-        """Files with matches, their matching rows (with new values) and their other rows.
+        """Files with matches, and their rows: by CHANGED, those that match, with new values, and the others.
 
         changes: (column, expression) for UPDATE. Several matches of a row count once, with
         the least of the new values.
@@ -108,7 +119,7 @@ class Mutations:
         make = self.planner.columns.make
         names = [c.name for c in table.columns]
         if not statement.sources:
-            files = [r[0] for r in hits.select("__file").distinct().collect()]
+            files = self.hit(hits)
             uids = [f.uid for f in scope.fields]
             inside = self.target(table, statement, files).df.toDF(*uids, *PLACE)
             where = F.lit(True)
@@ -117,40 +128,52 @@ class Mutations:
                 where = F.coalesce(make(bound), F.lit(False))
             new = {c.name: e for c, e in made}
             items = [(n, new.get(n, Col(f.uid, f.type))) for n, f in zip(names, scope.fields)]
-            rows, items = self.planner.numbered(inside.filter(where), items)
-            changed = rows.select(*[make(e).cast(c.type).alias(n) for (n, e), c in zip(items, table.columns)])
-            rest = inside.filter(~where).select(*[F.col(u).alias(n) for n, u in zip(names, uids)])
-            return files, changed, rest
+            old = [F.col(u).alias(n) for n, u in zip(names, uids)]
+            if self.planner.advances(items):  # only rows that match are numbered
+                rows, items = self.planner.numbered(inside.filter(where), items)
+                changed = rows.select(*[make(e).cast(c.type).alias(n) for (n, e), c in zip(items, table.columns)], F.lit(True).alias(CHANGED))
+                return files, changed.unionByName(inside.filter(~where).select(*old, F.lit(False).alias(CHANGED)))
+            flagged = inside.withColumn(CHANGED, where)
+            values = [
+                F.when(F.col(CHANGED), make(e).cast(c.type)).otherwise(F.col(f.uid)).alias(n) if n in new else F.col(f.uid).alias(n)
+                for (n, e), c, f in zip(items, table.columns, scope.fields)
+            ]
+            return files, flagged.select(*values, CHANGED)
         values = F.struct(*[make(e).cast(c.type).alias(f"v{i}") for i, (c, e) in enumerate(made)], F.lit(0).alias("none"))
         once = hits.select(*PLACE, values.alias("__new")).groupBy(*PLACE).agg(F.min("__new").alias("__new"))
-        once = self.engine.spark.read.parquet(storage.write_segment(once))
-        files = [r[0] for r in once.select("__file").distinct().collect()]
-        inside = table.placed(self.engine.spark, files)
+        once = self.engine.spark.read.parquet(self.segment(once))
+        files = self.hit(once)
         order = {c.name: i for i, (c, _) in enumerate(made)}
-        changed = inside.join(once, list(PLACE)).select(
-            *[F.col(f"__new.v{order[n]}" if n in order else f"`{n}`").alias(n) for n in names]
-        )
-        rest = inside.join(once, list(PLACE), "left_anti").select(*[F.col(f"`{n}`") for n in names])
-        return files, changed, rest
+        joined = table.placed(self.engine.spark, files).join(once, list(PLACE), "left")
+        seen = F.col("__new").isNotNull()
+        values = [F.when(seen, F.col(f"__new.v{order[n]}")).otherwise(F.col(f"`{n}`")).alias(n) if n in order else F.col(f"`{n}`") for n in names]
+        return files, joined.select(*values, seen.alias(CHANGED))
+
+    @staticmethod
+    def hit(rows: DataFrame) -> list[str]:
+        """The files that rows (with PLACE) come from: names of files, never rows."""
+        return [storage.decoded(r[0]) for r in rows.select("__file").distinct().collect()]
 
     def update(self, statement: s.Update) -> DataFrame:
         spark, table = self.engine.spark, self.engine.catalog.table(statement.table)
-        hit, changed, rest = self.split(table, statement, statement.changes)
+        hit, rows = self.split(table, statement, statement.changes)
         if not hit:
             return table.frame(spark, [])
         kept = self.kept(table, hit)
-        new, other = self.written(changed), self.written(rest)
-        self.constraints.validate(table, table.frame(spark, new), table.frame(spark, kept + other))
+        parts = storage.files_by(spark, self.segment(rows, CHANGED), CHANGED)
+        new, other = parts.get("true", []), parts.get("false", [])
+        changed = {name.lower() for name, _ in statement.changes}
+        self.constraints.validate(table, table.frame(spark, new), table.frame(spark, kept + other), changed)
         table.files = kept + other + new
         return table.frame(spark, new)
 
     def delete(self, statement: s.Delete) -> DataFrame:
         spark, table = self.engine.spark, self.engine.catalog.table(statement.table)
-        hit, gone, rest = self.split(table, statement)
+        hit, rows = self.split(table, statement)
         if not hit:
             return table.frame(spark, [])
-        table.files = self.kept(table, hit) + self.written(rest)
-        return gone
+        table.files = self.kept(table, hit) + self.written(rows.filter(~F.col(CHANGED)).drop(CHANGED))
+        return rows.filter(CHANGED).drop(CHANGED)
 
     @staticmethod
     def kept(table: Table, hit: list[str]) -> list[str]:

@@ -79,9 +79,13 @@ class Columns:
         raise TypeError(op)
 
     def aggregate(self, agg: Agg) -> Column:
+        function = self.aggregates.get(agg.name)
         args = [self.make(a) for a in agg.args]
-        if agg.distinct and agg.name == "count":
+        if not agg.distinct or function.distinct == "same":
+            return function.build(*args).cast(agg.type)
+        if agg.name == "count":
             return F.count_distinct(*args)
-        if agg.distinct and agg.name == "sum":
-            return F.sum_distinct(*args).cast(agg.type)
-        return self.aggregates.get(agg.name).build(*args).cast(agg.type)
+        if function.distinct is None:
+            raise TypeProblem(f"{agg.name}() doesn't take DISTINCT")
+        # the planner has made the argument a column of its own
+        return F.expr(function.distinct.format(*[f"`{a.uid}`" for a in agg.args])).cast(agg.type)

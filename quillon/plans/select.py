@@ -16,7 +16,7 @@ from quillon.dialect import syntax as s
 from quillon.errors import NameProblem, TypeProblem
 from quillon.operators import numbering
 from quillon.plans.binder import Binder, Field, Scope
-from quillon.plans.bound import Col, Const, Op, aggregates, columns, parts, replaced
+from quillon.plans.bound import Agg, Col, Const, Op, aggregates, columns, parts, replaced
 from quillon.plans.columns import Columns
 
 
@@ -210,7 +210,11 @@ class Planner:
         """Grouped rows, and what became of group keys and aggregates."""
         keys = {e: Col(self.uid(), e.type) for e in dict.fromkeys(group)}
         sums = {a: Col(self.uid(), a.type) for a in aggs}
-        made = [self.columns.make(a).alias(c.uid) for a, c in sums.items()]
+        # DISTINCT goes over columns
+        own = {x: Col(self.uid(), x.type) for a in aggs if a.distinct for x in a.args if not isinstance(x, (Col, Agg))}
+        df = df.withColumns({c.uid: self.columns.make(x) for x, c in own.items()}) if own else df
+        ready = {a: replace(a, args=tuple(own.get(x, x) for x in a.args)) if a.distinct else a for a in aggs}
+        made = [self.columns.make(ready[a]).alias(c.uid) for a, c in sums.items()]
         named = [self.columns.make(e).alias(c.uid) for e, c in keys.items()]
         if not keys:
             df = df.agg(*made)
@@ -261,9 +265,14 @@ class Planner:
             raise TypeProblem("with DISTINCT, rows are ordered by selected expressions")
         return replace(relation, df=self.sliced(self.ordered(relation.df.distinct(), order), select))
 
+    @staticmethod
+    def advances(items) -> set[str]:
+        """The operators of the sequences that items advance."""
+        return {p.op for _, e in items for p in parts(e) if isinstance(p, Op) and p.op.startswith("nextval:")}
+
     def numbered(self, df, items):
         """Takes a block of each sequence that items advance: a value for each row."""
-        named = {p.op for _, e in items for p in parts(e) if isinstance(p, Op) and p.op.startswith("nextval:")}
+        named = self.advances(items)
         if not named:
             return df, items
         place = self.uid()

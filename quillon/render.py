@@ -19,14 +19,18 @@ def shown(value) -> str:
     return str(value)
 
 
-def _cells(df: DataFrame, most: int | None):
-    rows = df.collect() if most is None else df.limit(most).collect()
-    return df.columns, [[shown(v) for v in row] for row in rows]
+#: Rows that are shown at most; of more, these and a note.
+MOST = 10_000
 
 
-def table(df: DataFrame, most: int | None = None) -> str:
+def _cells(df: DataFrame, most: int):
+    rows = df.limit(most + 1).collect()
+    return df.columns, [[shown(v) for v in row] for row in rows[:most]], len(rows) > most
+
+
+def table(df: DataFrame, most: int = MOST) -> str:
     """Names are centred, numbers stand to the right, a count follows."""
-    names, rows = _cells(df, most)
+    names, rows, more = _cells(df, most)
     right = [types.is_number(f.dataType) for f in df.schema]
     widths = [max([len(n), *(len(line) for r in rows for line in r[i].split("\n"))]) for i, n in enumerate(names)]
     lines = []
@@ -38,12 +42,12 @@ def table(df: DataFrame, most: int | None = None) -> str:
         for i in range(max(map(len, cells))):
             parts = [c[i] if i < len(c) else "" for c in cells]
             lines.append(" " + " | ".join(p.rjust(w) if to else p.ljust(w) for p, w, to in zip(parts, widths, right)))
-    lines.append(f"({len(rows)} rows)")
+    lines.append(f"(the first {len(rows)} rows)" if more else f"({len(rows)} rows)")
     return "\n".join(lines) + "\n"
 
 
-def expanded(df: DataFrame, most: int | None = None) -> str:
-    names, rows = _cells(df, most)
+def expanded(df: DataFrame, most: int = MOST) -> str:
+    names, rows, more = _cells(df, most)
     width = max(map(len, names), default=0)
     values = max((len(line) for r in rows for c in r for line in c.split("\n")), default=0)
     lines = []
@@ -53,4 +57,6 @@ def expanded(df: DataFrame, most: int | None = None) -> str:
             first, *more = c.split("\n")
             lines.append(f"{n.ljust(width)} | {first}")
             lines += [f"{' ' * width} | {line}" for line in more]
+    if more:
+        lines.append(f"(the first {len(rows)} rows)")
     return "\n".join(lines) + "\n" if lines else "(0 rows)\n"

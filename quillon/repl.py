@@ -3,6 +3,7 @@
     exit            leaves
     \\x              switches between aligned and expanded output
     debug           switches plans before results on or off
+                    (of queries, and of the rows that a change would work on)
     load FOLDER     takes tables from a folder of Parquet tables
     load FILE.sql   runs a script
     load sample [schema|data]   makes the sample tables, from the folder's rows
@@ -68,7 +69,7 @@ class Shell:
 
     def show(self, text: str):
         began = time.time()
-        if self.debug and text.split(None, 1)[0].lower() in ("select", "with"):
+        if self.debug and text.split(None, 1)[0].lower() in ("select", "with", "insert", "update", "delete"):
             self.say(self.engine.explained(text))
         df = self.engine.sql(text)
         self.say((render.expanded if self.expanded else render.table)(df))

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillon import storage
 from quillon.catalog import Catalog
 from quillon.dialect import syntax as s
 from quillon.dialect.lexer import statements, tokens
@@ -49,6 +50,23 @@ class Engine:
         self.constraints = Constraints(self, self.planner)
         self.mutations = Mutations(self, self.planner, self.constraints)
         self.definitions = Definitions(self, self.planner, self.constraints)
+        self.segments: list[str] = []  # folders that statements have written
+
+    def drop_segments(self, start: int = 0):
+        """Deletes what statements have written, from a place on."""
+        for path in self.segments[start:]:
+            storage.remove(path)
+        del self.segments[start:]
+
+    def close(self):
+        """Deletes all that its statements have written; its tables can't be read any more."""
+        self.drop_segments()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
 
     def sequence(self, name: str):
         return self.catalog.sequence(name)

@@ -6,6 +6,7 @@ oracle is that last statement itself where DuckDB reads it alike, else its own S
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from quillon.session import Engine
@@ -21,6 +22,7 @@ class Workload:
         return Engine(spark, folder).script(self.sql)[-1]
 
 
+# The sets that set operations are tried on, a truth table, nulls among values.
 LEFT = "(VALUES (1), (2), (2), (3), (3), (3), (4), (4), (4), (4)) a(n)"
 RIGHT = "(VALUES (1), (3), (3), (5)) b(n)"
 TRUTH = "(VALUES (1, TRUE), (2, FALSE), (3, NULL)) t(id, b)"
@@ -118,7 +120,17 @@ WORKLOADS = [
              "SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 3"),
     Workload("agg_events", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type"),
     Workload("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS buyers FROM orders GROUP BY o_orderstatus"),
+    Workload("agg_distinct_avg", "SELECT o_orderstatus, round(avg(DISTINCT o_custkey + 1), 6) AS mean, count(*) AS n FROM orders GROUP BY o_orderstatus"),
+    Workload("agg_distinct_stddev", "SELECT round(stddev(DISTINCT p_size), 6) AS spread, round(stddev(p_size), 6) AS of_all, sum(DISTINCT p_size) AS total, min(DISTINCT p_size) AS low FROM part"),
+    Workload("agg_string", "SELECT r.r_name, string_agg(DISTINCT n.n_name, ', ') AS nations FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
+             "SELECT r.r_name, string_agg(DISTINCT n.n_name, ', ' ORDER BY n.n_name) AS nations FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name"),
     # order and limits
+    Workload("join_sort_limit", """SELECT c.c_name, o.o_orderkey, n.n_name FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey
+        JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.o_totalprice > 1000.0 ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 20"""),
+    Workload("order_nulls_first", f"SELECT id, x FROM {NULLS} ORDER BY x NULLS FIRST, id DESC LIMIT 3"),
+    Workload("order_nulls_last_desc", f"SELECT id, x FROM {NULLS} ORDER BY x DESC NULLS LAST, id LIMIT 3"),
+    Workload("now", "SELECT r_regionkey, now() IS NOT NULL AND now() > CAST('2020-01-01' AS timestamp with time zone) AS later FROM region",
+             "SELECT r_regionkey, TRUE AS later FROM region"),
     Workload("order_multi_mixed", "SELECT p_brand, p_size, p_partkey FROM part ORDER BY p_size DESC, p_brand, p_partkey DESC LIMIT 50"),
     Workload("order_expr", "SELECT p_partkey FROM part ORDER BY p_size * -1, p_partkey LIMIT 25"),
     Workload("order_alias", "SELECT p_partkey AS k, p_retailprice - p_size AS gap FROM part ORDER BY gap DESC, k LIMIT 25"),
@@ -221,14 +233,108 @@ def _violations(spark, folder):
     return spark.createDataFrame(found, "violation string, refused boolean, rows bigint")
 
 
+def _refusals(spark, folder):
+    """Statements that mean nothing are refused, each with its kind of problem."""
+    from quillon.errors import EngineProblem
+
+    engine, found = Engine(spark, folder), []
+    for name, text in (
+        ("ungrouped column", "SELECT r_name, count(*) FROM region"), ("column beside its key", "SELECT r_name FROM region GROUP BY r_regionkey"),
+        ("aggregate in WHERE", "SELECT r_name FROM region WHERE count(*) > 1"), ("aggregate as a key", "SELECT count(*) AS n FROM region GROUP BY count(*)"),
+        ("nested aggregates", "SELECT sum(count(*)) AS n FROM region"), ("unknown column", "SELECT x FROM region"),
+        ("grouped expression", "SELECT r_regionkey + 1 AS k, count(*) AS n FROM region GROUP BY r_regionkey + 1"),
+    ):
+        try:
+            problem = "none" if engine.sql(text) else ""
+        except EngineProblem as refused:
+            problem = type(refused).__name__
+        found.append((name, problem))
+    return spark.createDataFrame(found, "statement string, problem string")
+
+
+def _rendered(spark, folder):
+    """The lines of a table and of records as the shell shows them."""
+    from quillon import render
+
+    df = Engine(spark, folder).sql("SELECT id, name, ok FROM (VALUES (1, 'x', TRUE), (20, NULL, FALSE)) v(id, name, ok) ORDER BY id")
+    lines = [*render.table(df).splitlines(), *render.expanded(df).splitlines()]
+    return spark.createDataFrame(list(enumerate(lines)), "place bigint, line string")
+
+
+def _shell(spark, folder):
+    """What the shell says to a few lines, but for times."""
+    import io
+
+    from quillon.repl import Shell
+
+    out = io.StringIO()
+    shell = Shell(Engine(spark, folder), out)
+    for line in ("select r_name", "from region order by r_name limit 1;", "select nonsense from region;", "\\x", "select r_regionkey from region limit 0;"):
+        shell.feed(line)
+    lines = [x for x in out.getvalue().splitlines() if x and not x.startswith("Time")]
+    return spark.createDataFrame(list(enumerate(lines)), "place bigint, line string")
+
+
+def _functions(spark, folder):
+    """Functions of one's own, scalar and aggregate, beside the engine's."""
+    from pyspark.sql import functions as F
+
+    from quillon import types
+
+    engine = Engine(spark, folder)
+    engine.functions.register("twice", [types.TEXT], types.TEXT, lambda x: F.concat(x, x))
+    engine.aggregates.register("spread", [types.DOUBLE], types.DOUBLE, lambda x: F.max(x) - F.min(x))
+    return engine.sql("SELECT twice(c_mktsegment) AS name, spread(c_acctbal) AS spread FROM customer GROUP BY twice(c_mktsegment)")
+
+
+def _sample(spark, folder):
+    """The sample database's script, loaded from the folder's tables."""
+    from quillon.sources import sample
+
+    engine = Engine(spark, folder)
+    sample.load(engine)
+    return engine.sql("""SELECT a.area, count(*) AS clients FROM clients c JOIN countries d ON d.country_id = c.country_id
+        JOIN areas a ON a.area_id = d.area_id GROUP BY a.area""")
+
+
+def _stream(spark, folder):
+    """A stream of Parquet files as a table, joined and grouped until it has all that there is."""
+    from quillon.streaming.queries import start
+
+    engine, name = Engine(spark, folder), f"streamed_{uuid.uuid4().hex}"
+    path = f"{folder}/orders.parquet"
+    engine.register("feed", spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/orders*.parquet"))
+    query = start(engine, "SELECT c.c_mktsegment, count(*) AS n FROM feed f JOIN customer c ON c.c_custkey = f.o_custkey GROUP BY c.c_mktsegment", name, "complete")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.table(name)
+
+
 def _explain(spark, folder):
     """EXPLAIN gives one row with one text column; the plan's wording is Spark's."""
     plan = Engine(spark, folder).sql("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 3")
     return plan.selectExpr("`query plan` LIKE '%PushedFilters%n_nationkey%' AS pushed")
 
 
-QUERIES = {w.name: w.run for w in WORKLOADS} | {"constraint_violations": _violations, "explain": _explain}
+OTHERS = {
+    "constraint_violations": _violations, "explain": _explain, "refusals": _refusals, "rendered": _rendered, "shell": _shell,
+    "functions_registered": _functions, "sample_database": _sample, "stream_as_table": _stream,
+}
+QUERIES = {w.name: w.run for w in WORKLOADS} | OTHERS
 ORACLES = {w.name: w.oracle or w.sql for w in WORKLOADS} | {
     "constraint_violations": "SELECT * FROM (VALUES ('primary key', TRUE, 1::BIGINT), ('not null', TRUE, 1), ('foreign key', TRUE, 1), ('check', TRUE, 1), ('none', FALSE, 2)) v(violation, refused, rows)",
     "explain": "SELECT TRUE AS pushed",
+    "refusals": """SELECT * FROM (VALUES ('ungrouped column', 'TypeProblem'), ('column beside its key', 'TypeProblem'), ('aggregate in WHERE', 'TypeProblem'),
+        ('aggregate as a key', 'TypeProblem'), ('nested aggregates', 'TypeProblem'), ('unknown column', 'NameProblem'), ('grouped expression', 'none')) v(statement, problem)""",
+    "rendered": """SELECT * FROM (VALUES (0::BIGINT, ' id |  name  | ok'), (1, '----+--------+----'), (2, '  1 | x      | t '), (3, ' 20 | [NULL] | f '),
+        (4, '(2 rows)'), (5, '-[ RECORD 1 ]'), (6, 'id   | 1'), (7, 'name | x'), (8, 'ok   | t'), (9, '-[ RECORD 2 ]'), (10, 'id   | 20'),
+        (11, 'name | [NULL]'), (12, 'ok   | f')) v(place, line)""",
+    "shell": """SELECT * FROM (VALUES (0::BIGINT, ' r_name'), (1, '--------'), (2, ' AFRICA'), (3, '(1 rows)'), (4, 'error: unknown column nonsense'),
+        (5, 'Expanded display is on.'), (6, '(0 rows)')) v(place, line)""",
+    "functions_registered": "SELECT c_mktsegment || c_mktsegment AS name, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY ALL",
+    "sample_database": """SELECT r.r_name AS area, count(*) AS clients FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
+        JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY ALL""",
+    "stream_as_table": "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
 }

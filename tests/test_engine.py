@@ -8,6 +8,7 @@ from quillon.errors import ConstraintProblem, EngineProblem, NameProblem, TypePr
 from quillon.session import Engine
 
 SF = "/root/testdata/sf0.001"
+# The sets that set operations are tried on, and the truth tables below.
 LEFT = "(VALUES (1), (2), (2), (3), (3), (3), (4), (4), (4), (4)) a(n)"
 RIGHT = "(VALUES (1), (3), (3), (5)) b(n)"
 
@@ -227,6 +228,24 @@ def test_rendering(engine):
     assert render.table(engine.sql("SELECT r_name FROM region LIMIT 0")).endswith("(0 rows)\n")
 
 
+def test_rendering_is_bounded(engine):
+    df = engine.sql("SELECT n_nationkey FROM nation ORDER BY n_nationkey")
+    assert render.table(df, most=3).splitlines()[2:] == ["           0", "           1", "           2", "(the first 3 rows)"]
+    assert render.expanded(df, most=2).splitlines()[-1] == "(the first 2 rows)" and render.table(df, most=25).endswith("(25 rows)\n")
+
+
+def test_plans_of_changes_in_the_shell(engine):
+    import io
+
+    from quillon.repl import Shell
+
+    out = io.StringIO()
+    shell = Shell(engine, out)
+    for line in ("create table q (a integer);", "debug", "insert into q select r_regionkey from region;", "update q set a = 7 where a > 2;", "delete from q where a = 7;"):
+        shell.feed(line)
+    assert out.getvalue().count("Physical Plan") == 3 and engine.sql("SELECT count(*) AS n FROM q").first()[0] == 3
+
+
 def test_shell(engine, tmp_path):
     import io
 
@@ -321,3 +340,87 @@ def test_sequences_in_updates(engine):
         engine.sql("SELECT a FROM q WHERE nextval('s') > 1")
     engine.sql("UPDATE q SET b = NULL")
     assert rows(engine.sql("SELECT count(b) AS n, count(*) AS m FROM q")) == [(0, 3)]
+
+
+def test_changes_in_a_folder_of_any_name(spark, tmp_path, monkeypatch):
+    from quillon import storage
+
+    folder = str(tmp_path / "a b%c+d é")
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: folder)
+    with Engine(spark, SF) as engine:
+        engine.script("CREATE TABLE t (a integer PRIMARY KEY, b text); INSERT INTO t VALUES (1, 'x'), (2, 'y'); INSERT INTO t VALUES (3, 'z')")
+        engine.sql("UPDATE t SET b = b || '!' WHERE a > 1")
+        engine.sql("UPDATE t SET b = v.n FROM (VALUES (1, 'new')) v(k, n) WHERE v.k = t.a")
+        assert rows(engine.sql("DELETE FROM t WHERE a = 2 RETURNING b")) == [("y!",)]
+        assert sorted(rows(engine.sql("SELECT a, b FROM t"))) == [(1, "new"), (3, "z!")]
+        # a table that lies in such a folder can be changed, too
+        spark.range(4).write.parquet(f"{folder}/own.parquet")
+        engine.catalog.load(spark, "own", f"{folder}/own.parquet")
+        engine.sql("DELETE FROM own WHERE id = 2")
+        assert sorted(rows(engine.sql("SELECT id FROM own"))) == [(0,), (1,), (3,)]
+
+
+def test_nothing_stays_of_failed_changes_and_closed_engines(spark, tmp_path, monkeypatch):
+    import os
+
+    from quillon import storage
+
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(folder))
+    with Engine(spark, SF) as engine:
+        engine.script("CREATE TABLE t (a integer PRIMARY KEY, b integer CHECK (b > 0)); INSERT INTO t VALUES (1, 1), (2, 2)")
+        before = sorted(os.listdir(folder))
+        for text in ("INSERT INTO t VALUES (1, 3)", "UPDATE t SET b = 0", "UPDATE t SET a = 1 FROM (VALUES (2)) v(k) WHERE v.k = t.a", "INSERT INTO t VALUES (7, 0)"):
+            with pytest.raises(ConstraintProblem):
+                engine.sql(text)
+            assert sorted(os.listdir(folder)) == before
+        with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+            engine.sql("UPDATE t SET b = 1 / (b - b)")
+        assert sorted(os.listdir(folder)) == before and engine.sql("SELECT sum(b) AS n FROM t").first()[0] == 3
+    assert os.listdir(folder) == []
+
+
+def test_only_constraints_on_changed_columns_are_checked(engine, monkeypatch):
+    engine.script("""CREATE TABLE p (id integer PRIMARY KEY); INSERT INTO p VALUES (1);
+        CREATE TABLE t (a integer PRIMARY KEY, b integer REFERENCES p (id), c integer NOT NULL CHECK (c > b), d text);
+        CREATE UNIQUE INDEX by_d ON t (length(d)); INSERT INTO t VALUES (1, 1, 2, 'x'), (2, NULL, 5, 'yy')""")
+    seen = []
+    for name in ("unique", "foreign"):
+        real = getattr(engine.constraints, name)
+        monkeypatch.setattr(engine.constraints, name, lambda *a, name=name, real=real: (seen.append(name), real(*a)))
+    engine.sql("UPDATE t SET c = c + 1")
+    assert seen == []
+    engine.sql("UPDATE t SET d = d || 'z' WHERE a = 2")
+    assert seen == ["unique"]
+    engine.sql("UPDATE t SET b = 1")
+    assert seen == ["unique", "foreign"]
+    for text in ("UPDATE t SET b = 9", "UPDATE t SET c = NULL", "UPDATE t SET c = 0", "UPDATE t SET b = 1, c = 1", "UPDATE t SET a = 2", "UPDATE t SET d = 'q'"):
+        with pytest.raises(ConstraintProblem):
+            engine.sql(text)
+
+
+def test_distinct_aggregates(engine):
+    values = "(VALUES (1, 1, 'b'), (1, 1, 'a'), (1, 4, 'b'), (2, 7, NULL), (2, NULL, NULL)) v(g, x, t)"
+    got = engine.sql(f"SELECT g, avg(DISTINCT x) AS a, stddev(DISTINCT x) AS s, sum(DISTINCT x * 2) AS t, count(DISTINCT x) AS n, avg(x) AS p FROM {values} GROUP BY g ORDER BY g")
+    assert [tuple(r) for r in got.collect()] == [(1, 2.5, pytest.approx(4.5**0.5), 10, 2, 2.0), (2, 7.0, None, 14, 1, 7.0)]
+    assert rows(engine.sql(f"SELECT min(DISTINCT x) AS a, max(DISTINCT x) AS b, bool_and(DISTINCT x > 0) AS c FROM {values}")) == [(1, 7, True)]
+    assert rows(engine.sql(f"SELECT string_agg(t, '-') AS a, string_agg(DISTINCT t, '-') AS b FROM {values}")) == [("a-b-b", "a-b")]
+    assert rows(engine.sql(f"SELECT avg(DISTINCT x) AS a, string_agg(t, '-') AS b FROM {values} WHERE FALSE")) == [(None, None)]
+    engine.aggregates.register("spread", [None], engine.aggregates.get("sum").returns, lambda x: x)
+    with pytest.raises(TypeProblem):
+        engine.sql(f"SELECT spread(DISTINCT x) AS a FROM {values}")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quillon import storage
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(EngineProblem, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session)
