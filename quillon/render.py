@@ -54,9 +54,9 @@ def expanded(df: DataFrame, most: int = MOST) -> str:
     for i, r in enumerate(rows, 1):
         lines.append(f"-[ RECORD {i} ]".ljust(width + values + 3, "-"))
         for n, c in zip(names, r):
-            first, *more = c.split("\n")
+            first, *others = c.split("\n")
             lines.append(f"{n.ljust(width)} | {first}")
-            lines += [f"{' ' * width} | {line}" for line in more]
+            lines += [f"{' ' * width} | {line}" for line in others]
     if more:
         lines.append(f"(the first {len(rows)} rows)")
     return "\n".join(lines) + "\n" if lines else "(0 rows)\n"
