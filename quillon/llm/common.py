@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.storage import fresh_path, keep_track, remove, shared_folder
+
 #: ASCII white space ends a word here; every other character belongs to one.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,24 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and every executor reach.
+#: Of each scratch() that is open, what has been made within it.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes, at its end, the checkpoints and folders that operators make within it.
 
-    It is the cluster's spark.checkpoint.dir. Only a session without one, as in tests,
-    gets a temporary folder of its own.
+    What they return must have been written or collected by then. Without it these stay until
+    the process ends, as a DataFrame that was returned may still read them.
     """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillon-")
-        context.setCheckpointDir(named)
-    return named
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    written = made._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if written.isDefined():
+        keep_track(written.get())
+        if _open:
+            _open[-1].append(written.get())
+    return made
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, which scratch() deletes."""
+    path = fresh_path(spark, name)
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 #: Bytes of rows that go to Python at once.
@@ -54,16 +76,6 @@ def for_python(df: DataFrame) -> DataFrame:
     return df
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df, marked for broadcast only when counted and found within max_rows.
 

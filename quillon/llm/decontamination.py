@@ -8,11 +8,14 @@ its end words are compared, and what is left is verified word for word in place.
 
 Documents are read twice, for the rarities and for the join, and neither pass shuffles more
 than counts and hits. Windows are broadcast in chunks of at most CHUNK rows, a pass for each
-chunk, so a benchmark of any size is joined in bounded memory.
+chunk, so a benchmark of any size is joined in bounded memory; with several chunks documents
+are first numbered and written once.
 
 Null or empty texts have no words, and neither side of them matches. Items may repeat: ids
 are listed once, and a null id is not listed. Repeated documents are rows of their own.
-Extra columns don't matter. An empty benchmark hits nothing; no documents, no rows.
+Ties: of equally rare words the smaller is the prefix, at its first place. Very long texts are
+read whole. Extra columns don't matter, whatever their names. An empty benchmark hits nothing;
+no documents, no rows.
 """
 
 from __future__ import annotations
@@ -65,7 +68,9 @@ def rarities(docs: DataFrame, wins: DataFrame) -> DataFrame:
     # lower() may merge words that differ in scripts beyond ASCII; it does so on both sides,
     # so no window is missed, and the verification below tells them apart.
     held = docs.select(F.explode(raw_words(F.col("text"))).alias("w")).select(F.lower("w").alias("word"))
-    counts = held.join(side, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda df: df.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # beyond the bound words are counted first, so that none is shuffled occurrence by occurrence
+    counts = counted(held).join(side, "word", "left_semi") if side is vocabulary else counted(held.join(side, "word", "left_semi"))
     return vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -88,11 +93,9 @@ def prefixes(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, joined: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each document at least, and one for each window found: keep, n_words, hit."""
+    """A row for each document (__qn_row) at least, and one for each window found: keep, n_words, hit."""
     words = F.col("__qn_words")
-    placed = docs.select(
-        F.monotonically_increasing_id().alias("__qn_row"), *keep, raw_words(F.col("text")).alias("__qn_words")
-    )
+    placed = docs.select("__qn_row", *keep, raw_words(F.col("text")).alias("__qn_words"))
     placed = placed.select("*", word_total(words).alias("n_words"), F.posexplode("__qn_words").alias("__qn_at", "__qn_w"))
     start = F.col("__qn_at") - F.col("offset")
     in_place = F.slice(words, start + 1, F.col("length"))
@@ -129,6 +132,9 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     parts = -(-max(1, joined.count()) // chunk)
     # A document may hold windows of several chunks; a chunk's rows are told apart by hash.
     dealt = joined.withColumn("__qn_part", F.pmod(F.xxhash64("text_of"), F.lit(parts)))
+    docs = docs.select(F.monotonically_increasing_id().alias("__qn_row"), *keep, "text")
+    if parts > 1:  # several passes must see the same numbers
+        docs = cut(docs)
     rows = None
     for part in range(parts):
         some = hits(docs, dealt.filter(F.col("__qn_part") == part).drop("__qn_part"), keep)
@@ -153,6 +159,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op6_decontamination(spark, sf_dir):
+    """Words, hits, items and verdict of every document; see the module for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
     return out.select(

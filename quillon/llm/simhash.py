@@ -1,28 +1,31 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A fingerprint has 64 bits, from the XXH64 of every word shingle of the whole text. Two
-fingerprints link at RADIUS or fewer differing bits. Each bit position i has a non-zero
-code c(i) of RADIUS + 1 bits. Table v, one for each of the 2**(RADIUS + 1) - 1 non-zero v,
-keeps the bits whose <c(i), v> is odd. Up to RADIUS differing positions give as many linear
+fingerprints link at r or fewer differing bits (r is RADIUS, or another up to MOST). Each bit
+position i has a non-zero code c(i) of r + 1 bits. Table v, one for each of the 2**(r + 1) - 1
+non-zero v, keeps the bits whose <c(i), v> is odd. Up to r differing positions give as many linear
 conditions on v, so some v meets them all: the pair agrees on all that table v keeps and
 meets in a bucket of that table. No pair within the radius is missed.
 
 Equal fingerprints are merged before any table is built, so groups of copies cost one row.
 A bucket of more than SPLIT members is dealt again by a second family of codes, for which
-the same argument holds within the bucket; buckets then share so many bits that their size
-is bounded by 2 ** FREE_BITS whatever the data are. Inside a bucket a breadth-first search
+the same argument holds within the bucket, before its members meet; buckets then share so many
+bits that their size is bounded by 2 ** free_bits() whatever the data are. Inside a bucket a breadth-first search
 returns a star per component, never all pairs. Components come from alternating rounds of
 star contraction over links, as Spark jobs with checkpoints.
 
 Null, empty or wordless texts have fingerprint zero and link like any other. Fewer words
 than the shingle's give one shingle of all of them. Rows with equal doc_id are documents of
 their own; a null doc_id takes part in links but never names a component unless all its
-members lack one, and then the component is null. Empty tables give empty results. Extra
-columns don't matter.
+members lack one, and then the component is null. Very long texts are read whole, in bounded
+memory. Ties: of a component's rows the smallest doc_id names it. Empty tables give empty
+results. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,34 +38,38 @@ from quillon.llm.common import broadcast_if_small, cut, for_python, table
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-TABLES = range(1, 2 ** (RADIUS + 1))
+#: The largest radius that masks are made for: 127 tables.
+MOST = 6
 #: Larger buckets are dealt by the second family of codes.
 SPLIT = 8192
 #: Keys of rows that go are broadcast up to so many (some 60 bytes each).
 BROADCAST_GONE = 1_000_000
+#: Keys of buckets with several members are broadcast up to so many (some 40 bytes each).
+BROADCAST_BUCKETS = 500_000
 
 
-def _codes() -> list[int]:
-    """A non-zero code for each bit position, each value about equally often."""
-    n = len(TABLES)
-    return [1 + i % n for i in range(64)]
-
-
-def _masks(codes: list[int]) -> list[int]:
+def _masks(codes: list[int], tables: int) -> list[int]:
     """For each table, the bits that it keeps, as an unsigned number."""
-    return [sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() % 2) for v in TABLES]
+    return [sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() % 2) for v in range(1, tables + 1)]
 
 
-def _second() -> list[int]:
-    """Codes spread anew over the positions that share a first code."""
-    n = len(TABLES)
-    return [1 + (8 * (i % n) + 14 * (i // n) + 3 * (i % n) * (i // n)) % n for i in range(64)]
+@cache
+def families(radius: int) -> tuple[list[int], list[int]]:
+    """The masks of the first and the second family of tables for a radius."""
+    if not 0 <= radius <= MOST:
+        raise ValueError(f"a radius from 0 to {MOST} is needed, not {radius}")
+    n = 2 ** (radius + 1) - 1
+    # a non-zero code for each bit position, each value about equally often
+    first = [1 + i % n for i in range(64)]
+    # spread anew over the positions that share a first code
+    second = [1 + (8 * (i % n) + 14 * (i // n) + 3 * (i % n) * (i // n)) % n for i in range(64)]
+    return _masks(first, n), _masks(second, n)
 
 
-FIRST_MASKS = _masks(_codes())
-SECOND_MASKS = _masks(_second())
-#: The most bits that two members of a bucket of both families may still differ in.
-FREE_BITS = max(64 - (a | b).bit_count() for a in FIRST_MASKS for b in SECOND_MASKS)
+def free_bits(radius: int = RADIUS) -> int:
+    """The most bits that two members of a bucket of both families may still differ in."""
+    first, second = families(radius)
+    return max(64 - (a | b).bit_count() for a in first for b in second)
 
 
 def _signed(x: int) -> int:
@@ -151,17 +158,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> Data
 
     distinct: one row per fingerprint, column fp.
     """
-    first = _tables(distinct, FIRST_MASKS, [])
+    masks, again = families(radius)
+    first = _tables(distinct, masks, [])
     sizes = first.groupBy("t0", "b0").agg(F.count(F.lit(1)).alias("__qn_n"))
-    shared = sizes.filter("__qn_n > 1")
-    members = first.join(shared, ["t0", "b0"])
+    shared = cut(sizes.filter("__qn_n > 1"))
     keys = ["t0", "b0", "t2", "b2"]
-    small = members.filter(F.col("__qn_n") <= split).select(
+    # Large buckets leave before members meet by bucket, so a hot one never does as a whole.
+    hot = broadcast_if_small(shared.filter(F.col("__qn_n") > split), BROADCAST_BUCKETS)
+    large = _tables(first.join(hot, ["t0", "b0"], "left_semi"), again, ["t0", "b0"])
+    cold = broadcast_if_small(shared.filter(F.col("__qn_n") <= split), BROADCAST_BUCKETS)
+    small = first.join(hot, ["t0", "b0"], "left_anti").join(cold, ["t0", "b0"], "left_semi").select(
         "fp", "t0", "b0", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("b2")
     )
-    large = _tables(
-        members.filter(F.col("__qn_n") > split).select("fp", "t0", "b0"), SECOND_MASKS, ["t0", "b0"]
-    )
 
     def run(pdf):
         import pandas as pd
@@ -266,6 +274,7 @@ def one_of_each(docs: DataFrame, found, classed) -> DataFrame:
 
 
 def op4_simhash(spark, sf_dir):
+    """Fingerprint and component of every document; see the module for odd rows."""
     docs = table(spark, sf_dir, "documents")
     return grouped(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -15,8 +15,8 @@ lost, repeated or speculated leave nothing that is read.
 Null and empty texts are documents of no tokens; a text that contains the separator's string
 has it as ordinary text, so ids never collide. Documents longer than a block, or than many,
 are stitched; a file's tail without a separator is a document of its own if it holds any
-token. Repeated rows are documents of their own. An empty table gives no files and an empty
-result. Extra columns don't matter.
+token. Repeated rows are documents of their own, and there are no ties to break. An empty table
+gives no files and an empty result. Extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import cut, for_python, fresh_path, remove_path, table
+from quillon.llm.common import cut, for_python, fresh_folder, table
+from quillon.storage import remove
 
 #: Tokens in a block of the scan.
 BLOCK = 1 << 20
@@ -41,21 +42,20 @@ FILE = 1 << 24
 SEPARATOR = 50256
 WIDTH = 2
 
-#: Where the public vocabulary lies; a parameter of write_tokens().
 #: Fixed value: the pattern that the vocabulary's public tokenizer splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where the public vocabulary lies; a parameter of write_tokens().
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def encoder(vocabulary: str):
-    """A tokenizer of the ranks file at the path, without special tokens."""
+def encoder(ranks: bytes):
+    """A tokenizer of a ranks file's contents, without special tokens."""
     import base64
 
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
 
 
 def _open(uri: str):
@@ -64,7 +64,12 @@ def _open(uri: str):
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
-    """Flat token files under folder, and their manifest: doc_id, file, ordinal (from 0)."""
+    """Flat token files under folder, and their manifest: doc_id, file, ordinal (from 0).
+
+    The vocabulary is read by the driver only, which sends it to the executors.
+    """
+    with open(vocabulary, "rb") as lines:
+        ranks = docs.sparkSession.sparkContext.broadcast(lines.read())  # a public file of some megabytes at most
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("file", T.StringType()), T.StructField("ordinal", T.LongType())]
@@ -74,7 +79,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, sep
         context = TaskContext.get()
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(ranks.value).encode_ordinary
         sink, name, size, ordinal = None, "", 0, 0
         end = np.array([separator], np.uint16).tobytes()
         for batch in batches:
@@ -178,12 +183,14 @@ def stitch(scanned: DataFrame) -> DataFrame:
 
 
 def op5_token_counts(spark, sf_dir):
-    """doc_id, file part, ordinal and n_tokens of every document, from flat token files."""
+    """doc_id and n_tokens of every document, from flat token files that are deleted again."""
     docs = table(spark, sf_dir, "documents")
-    folder = fresh_path(spark, "tokens")
-    manifest = cut(write_tokens(docs, folder))
-    files = manifest.groupBy("file").agg(F.count(F.lit(1)).alias("documents")).select("file")
-    scanned = cut(blocks(spark, folder, files))
-    remove_path(spark, folder)  # the scan of all blocks is safe in a checkpoint
+    folder = fresh_folder(spark, "tokens")
+    try:
+        manifest = cut(write_tokens(docs, folder))
+        files = manifest.groupBy("file").agg(F.count(F.lit(1)).alias("documents")).select("file")
+        scanned = cut(blocks(spark, folder, files))  # after which the files aren't needed
+    finally:
+        remove(folder)
     counts = stitch(scanned)
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

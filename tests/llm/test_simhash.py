@@ -27,35 +27,44 @@ def brute(values, radius):
     return {v: find(v) for v in values}
 
 
-def test_every_pair_within_the_radius_meets():
+@pytest.mark.parametrize("radius", range(simhash.MOST + 1))
+def test_every_pair_within_the_radius_meets(radius):
     rng = random.Random(1)
-    for _ in range(3000):
+    first, second = simhash.families(radius)
+    for _ in range(2000):
         a = rng.getrandbits(64)
         b = a
-        for i in rng.sample(range(64), rng.randint(0, 3)):
+        for i in rng.sample(range(64), rng.randint(0, radius)):
             b ^= 1 << i
-        assert any(a & m == b & m for m in simhash.FIRST_MASKS)
-        assert any(
-            a & (m | k) == b & (m | k) for m in simhash.FIRST_MASKS for k in simhash.SECOND_MASKS
-        )
+        assert any(a & m == b & m for m in first)
+        assert any(a & (m | k) == b & (m | k) for m in first for k in second)
 
 
-@pytest.mark.parametrize("split", [8192, 3])
-def test_links_join_the_same_components_as_all_pairs(spark, split):
+def test_other_radii_are_refused(spark):
+    distinct = spark.createDataFrame([(1,), (2,)], "fp bigint")
+    for radius in (-1, simhash.MOST + 1):
+        with pytest.raises(ValueError):
+            simhash.links(distinct, radius)
+
+
+@pytest.mark.parametrize("radius, split, buckets", [(3, 8192, None), (3, 3, None), (3, 3, 0), (3, 8192, 0), (0, 8192, None), (1, 8192, None), (5, 8192, None), (6, 3, None)])
+def test_links_join_the_same_components_as_all_pairs(spark, monkeypatch, radius, split, buckets):
+    if buckets is not None:  # as if there were too many buckets to broadcast
+        monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", buckets)
     rng = random.Random(2)
     values = set()
     for _ in range(12):
         v = rng.getrandbits(64)
         for _ in range(rng.randint(1, 12)):
             values.add(simhash._signed(v))
-            for i in rng.sample(range(64), rng.randint(1, 4)):
+            for i in rng.sample(range(64), rng.randint(1, max(4, radius + 1))):
                 v ^= 1 << i
     values |= {0, 1, 3, 7, 15, -1}
     distinct = spark.createDataFrame([(v,) for v in values], "fp bigint")
-    found = simhash.components(simhash.links(distinct, split=split)).collect()
+    found = simhash.components(simhash.links(distinct, radius, split=split)).collect()
     got = {v: v for v in values} | {r.node: r.root for r in found}
     groups = lambda d: {frozenset(k for k in d if d[k] == r) for r in d.values()}
-    assert groups(got) == groups(brute(values, 3))
+    assert groups(got) == groups(brute(values, radius))
 
 
 def test_fingerprint_by_hand():

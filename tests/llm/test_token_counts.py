@@ -35,7 +35,7 @@ def test_scan_of_flat_files(spark, tmp_path, block):
 
 
 def test_round_trip_of_odd_rows(spark, tmp_path, monkeypatch):
-    encode = t.encoder(t.VOCABULARY).encode_ordinary
+    encode = t.encoder(open(t.VOCABULARY, "rb").read()).encode_ordinary
     texts = [None, "", "a <|endoftext|> b", "Ünï " * 9000, "x" * 20000, "same", "same"]
     docs = spark.createDataFrame([(i if i < 5 else 5, x, "q") for i, x in enumerate(texts)] + [(None, "no id", "q")], "doc_id bigint, text string, file string")
     folder = f"file://{tmp_path}/flat"
@@ -51,7 +51,21 @@ def test_round_trip_of_odd_rows(spark, tmp_path, monkeypatch):
 def test_query(spark):
     from quillon.llm.queries import QUERIES
 
-    encode = t.encoder(t.VOCABULARY).encode_ordinary
+    encode = t.encoder(open(t.VOCABULARY, "rb").read()).encode_ordinary
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     out = QUERIES["op5_token_counts"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.doc_id, r.n_tokens) for r in out) == sorted((r.doc_id, len(encode(r.text))) for r in docs)
+
+
+def test_nothing_is_left_of_a_failed_scan(spark, tmp_path, monkeypatch):
+    from quillon.llm import common
+
+    monkeypatch.setattr(t, "fresh_folder", lambda spark, name: str(tmp_path / "flat"))
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(t, "blocks", broken)
+    with common.scratch(), pytest.raises(RuntimeError):
+        t.op5_token_counts(spark, "/root/testdata/sf0.001")
+    assert not (tmp_path / "flat").exists()
