@@ -50,6 +50,34 @@ class InList:
     items: tuple
 
 
+@dataclass(frozen=True)
+class InQuery:
+    operand: Any
+    query: Any
+
+
+@dataclass(frozen=True)
+class Exists:
+    query: Any
+
+
+@dataclass(frozen=True)
+class Scalar:
+    """A query in place of a value."""
+
+    query: Any
+
+
+@dataclass(frozen=True)
+class Over:
+    """A call over a window. frame: (rows or range, start, end), each end a number of rows or None."""
+
+    call: Any
+    partition: tuple = ()
+    order: tuple = ()
+    frame: Any = None
+
+
 @dataclass(frozen=True)
 class Call:
     name: str
@@ -111,6 +139,7 @@ class Join:
     right: Any
     kind: str = "inner"
     on: Any = None
+    using: tuple | None = None  # of column names; empty for NATURAL
 
 
 @dataclass(frozen=True)
@@ -125,6 +154,7 @@ class Select:
     limit: int | None = None
     offset: int | None = None
     with_: tuple = ()  # of (name, columns, query)
+    distinct_on: tuple = ()
 
 
 @dataclass(frozen=True)

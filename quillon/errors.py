@@ -13,6 +13,10 @@ class NameProblem(EngineProblem):
     """A name is unknown, ambiguous or already taken."""
 
 
+class UnknownColumn(NameProblem):
+    """No source of the query has the column."""
+
+
 class TypeProblem(EngineProblem):
     """Types don't fit."""
 

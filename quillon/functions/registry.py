@@ -124,3 +124,23 @@ def aggregates() -> Registry:
         # in the order of the texts, as SQL leaves it open
         Function("string_agg", (types.TEXT, types.TEXT), types.TEXT, _joined, distinct=JOINED),
     ])
+
+
+def rankings() -> Registry:
+    """Functions that need a window."""
+    whole, double, number = types.BIGINT, types.DOUBLE, types.INTEGER
+    plain = lambda value: lambda *_: value()
+    moved = lambda f: lambda x, n=1, default=None: f(x, n, default)
+    return Registry([
+        Function("row_number", (), whole, plain(F.row_number)),
+        Function("rank", (), whole, plain(F.rank)),
+        Function("dense_rank", (), whole, plain(F.dense_rank)),
+        Function("percent_rank", (), double, plain(F.percent_rank)),
+        Function("cume_dist", (), double, plain(F.cume_dist)),
+        Function("ntile", (number,), number, F.ntile),
+        Function("lag", (None, number, None), _same, moved(F.lag), least=1),
+        Function("lead", (None, number, None), _same, moved(F.lead), least=1),
+        Function("first_value", (None,), _same, F.first),
+        Function("last_value", (None,), _same, F.last),
+        Function("nth_value", (None, number), _same, F.nth_value),
+    ])

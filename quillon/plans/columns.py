@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quillon import types
 from quillon.errors import TypeProblem
-from quillon.plans.bound import Agg, Col, Const, Op
+from quillon.functions.registry import rankings
+from quillon.plans.bound import Agg, Col, Const, Op, Outer, Sub, Win
+
+RANKINGS = rankings()
+
+
+def ordering(column: Column, descending: bool, nulls_first: bool) -> Column:
+    if descending:
+        return column.desc_nulls_first() if nulls_first else column.desc_nulls_last()
+    return column.asc_nulls_first() if nulls_first else column.asc_nulls_last()
 
 
 class Columns:
@@ -22,6 +31,16 @@ class Columns:
                 return F.lit(value).cast(kind)
             case Agg():
                 return self.aggregate(expr)
+            case Outer(uid, _):
+                return F.col(uid).outer()
+            case Sub("exists", df):
+                return df.exists()
+            case Sub("scalar", df):
+                return df.scalar()
+            case Sub("in", df, args):
+                return self.make(args[0]).isin(df)
+            case Win():
+                return self.window(expr)
             case Op(op, args, kind):
                 if op.startswith("call:"):
                     return self.functions.get(op[5:]).build(*map(self.make, args)).cast(kind)
@@ -78,6 +97,27 @@ class Columns:
             raise TypeProblem("nextval() stands in select lists, inserted values and SET without FROM only")
         raise TypeError(op)
 
+    def window(self, win: Win) -> Column:
+        own, parted = win.counts
+        args, keys, order = win.args[:own], win.args[own : own + parted], win.args[own + parted :]
+        spec = Window.partitionBy(*map(self.make, keys))
+        if order:
+            spec = spec.orderBy(*[ordering(self.make(e), *flags) for e, flags in zip(order, win.order)])
+        if win.frame:
+            unit, start, end = win.frame
+            far = {float("-inf"): Window.unboundedPreceding, float("inf"): Window.unboundedFollowing}
+            between = spec.rowsBetween if unit == "rows" else spec.rangeBetween
+            spec = between(far.get(start, start), far.get(end, end))
+        if win.name in RANKINGS:
+            # offsets, counts and defaults are literals
+            plain = [a.value if isinstance(a, Const) and i else self.make(a) for i, a in enumerate(args)]
+            if win.name == "ntile":
+                plain = [args[0].value]
+            return RANKINGS.get(win.name).build(*plain).over(spec).cast(win.type)
+        if win.distinct:
+            raise TypeProblem(f"{win.name}() over a window doesn't take DISTINCT")
+        return self.aggregates.get(win.name).build(*map(self.make, args)).over(spec).cast(win.type)
+
     def aggregate(self, agg: Agg) -> Column:
         function = self.aggregates.get(agg.name)
         args = [self.make(a) for a in agg.args]

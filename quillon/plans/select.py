@@ -6,7 +6,7 @@ import itertools
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,8 +16,8 @@ from quillon.dialect import syntax as s
 from quillon.errors import NameProblem, TypeProblem
 from quillon.operators import numbering
 from quillon.plans.binder import Binder, Field, Scope
-from quillon.plans.bound import Agg, Col, Const, Op, aggregates, columns, parts, replaced
-from quillon.plans.columns import Columns
+from quillon.plans.bound import Agg, Col, Const, Op, aggregates, columns, parts, replaced, windows
+from quillon.plans.columns import Columns, ordering
 
 
 @dataclass
@@ -36,7 +36,7 @@ class Relation:
 class Planner:
     def __init__(self, engine):
         self.engine = engine
-        self.binder = Binder(engine.functions, engine.aggregates, engine.sequence)
+        self.binder = Binder(engine.functions, engine.aggregates, engine.sequence, self.subquery)
         self.columns = Columns(engine.functions, engine.aggregates)
         self.counter = itertools.count()
         self.common: list[dict] = []  # WITH queries, innermost last
@@ -46,6 +46,14 @@ class Planner:
 
     # queries
 
+    def subquery(self, query, scope: Scope) -> Relation:
+        """A query within an expression, which may use the columns of the scope around it."""
+        self.binder.around.append(Scope(scope.fields))
+        try:
+            return self.query(query)
+        finally:
+            self.binder.around.pop()
+
     def query(self, query) -> Relation:
         match query:
             case s.Values():
@@ -129,6 +137,8 @@ class Planner:
         left, right = self.source(join.left), self.source(join.right)
         fields = left.fields + right.fields
         self.check_tables(left.fields, right.fields)
+        if join.using is not None:
+            return self.joined_using(left, right, join)
         if join.on is None:
             if join.kind not in ("inner", "cross"):
                 raise TypeProblem(f"{join.kind} joins need a condition")
@@ -136,6 +146,30 @@ class Planner:
         condition = self.columns.make(self.binder.boolean(self.binder.bind(join.on, Scope(fields))))
         return Relation(left.df.join(right.df, condition, join.kind), fields)
 
+    def joined_using(self, left: Relation, right: Relation, join: s.Join) -> Relation:
+        """USING and NATURAL: columns of one name are equal and stand once, before all others."""
+        names = join.using
+        if not names:
+            theirs = {f.name.lower() for f in right.fields if not f.hidden}
+            names = [f.name for f in left.fields if not f.hidden and f.name.lower() in theirs]
+            if not names:
+                return Relation(left.df.crossJoin(right.df), left.fields + right.fields)
+        pairs = [(Scope(left.fields).find(s.Name(n)), Scope(right.fields).find(s.Name(n))) for n in names]
+        equal = [self.columns.make(self.binder.binary("=", a, b)) for a, b in pairs]
+        condition = equal[0]
+        for one in equal[1:]:
+            condition = condition & one
+        df, merged = left.df.join(right.df, condition, join.kind), []
+        for n, (a, b) in zip(names, pairs):
+            kind = types.common(a.type, b.type, "mix")
+            value = {"right": F.col(b.uid), "full": F.coalesce(a.uid, b.uid)}.get(join.kind, F.col(a.uid))
+            field_ = Field(n, self.uid(), kind)
+            df = df.withColumn(field_.uid, value.cast(kind))
+            merged.append(field_)
+        gone = {x.uid for pair in pairs for x in pair}
+        others = [replace(f, hidden=True) if f.uid in gone else f for f in left.fields + right.fields]
+        return Relation(df, merged + others)
+
     @staticmethod
     def check_tables(left, right):
         names = lambda fields: {f.table.lower() for f in fields if f.table}
@@ -165,7 +199,7 @@ class Planner:
         for item in items:
             match item:
                 case s.Star(None):
-                    found += [(f.name, Col(f.uid, f.type)) for f in scope.fields]
+                    found += [(f.name, Col(f.uid, f.type)) for f in scope.fields if not f.hidden]
                 case s.Star(table):
                     found += [(f.name, Col(f.uid, f.type)) for f in scope.table_fields(table)]
                 case s.Item(expr, alias):
@@ -185,6 +219,8 @@ class Planner:
             raise TypeProblem("aggregates are not allowed in GROUP BY")
         order = [(o, self.binder.bind(o.expr, self.ordering_scope(relation, items, own), True)) for o in select.order]
         having = select.having and self.binder.boolean(self.binder.bind(select.having, aliased, True))
+        if having is not None and windows(having):
+            raise TypeProblem("functions over windows stand in select lists and ORDER BY only")
         wanted = [e for _, e in items] + [e for _, e in order] + ([having] if having else [])
         df = relation.df
         if group or aggregates(*wanted):
@@ -195,12 +231,35 @@ class Planner:
                 df = df.filter(self.columns.make(self.regrouped(having, known)))
         elif having is not None:
             raise TypeProblem("HAVING needs aggregates or GROUP BY")
+        df, items, order = self.over_windows(df, items, order)
+        if select.distinct_on:
+            df = self.first_of_each(df, select, aliased, items, order)
         df, items = self.numbered(df, items)
         if select.distinct:
             return self.distinct(df, items, order, select)
         df = self.sliced(self.ordered(df, order), select)
         return self.projected(df, items)
 
+    def over_windows(self, df, items, order):
+        """Functions over windows become columns, which items and order then use."""
+        found = windows(*[e for _, e in items], *[e for _, e in order])
+        if not found:
+            return df, items, order
+        known = {w: Col(self.uid(), w.type) for w in found}
+        df = df.withColumns({c.uid: self.columns.make(w) for w, c in known.items()})
+        return df, [(n, replaced(e, known)) for n, e in items], [(o, replaced(e, known)) for o, e in order]
+
+    def first_of_each(self, df, select, scope, items, order) -> DataFrame:
+        """DISTINCT ON: of rows that agree on its expressions the first in order; ties go by the items."""
+        if select.group or any(isinstance(p, Agg) for _, e in items for p in parts(e)):
+            raise TypeProblem("DISTINCT ON doesn't go with grouping")
+        keys = [self.columns.make(self.binder.bind(e, scope, False)) for e in select.distinct_on]
+        sorted_ = [k for k in (self.ordered_key(o, e) for o, e in order) if k is not None]
+        ties = [self.columns.make(e).asc_nulls_last() for _, e in items]
+        place = self.uid()
+        ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*sorted_, *ties)))
+        return ranked.filter(F.col(place) == 1).drop(place)
+
     @staticmethod
     def ordering_scope(relation, items, own) -> Scope:
         known = {n.lower(): e for n, e in items if not isinstance(e, Col)}
@@ -217,7 +276,7 @@ class Planner:
         made = [self.columns.make(ready[a]).alias(c.uid) for a, c in sums.items()]
         named = [self.columns.make(e).alias(c.uid) for e, c in keys.items()]
         if not keys:
-            df = df.agg(*made)
+            df = df.select(*made)  # a query that names columns around it can't be analysed before them
         elif made:
             df = df.groupBy(*named).agg(*made)
         else:
@@ -232,18 +291,14 @@ class Planner:
                 raise TypeProblem("a column must be grouped or aggregated")
         return found
 
+    def ordered_key(self, o, e):
+        if isinstance(e, Const):
+            return None  # a constant orders nothing
+        # nulls stand after everything, so first when descending
+        return ordering(self.columns.make(e), o.descending, o.descending if o.nulls_first is None else o.nulls_first)
+
     def ordered(self, df, order) -> DataFrame:
-        keys = []
-        for o, e in order:
-            if isinstance(e, Const):
-                continue  # a constant orders nothing
-            c = self.columns.make(e)
-            # nulls stand after everything, so first when descending
-            first = o.descending if o.nulls_first is None else o.nulls_first
-            if o.descending:
-                keys.append(c.desc_nulls_first() if first else c.desc_nulls_last())
-            else:
-                keys.append(c.asc_nulls_first() if first else c.asc_nulls_last())
+        keys = [k for k in (self.ordered_key(o, e) for o, e in order) if k is not None]
         return df.orderBy(*keys) if keys else df
 
     @staticmethod

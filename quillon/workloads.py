@@ -99,6 +99,8 @@ WORKLOADS = [
     Workload("join_left", "SELECT r.r_name, s.s_name FROM region r LEFT JOIN (SELECT n_regionkey, n_name AS s_name FROM nation WHERE n_nationkey < 5) s ON s.n_regionkey = r.r_regionkey"),
     Workload("join_right", "SELECT r.r_name, n.n_name FROM region r RIGHT JOIN nation n ON r.r_regionkey = n.n_regionkey AND r.r_regionkey > 2"),
     Workload("join_full", "SELECT a.n AS x, b.n AS y FROM (VALUES (1), (2)) a(n) FULL JOIN (VALUES (2), (3)) b(n) ON a.n = b.n"),
+    Workload("join_using", "SELECT k, a.x, b.y FROM (SELECT n_nationkey AS k, n_name AS x FROM nation) a FULL JOIN (SELECT r_regionkey + 23 AS k, r_name AS y FROM region) b USING (k)"),
+    Workload("join_natural", "SELECT * FROM (SELECT n_nationkey, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b"),
     # aggregates
     Workload("agg_count_star", "SELECT count(*) AS total FROM lineitem"),
     Workload("agg_count_col", f"SELECT count(x) AS known, count(*) AS total, count(1) AS ones FROM {NULLS}"),
@@ -144,6 +146,18 @@ WORKLOADS = [
     Workload("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0"),
     Workload("offset_past_end", "SELECT r_name FROM region ORDER BY r_name LIMIT 5 OFFSET 100"),
     Workload("limit_unordered_count", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 100) s"),
+    Workload("distinct_on", "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey"),
+    # subqueries and windows
+    Workload("subquery_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000.0) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
+    Workload("subquery_exists", """SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 AS x FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)
+        AND NOT EXISTS (SELECT 1 AS x FROM nation n WHERE n.n_nationkey = s.s_nationkey AND n.n_regionkey = 0)"""),
+    Workload("subquery_scalar", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) * 1.5 FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)"),
+    Workload("subquery_in_list", "SELECT r_name, (SELECT count(*) FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS nations FROM region r"),
+    Workload("window_ranks", """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place,
+        rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) AS r, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) AS d FROM orders"""),
+    Workload("window_frames", """SELECT p_partkey, lag(p_size, 1, 0) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before, count(*) OVER (PARTITION BY p_brand) AS n,
+        max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS high FROM part"""),
+    Workload("window_over_groups", "SELECT c_nationkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS place FROM customer GROUP BY c_nationkey"),
     # set operations
     Workload("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     Workload("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
@@ -235,7 +249,7 @@ def _violations(spark, folder):
 
 def _refusals(spark, folder):
     """Statements that mean nothing are refused, each with its kind of problem."""
-    from quillon.errors import EngineProblem
+    from quillon.errors import EngineProblem, NameProblem
 
     engine, found = Engine(spark, folder), []
     for name, text in (
@@ -247,7 +261,7 @@ def _refusals(spark, folder):
         try:
             problem = "none" if engine.sql(text) else ""
         except EngineProblem as refused:
-            problem = type(refused).__name__
+            problem = "NameProblem" if isinstance(refused, NameProblem) else type(refused).__name__
         found.append((name, problem))
     return spark.createDataFrame(found, "statement string, problem string")
 

@@ -424,3 +424,78 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(EngineProblem, match="spark.checkpoint.dir"):
         storage.shared_folder(Session)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') AND n_nationkey < 9", [(2,), (7,)]),
+        ("SELECT x FROM (VALUES (1), (2), (NULL)) v(x) WHERE x NOT IN (SELECT y FROM (VALUES (2), (NULL)) w(y))", []),
+        ("SELECT x FROM (VALUES (1), (2), (NULL)) v(x) WHERE x NOT IN (SELECT y FROM (VALUES (2)) w(y))", [(1,)]),
+        ("SELECT x, x IN (SELECT y FROM (VALUES (2)) w(y)) AS i FROM (VALUES (1), (2)) v(x)", [(1, False), (2, True)]),
+        ("SELECT r_regionkey FROM region r WHERE NOT EXISTS (SELECT 1 AS x FROM nation n WHERE n.n_regionkey = r.r_regionkey AND n_nationkey < 3)", [(3,), (4,)]),
+        ("SELECT r_regionkey, (SELECT max(n_nationkey) FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS m FROM region r WHERE r_regionkey < 2", [(0, 20), (1, 21)]),
+        ("SELECT x FROM (VALUES (1), (5)) v(x) WHERE x > (SELECT avg(y) FROM (VALUES (2), (4)) w(y))", [(5,)]),
+        # a column of the query itself comes before one around it
+        ("SELECT x FROM (VALUES (1), (5)) v(x) WHERE EXISTS (SELECT x FROM (VALUES (7)) w(x) WHERE x = 7)", [(1,), (5,)]),
+        ("SELECT a.k FROM (VALUES (1), (2)) a(k) WHERE a.k IN (SELECT b.k FROM (VALUES (2), (3)) b(k) WHERE b.k = a.k)", [(2,)]),
+    ],
+)
+def test_subqueries(engine, text, want):
+    assert sorted(rows(engine.sql(text))) == want
+
+
+def test_subqueries_in_changes_and_plans(engine):
+    engine.script("CREATE TABLE t (a integer, b integer); INSERT INTO t VALUES (1, 0), (2, 0), (3, 0)")
+    engine.sql("UPDATE t SET b = 1 WHERE a IN (SELECT r_regionkey FROM region WHERE r_name < 'ASIA')")
+    engine.sql("DELETE FROM t WHERE NOT EXISTS (SELECT 1 AS x FROM region WHERE r_regionkey < 4 AND r_regionkey = a + 1)")
+    assert sorted(rows(engine.sql("SELECT a, b FROM t"))) == [(1, 1), (2, 0)]
+    plan = engine.explained("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 AS x FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+    assert "LeftSemi" in plan and "NestedLoop" not in plan
+    for text in ("SELECT 1 AS x FROM region WHERE 1 IN (SELECT r_name, r_regionkey FROM region)", "SELECT (SELECT r_name, r_regionkey FROM region) AS x FROM region", "SELECT 1 AS x FROM region WHERE EXISTS (SELECT nope FROM nation)"):
+        with pytest.raises(EngineProblem):
+            engine.sql(text)
+
+
+@pytest.mark.parametrize(
+    "expression, want",
+    [
+        ("row_number() OVER (ORDER BY x)", [1, 2, 3, 4, 5]), ("rank() OVER (ORDER BY x)", [1, 2, 2, 4, 5]), ("dense_rank() OVER (ORDER BY x)", [1, 2, 2, 3, 4]),
+        ("row_number() OVER (ORDER BY x DESC)", [5, 3, 4, 2, 1]), ("sum(x) OVER (ORDER BY x)", [1, 5, 5, 9, 9]), ("count(*) OVER ()", [5] * 5),
+        ("sum(x) OVER (ORDER BY x ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", [1, 3, 4, 6, 4]), ("lag(x) OVER (ORDER BY x)", [None, 1, 2, 2, 4]),
+        ("lead(x, 2, 0) OVER (ORDER BY x)", [2, 4, None, 0, 0]), ("first_value(x) OVER (PARTITION BY x / 2 ORDER BY x)", [1, 2, 2, 4, None]),
+        ("max(x) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", [4] * 5), ("ntile(2) OVER (ORDER BY x)", [1, 1, 1, 2, 2]),
+        ("x - min(x) OVER (PARTITION BY x > 1)", [0, 0, 0, 2, None]), ("count(x) OVER (ORDER BY x RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)", [1, 3, 3, 1, 0]),
+    ],
+)
+def test_windows(engine, expression, want):
+    got = engine.sql(f"SELECT x, {expression} AS w FROM (VALUES (1), (2), (2), (4), (NULL)) v(x)")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
+    values = zip([1, 2, 2, 4, None], want)
+    assert sorted(rows(got), key=key) == sorted(values, key=key)
+
+
+def test_windows_after_grouping_and_before_limits(engine):
+    text = "SELECT n_regionkey / 3 AS k, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM nation GROUP BY k ORDER BY r LIMIT 1"
+    assert rows(engine.sql(text)) == [(0, 15, 1)]
+    assert rows(engine.sql("SELECT r_name FROM region ORDER BY row_number() OVER (ORDER BY r_name DESC) LIMIT 1")) == [("MIDDLE EAST",)]
+    assert engine.sql("SELECT DISTINCT count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation").count() == 1
+    for text in ("SELECT 1 AS x FROM region WHERE rank() OVER (ORDER BY r_name) = 1", "SELECT count(*) AS n FROM region GROUP BY rank() OVER (ORDER BY r_name)",
+                 "SELECT count(*) AS n FROM region HAVING rank() OVER (ORDER BY count(*)) = 1", "SELECT rank() OVER (PARTITION BY r_name) AS x FROM region"):
+        with pytest.raises(TypeProblem):
+            engine.sql(text)
+
+
+def test_using_natural_and_distinct_on(engine):
+    x, y = "(VALUES (1, 'a'), (2, 'b')) x(k, p)", "(VALUES (2, 'c'), (3, 'd')) y(k, q)"
+    got = {kind: sorted(rows(engine.sql(f"SELECT * FROM {x} {kind} JOIN {y} USING (k)")), key=str) for kind in ("", "LEFT", "RIGHT", "FULL")}
+    assert got[""] == [(2, "b", "c")] and got["LEFT"] == [(1, "a", None), (2, "b", "c")]
+    assert got["RIGHT"] == [(2, "b", "c"), (3, None, "d")] and got["FULL"] == [(1, "a", None), (2, "b", "c"), (3, None, "d")]
+    assert sorted(rows(engine.sql(f"SELECT k, x.k AS a, y.k AS b FROM {x} NATURAL LEFT JOIN {y}"))) == [(1, 1, None), (2, 2, 2)]
+    assert engine.sql(f"SELECT y.* FROM {x} JOIN {y} USING (k)").columns == ["k", "q"]
+    assert engine.sql("SELECT 1 AS z FROM (VALUES (1)) a(m) NATURAL JOIN (VALUES (1), (2)) b(n)").count() == 2
+    with pytest.raises(NameProblem):
+        engine.sql(f"SELECT 1 AS z FROM {x} JOIN {y} USING (p)")
+    got = rows(engine.sql("SELECT DISTINCT ON (n_regionkey) n_regionkey, n_nationkey FROM nation ORDER BY n_regionkey, n_nationkey DESC"))
+    assert got == [(0, 20), (1, 21), (2, 22), (3, 23), (4, 24)]
+    assert rows(engine.sql("SELECT DISTINCT ON (n_regionkey / 3) n_nationkey FROM nation ORDER BY n_nationkey LIMIT 3")) == [(0,), (3,)]
