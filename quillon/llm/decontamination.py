@@ -14,7 +14,8 @@ are first numbered and written once.
 Null or empty texts have no words, and neither side of them matches. Items may repeat: ids
 are listed once, and a null id is not listed. Repeated documents are rows of their own.
 Ties: of equally rare words the smaller is the prefix, at its first place. Very long texts are
-read whole. Extra columns don't matter, whatever their names. An empty benchmark hits nothing;
+read whole. Extra columns don't matter; kept ones may have any name, but those named like an
+output are replaced. An empty benchmark hits nothing;
 no documents, no rows.
 """
 
@@ -33,6 +34,8 @@ CHUNK = 200_000
 #: Distinct benchmark words broadcast at once while documents' words are counted.
 VOCABULARY = 1_000_000
 
+OUTPUTS = ("n_words", "n_hit", "n_items", "items", "contaminated")
+
 # Between words: every ASCII character but digits and letters. Case is lowered afterwards.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -93,7 +96,10 @@ def prefixes(wins: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, joined: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each document (__qn_row) at least, and one for each window found: keep, n_words, hit."""
+    """A row for each document (__qn_row) at least, and one for each window found: kept, n_words, hit.
+
+    Only a document's first row holds its columns, however many windows it has.
+    """
     words = F.col("__qn_words")
     placed = docs.select("__qn_row", *keep, raw_words(F.col("text")).alias("__qn_words"))
     placed = placed.select("*", word_total(words).alias("n_words"), F.posexplode("__qn_words").alias("__qn_at", "__qn_w"))
@@ -111,7 +117,8 @@ def hits(docs: DataFrame, joined: DataFrame, keep: list[str]) -> DataFrame:
     hit = F.struct(start.alias("start"), F.col("length"), F.col("ids"))
     matched = placed.join(F.broadcast(joined), F.lower("__qn_w") == F.col("prefix"), "left")
     matched = matched.withColumn("hit", F.when(found, hit)).filter((F.col("__qn_at") == 0) | F.col("hit").isNotNull())
-    return matched.select("__qn_row", *keep, "n_words", "hit")
+    kept = F.when(F.col("__qn_at") == 0, F.struct(*keep) if keep else F.lit(True))
+    return matched.select("__qn_row", kept.alias("kept"), "n_words", "hit")
 
 
 def covered(spans: Column) -> Column:
@@ -126,7 +133,10 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
-    """keep with n_words, n_hit, n_items, items and contaminated, a row for each document."""
+    """keep with n_words, n_hit, n_items, items and contaminated (which replace columns of keep), a row for each document."""
+    names = [c for c in keep if c.lower() not in OUTPUTS]
+    keep = [f"__qn_keep{i}" for i in range(len(names))]  # whatever the columns are called
+    docs = docs.select("text", *[F.col(c).alias(k) for c, k in zip(names, keep)])
     wins = cut(windows(items, size))
     joined = cut(prefixes(wins, rarities(docs, wins)))
     parts = -(-max(1, joined.count()) // chunk)
@@ -140,13 +150,14 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
         some = hits(docs, dealt.filter(F.col("__qn_part") == part).drop("__qn_part"), keep)
         rows = some if rows is None else rows.unionByName(some)
     # Within a chunk a document's first word gives a row whether or not it is hit.
-    firsts = [F.first(c).alias(c) for c in (*keep, "n_words")]
-    grouped = rows.groupBy("__qn_row").agg(*firsts, F.collect_list("hit").alias("__qn_hits"))
+    kept = F.first("kept", ignorenulls=True).alias("kept")
+    grouped = rows.groupBy("__qn_row").agg(kept, F.first("n_words").alias("n_words"), F.collect_list("hit").alias("__qn_hits"))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__qn_hits", lambda h: h["ids"]))))
     spans = F.transform("__qn_hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length")))
-    out = grouped.select(*keep, "n_words", covered(spans).alias("n_hit"), ids.alias("items"))
+    out = grouped.select(*[F.col("kept")[k].alias(k) for k in keep], "n_words", covered(spans).alias("n_hit"), ids.alias("items"))
     bad = (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
-    return out.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", bad.alias("contaminated"))
+    named = [F.col(k).alias(c) for c, k in zip(names, keep)]
+    return out.select(*named, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", bad.alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ target / size. Each document is taken floor(rate) times, plus once more by a Ber
 its own, seeded by a hash of its id and text, whose probability is the rate's fraction.
 
 The draws of a source are those of stratified, systematic sampling, so that its words come near
-the target. Its documents lie in strata of sizes (stratum()); of strata in that order, the
-running sum of fraction x documents, moved by one hash-seeded number of the source, gives each
-stratum a whole number of copies, which go to its documents of least hash. Over hashes that is
-the fraction as a probability, for every document. The least hashes are found by a histogram
-of BINS bins for each stratum; within the last of them, documents draw by further bits.
+the target. Its documents lie in strata of sizes (stratum()); of strata in the order of
+there_and_back(), the running sum of fraction x documents, moved by one hash-seeded number of the
+source, gives each stratum a whole number of copies, which go to its documents of least hash.
+Over hashes that is the fraction as a probability, for every document. The least hashes are
+found by a histogram of BINS bins for each stratum; within the last of them, documents draw by
+further bits.
 
 Nulls, empty texts and empty tables: a null or empty text has size 0 and is never taken;
 null is a source of its own, after all others; an empty table gives an empty mix. Very long
@@ -38,7 +39,7 @@ BROADCAST_STRATA = 100_000
 #: Parts that a stratum's documents are dealt to where that table is joined by a shuffle.
 SALTS = 64
 #: Bins of a stratum's hashes; documents are counted per bin.
-BINS = 4096
+BINS = 512
 
 
 def word_count(text):
@@ -52,6 +53,11 @@ def stratum(size: Column) -> Column:
     return F.length(s) * 100 + F.substring(s, 1, 1).cast("int") * 10 + half
 
 
+def there_and_back(stratum_: Column) -> Column:
+    """An order of strata: every second one up, the others down, so that rounding favours no size."""
+    return F.when(stratum_ % 2 == 0, stratum_).otherwise(1_000_000 - stratum_)
+
+
 def _hashed(*parts: Column) -> Column:
     """52 bits of a digest."""
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 13), 16, 10).cast("long")
@@ -143,7 +149,7 @@ def plan(counts: DataFrame, weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED)
     fraction = F.col("rate") - F.floor("rate")
     whole = lambda n: F.floor(fraction * n.cast("double") + F.col("__qn_start"))
     # the strata of a source, and the bins of a stratum: bounded numbers of rows
-    upto = Window.partitionBy("source").orderBy("stratum").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source").orderBy(there_and_back(F.col("stratum"))).rowsBetween(Window.unboundedPreceding, 0)
     placed = named.withColumn("__qn_start", start).withColumn("__qn_upto", F.sum("n").over(upto))
     more = whole(F.col("__qn_upto")) - whole(F.col("__qn_upto") - F.col("n"))
     wanted = cut(placed.select("source", "stratum", "source_size", "target", "rate", more.alias("wanted")))
@@ -210,7 +216,7 @@ WITH e AS (
 d AS (
   SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 1)::INTEGER * 10
       + CASE WHEN substr(size::VARCHAR, 2, 1) >= '5' THEN 1 ELSE 0 END AS stratum,
-    coin % 4096 AS bin, (coin // 4096)::DOUBLE / 1099511627776::DOUBLE AS draw
+    coin % 512 AS bin, (coin // 512)::DOUBLE / 8796093022208::DOUBLE AS draw
   FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn FROM s),
@@ -231,7 +237,7 @@ n AS (SELECT source, stratum, bin, count(*) FILTER (size > 0) AS n FROM d GROUP
 g AS (SELECT source, stratum, sum(n)::BIGINT AS n FROM n GROUP BY source, stratum),
 c AS (
   SELECT g.*, q.source_size, q.target, q.rate, q.rate - floor(q.rate) AS fraction, q.start,
-    (sum(g.n) OVER (PARTITION BY g.source ORDER BY g.stratum ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
+    (sum(g.n) OVER (PARTITION BY g.source ORDER BY CASE WHEN g.stratum % 2 = 0 THEN g.stratum ELSE 1000000 - g.stratum END ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
   FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source),
 k AS (SELECT *, floor(fraction * upto::DOUBLE + start) - floor(fraction * (upto - n)::DOUBLE + start) AS wanted FROM c),
 m AS (

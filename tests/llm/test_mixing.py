@@ -77,7 +77,7 @@ def copies(rows, seed):
     for source, held in strata.items():
         rate = min(3.0, targets[source] / sizes[source]) if sizes[source] else 0.0
         fraction, start, run = rate - math.floor(rate), number(f"{seed}|source|" + ("=" + source if source is not None else "")) / 2**52, 0
-        for key in sorted(held):
+        for key in sorted(held, key=lambda k: (k[2], k if not k[2] else (-k[0], -int(k[1])))):
             n = sum(size > 0 for *_, size in held[key])
             more = math.floor(fraction * (run + n) + start) - math.floor(fraction * run + start)
             run += n

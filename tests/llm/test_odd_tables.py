@@ -68,3 +68,26 @@ def test_pipeline(spark, folders):
         assert out.columns == docs.columns, name
         out.collect()
     corpus_pipeline.run(spark, folders["odd"]).collect()
+
+
+def test_operators_keep_columns_of_any_name(spark, folders):
+    """Each operator over all columns of tables that also hold its own output's names."""
+    from quillon.llm import decontamination, html_extract, language_id, mixing, secret_scan, simhash, toxicity, url_filter
+
+    read = lambda name: spark.read.parquet(f"{folders['odd']}/{name}.parquet")
+    more = ("n_words", "items", "contaminated", "prefix", "hit", "ids", "length", "last", "more", "n", "bin", "stratum", "winner", "verdict", "bound")
+    clash = lambda df: df.selectExpr("*", *[f"'own' AS {m}" for m in more if m not in df.columns])
+    docs, pages = clash(read("documents")), clash(read("pages"))
+    made = {
+        "found_spans": secret_scan.scan(docs), "lang_pred": language_id.identify(docs, None),
+        "toxicity": toxicity.score(docs, None, docs.columns), "contaminated": decontamination.contamination(docs, read("benchmark"), docs.columns),
+        "main_text": html_extract.extract(pages, pages.columns), "verdict": url_filter.judge(pages, read("labels").selectExpr("'h' AS host", "toxic AS bad")),
+    }
+    for name, df in made.items():
+        source = pages if name in ("main_text", "verdict") else docs
+        assert len({c.lower() for c in df.columns}) == len(df.columns) >= len(source.columns), name
+        rows = df.collect()
+        assert len(rows) == source.count() and all(r[name] != "own" for r in rows), name
+        assert {r["n"] for r in rows} == {"own"}, name
+    for df in (mixing.mix(docs), simhash.deduplicated(docs), decontamination.decontaminated(docs, read("benchmark")), secret_scan.scan(docs, redact=True), language_id.recognised(docs)):
+        assert df.columns == docs.columns and {r["more"] for r in df.collect()} == {"own"}
