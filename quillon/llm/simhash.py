@@ -160,13 +160,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> Data
     """
     masks, again = families(radius)
     first = _tables(distinct, masks, [])
-    sizes = first.groupBy("t0", "b0").agg(F.count(F.lit(1)).alias("__qn_n"))
+    sizes = first.groupBy("t0", "b0").agg(F.count(F.lit(1)).alias("__qn_n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     shared = cut(sizes.filter("__qn_n > 1"))
+    # most buckets with several members have two
+    pairs = shared.filter((F.col("__qn_n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     keys = ["t0", "b0", "t2", "b2"]
     # Large buckets leave before members meet by bucket, so a hot one never does as a whole.
     hot = broadcast_if_small(shared.filter(F.col("__qn_n") > split), BROADCAST_BUCKETS)
     large = _tables(first.join(hot, ["t0", "b0"], "left_semi"), again, ["t0", "b0"])
-    cold = broadcast_if_small(shared.filter(F.col("__qn_n") <= split), BROADCAST_BUCKETS)
+    cold = broadcast_if_small(shared.filter((F.col("__qn_n") > 2) & (F.col("__qn_n") <= split)), BROADCAST_BUCKETS)
     small = first.join(hot, ["t0", "b0"], "left_anti").join(cold, ["t0", "b0"], "left_semi").select(
         "fp", "t0", "b0", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("b2")
     )
@@ -177,8 +179,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> Data
         a, b = _star(pdf["fp"].to_numpy(np.int64), radius)
         return pd.DataFrame({"a": a, "b": b})
 
-    buckets = small.unionByName(large).groupBy(*keys)
-    return buckets.applyInPandas(run, "a bigint, b bigint").distinct()
+    # their rows are few bytes but much work, so they aren't merged into few tasks
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = small.unionByName(large).repartition(parts, *keys).groupBy(*keys)
+    return buckets.applyInPandas(run, "a bigint, b bigint").unionByName(pairs).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
