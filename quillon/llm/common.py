@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.storage import fresh_path, keep_track, remove, shared_folder
 
@@ -76,13 +77,35 @@ def for_python(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes that a side which is broadcast holds at most, as weighed().
+BROADCAST_BYTES = 128 << 20
+
+
+def weighed(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and arrays by what they hold, other columns by 16 each."""
+    total = F.lit(0).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            own = F.octet_length(F.array_join(c, "")) if isinstance(f.dataType.elementType, T.StringType) else F.lit(0)
+            size = own + 16 * (1 + F.greatest(F.size(c), F.lit(0)))
+        else:
+            size = F.lit(16)
+        total = total + F.coalesce(size, F.lit(16))
+    return total
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df, marked for broadcast only when counted and found within max_rows.
+    """df, marked for broadcast only when weighed and found within max_rows and BROADCAST_BYTES.
 
-    Beyond the bound the frame is returned unmarked and the join shuffles. Pass a frame
-    that is cheap to count, such as one that cut() returned.
+    Beyond the bounds the frame is returned unmarked and the join shuffles. Pass a frame
+    that is cheap to read, such as one that cut() returned.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    some = df.limit(max_rows + 1)
+    rows, weight = some.agg(F.count(F.lit(1)), F.sum(weighed(df))).first()
+    return F.broadcast(df) if rows <= max_rows and (weight or 0) <= BROADCAST_BYTES else df
 
 
 def ascii_lower(column: Column) -> Column:

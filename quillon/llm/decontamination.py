@@ -24,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, broadcast_if_small, cut, table
+from quillon.llm.common import BROADCAST_BYTES, ascii_lower, broadcast_if_small, cut, table, weighed
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Windows broadcast at once; about 300 bytes each.
+#: Windows broadcast at once, about 300 bytes each; fewer if they hold more than BROADCAST_BYTES.
 CHUNK = 200_000
 #: Distinct benchmark words broadcast at once while documents' words are counted.
 VOCABULARY = 1_000_000
@@ -139,7 +139,9 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     docs = docs.select("text", *[F.col(c).alias(k) for c, k in zip(names, keep)])
     wins = cut(windows(items, size))
     joined = cut(prefixes(wins, rarities(docs, wins)))
-    parts = -(-max(1, joined.count()) // chunk)
+    # a chunk is bounded in rows and, as windows may hold long words, in bytes
+    rows, weight = joined.agg(F.count(F.lit(1)), F.sum(weighed(joined))).first()
+    parts = max(1, -(-rows // chunk), -(-(weight or 0) // BROADCAST_BYTES))
     # A document may hold windows of several chunks; a chunk's rows are told apart by hash.
     dealt = joined.withColumn("__qn_part", F.pmod(F.xxhash64("text_of"), F.lit(parts)))
     docs = docs.select(F.monotonically_increasing_id().alias("__qn_row"), *keep, "text")

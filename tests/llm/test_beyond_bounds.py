@@ -10,6 +10,17 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
+def test_bytes_are_bounded_too(spark, monkeypatch):
+    from quillon.llm import common
+
+    df = spark.createDataFrame([(1, "x" * 1000, ["a", "b"], [1, 2]), (2, None, None, None)], "a int, b string, c array<string>, d array<int>")
+    assert [r[0] for r in df.select(common.weighed(df)).collect()] == [16 + 1016 + 50 + 48, 64]
+    marked = lambda: "broadcast" in common.broadcast_if_small(df, 2)._jdf.queryExecution().logical().toString()
+    assert marked()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    assert not marked()
+
+
 def test_hosts(spark, monkeypatch):
     pages = table(spark, SF, "pages")
     want = rows(html_extract.extract(pages, ["page_id"]))
