@@ -72,20 +72,23 @@ ENDS = {
 #: Words that turn a mark after or before them into a property of something else.
 BEFORE, AFTER = frozenset("has no with without".split()), frozenset("open closed".split())
 #: Marks that hold however much of a page's text they have.
-ALWAYS = frozenset("comment comments disqus respond replies cookie cookies consent gdpr".split())
+ALWAYS = frozenset("comment comments commentlist disqus respond replies cookie cookies consent gdpr".split())
 #: Words of class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
-    "navbar navigation sidenav submenu menubar topbar aside footer header masthead comment comments disqus respond replies cookie cookies consent gdpr "
+    "navbar navigation sidenav submenu menubar topbar subnav mainnav aside footer header masthead adsense adsbygoogle comment comments commentlist disqus respond replies cookie cookies consent gdpr "
     "notice alert popup modal overlay share sharing social related recommended breadcrumb breadcrumbs newsletter "
     "subscribe signup login toolbar pagination pager search complementary contentinfo".split()
 )
 #: Words that may stand beside a mark in one name without making something else of it.
 PARTS = frozenset(
     "box boxes list container wrapper wrap block section area widget widgets panel bar region slot unit zone module group "
-    "row col column inner outer top bottom left right site page global main primary secondary mobile desktop sticky fixed "
-    "floating links link buttons button icons icon form message text posts post articles article stories story news content "
-    "contents title heading label toggle trigger by on of the and to for us js is cta".split()
+    "row col column card tile teaser inner outer top bottom left right first second last side site page global main primary "
+    "secondary mobile desktop mega dropdown hamburger off canvas sticky fixed floating wide large medium small leaderboard "
+    "rectangle x link links button buttons tab tabs icon icons logo form message text info warning danger success error "
+    "dismissible dialog media post posts article articles story stories news topics tags content contents title heading label "
+    "body meta copyright trail prev previous next thread user users reader readers author reply facebook fb google email law "
+    "policy preferences toggle trigger template this you your by on of the and to for us js is cta".split()
 )
 #: Names of what holds a page's text, whatever stands beside them.
 CONTENT = frozenset("content entry post article story body text main maincontent".split())

@@ -124,6 +124,21 @@ def test_names_that_only_sound_like_boilerplate(source, want):
     assert own(source) == want
 
 
+def test_usual_names_of_boilerplate():
+    names = """ad-box ad-300x250 ads-by-google adsbygoogle banner-ad promo-teaser sponsored-content sidebar sidebar-right left-sidebar site-header page-header
+        header-top main-navigation primary-menu dropdown-menu nav-tabs breadcrumb-trail site-footer footer-copyright related-posts relatedArticles related-topics
+        recommended-for-you share-this social-media social-share-buttons newsletter-signup email-signup login-form search-box alert alert-warning notice
+        site-notice cookie-consent cookie-law-info gdpr modal-dialog popup-overlay pagination pager-next comments comment-list commentlist user-comments
+        disqus_thread comment-respond reader-comments facebook-comments""".split()
+    for name in names:
+        for attribute in ("class", "id"):
+            page = f"<div class=page><p>{LONG}</p><div {attribute}='{name}'><p>not this</p></div><p>end</p></div>"
+            assert own(page) == LONG + "end", name
+    for name in ("lead", "notice-period", "menu-items", "search-results", "header-layout", "share-price", "pop-up-restaurant", "alert-level-analysis", "comments-open", "has-sidebar", "no-menu"):
+        page = f"<div class=page><p>{LONG}</p><div class='{name}'><p>this</p></div><p>end</p></div>"
+        assert own(page) == LONG + "this end", name
+
+
 class Tree(html.parser.HTMLParser):
     """A plain reading of well-formed pages of div and p: (path, containers around) of each p's text."""
 
