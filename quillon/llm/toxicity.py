@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     # Only what exceeds its discount in a class, of all or of all but one fold, goes to the driver.
     root = joined.filter("p = ''").first()
     wanted = F.col("p") == ""
-    for left_out in (None, *range(FOLDS)):
+    for left_out in (None, *range(FOLDS)) if root else ():  # no root: no expression in the sample
         for k in (False, True):
             own = [n for (c, f), n in zip(each, names) if c == k and f != left_out]
             have = sum(F.col(n) for n in own).cast("double")

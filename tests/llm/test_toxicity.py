@@ -65,6 +65,14 @@ def test_without_both_classes(spark):
     assert [r.toxicity for r in t.score(docs, None, ["doc_id"]).collect()] == [0.0, 0.0]
 
 
+def test_without_any_expression(spark):
+    docs = spark.createDataFrame([(1, "1 2"), (2, None), (3, "!"), (4, "44"), (6, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 6)], "doc_id bigint, toxic int")
+    model = t.fit(docs, t.training_labels(labels))
+    scores = [r.toxicity for r in t.score(docs, model, ["doc_id"]).collect()]
+    assert len(set(scores)) == 1 and 0 <= scores[0] <= 1
+
+
 def counts(documents):
     """Of every beginning, by the words of each document; a plain loop."""
     found = Counter()
