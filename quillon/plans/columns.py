@@ -81,6 +81,8 @@ class Columns:
                 return x & y
             case "or", [x, y]:
                 return x | y
+            case "in list", [x, *items]:
+                return x.isin(items)
             case "=", [x, y]:
                 return x == y
             case "<>", [x, y]:

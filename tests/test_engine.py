@@ -499,3 +499,13 @@ def test_using_natural_and_distinct_on(engine):
     got = rows(engine.sql("SELECT DISTINCT ON (n_regionkey) n_regionkey, n_nationkey FROM nation ORDER BY n_regionkey, n_nationkey DESC"))
     assert got == [(0, 20), (1, 21), (2, 22), (3, 23), (4, 24)]
     assert rows(engine.sql("SELECT DISTINCT ON (n_regionkey / 3) n_nationkey FROM nation ORDER BY n_nationkey LIMIT 3")) == [(0,), (3,)]
+
+
+def test_long_lists(engine):
+    assert rows(engine.sql(f"SELECT r_regionkey FROM region WHERE r_regionkey IN ({', '.join(map(str, range(3, 5000)))})")) == [(3,), (4,)]
+    values = "(VALUES (1), (2), (NULL)) v(x)"
+    assert rows(engine.sql(f"SELECT x IN (2, NULL) AS a, x NOT IN (2, 3) AS b FROM {values}")) == [(None, True), (True, False), (None, None)]
+    assert rows(engine.sql(f"SELECT x FROM {values} WHERE x IN (1.0, x + 0, 7)")) == [(1,), (2,)]
+    many = " OR ".join(f"r_regionkey = {i}" for i in range(3, 2000))
+    assert rows(engine.sql(f"SELECT r_regionkey FROM region WHERE {many}")) == [(3,), (4,)]
+    assert "In(p_size" in engine.explained("SELECT p_partkey FROM part WHERE p_size IN (1, 2, 3)")
