@@ -124,13 +124,13 @@ class Planner:
         return Relation(df.toDF(*[f.uid for f in fields]), fields)
 
     def aliased(self, relation: Relation, inner, alias, names) -> Relation:
-        if len(names) > len(relation.fields):
-            raise NameProblem(f"{len(names)} column aliases for {len(relation.fields)} columns")
+        # what USING has merged can't be named any more once the whole has a name
+        seen = relation.fields if alias is None else [f for f in relation.fields if not f.hidden]
+        if len(names) > len(seen):
+            raise NameProblem(f"{len(names)} column aliases for {len(seen)} columns")
         if alias is None:
             return relation
-        fields = [
-            replace(f, table=alias, name=names[i] if i < len(names) else f.name) for i, f in enumerate(relation.fields)
-        ]
+        fields = [replace(f, table=alias, name=names[i] if i < len(names) else f.name) for i, f in enumerate(seen)]
         return replace(relation, fields=fields, loose=False)
 
     def join(self, join: s.Join) -> Relation:

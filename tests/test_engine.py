@@ -492,6 +492,7 @@ def test_using_natural_and_distinct_on(engine):
     assert got[""] == [(2, "b", "c")] and got["LEFT"] == [(1, "a", None), (2, "b", "c")]
     assert got["RIGHT"] == [(2, "b", "c"), (3, None, "d")] and got["FULL"] == [(1, "a", None), (2, "b", "c"), (3, None, "d")]
     assert sorted(rows(engine.sql(f"SELECT k, x.k AS a, y.k AS b FROM {x} NATURAL LEFT JOIN {y}"))) == [(1, 1, None), (2, 2, 2)]
+    assert rows(engine.sql(f"SELECT j.k, j.q FROM ({x} JOIN {y} USING (k)) j")) == [(2, "c")]
     assert engine.sql(f"SELECT y.* FROM {x} JOIN {y} USING (k)").columns == ["k", "q"]
     assert engine.sql("SELECT 1 AS z FROM (VALUES (1)) a(m) NATURAL JOIN (VALUES (1), (2)) b(n)").count() == 2
     with pytest.raises(NameProblem):
