@@ -71,9 +71,9 @@ def for_python(df: DataFrame) -> DataFrame:
     Spark's default lets ten thousand rows or 64 MB go at once, which long texts turn into
     several copies of that in an executor and its worker.
     """
-    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    if int(conf.get(name).rstrip("b")) > BATCH:
-        conf.set(name, f"{BATCH}b")
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
     return df
 
 

@@ -21,6 +21,20 @@ def test_bytes_are_bounded_too(spark, monkeypatch):
     assert not marked()
 
 
+def test_batches_for_python_are_lowered_whatever_their_unit(spark):
+    from quillon.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for value, want in (("64m", f"{common.BATCH}b"), ("67108864", f"{common.BATCH}b"), ("1k", "1k")):
+            spark.conf.set(name, value)
+            common.for_python(spark.range(1))
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_hosts(spark, monkeypatch):
     pages = table(spark, SF, "pages")
     want = rows(html_extract.extract(pages, ["page_id"]))
