@@ -123,7 +123,7 @@ WORKLOADS = [
     Workload("agg_events", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type"),
     Workload("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS buyers FROM orders GROUP BY o_orderstatus"),
     Workload("agg_distinct_avg", "SELECT o_orderstatus, round(avg(DISTINCT o_custkey + 1), 6) AS mean, count(*) AS n FROM orders GROUP BY o_orderstatus"),
-    Workload("agg_distinct_stddev", "SELECT round(stddev(DISTINCT p_size), 6) AS spread, round(stddev(p_size), 6) AS of_all, sum(DISTINCT p_size) AS total, min(DISTINCT p_size) AS low FROM part"),
+    Workload("agg_distinct_stddev", "SELECT round(stddev(DISTINCT p_size), 6) AS spread, round(stddev(p_size), 6) AS of_all, CAST(sum(DISTINCT p_size) AS bigint) AS total, min(DISTINCT p_size) AS low FROM part"),
     Workload("agg_string", "SELECT r.r_name, string_agg(DISTINCT n.n_name, ', ') AS nations FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
              "SELECT r.r_name, string_agg(DISTINCT n.n_name, ', ' ORDER BY n.n_name) AS nations FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name"),
     # order and limits
