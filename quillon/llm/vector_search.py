@@ -2,9 +2,9 @@
 
 Equal vectors are merged first: a class keeps its vector and, of its ids, the smallest
 k + 1, which is all that any answer can use. Classes are dealt to clusters by the nearest of
-PIVOTS vectors, and a cluster to blocks of BLOCK by hash. By the triangle inequality, a cluster's
-pivot, radius and size bound how far a query's answers can lie and how near its members can, so
-a query meets only the clusters that may hold an answer. Blocks of queries and of candidates
+PIVOTS vectors, and a cluster to blocks of BLOCK by hash. A query meets its own cluster first, and
+its k-th distance there bounds its answers; by the triangle inequality, it then meets only the
+other clusters whose pivot and radius allow something as near. Blocks of queries and of candidates
 meet in tiles, keyed so that tiles spread over all tasks.
 
 In a tile both sides are quantised to int8 with one scale a vector. The product of the codes
@@ -184,34 +184,31 @@ def placed(merged: DataFrame, pivots: Pivots) -> DataFrame:
     return merged.mapInArrow(run, f"class string, v {kind}, ids array<bigint>, asked boolean, dims int, cluster int, far double")
 
 
-def wanted(asked: DataFrame, pivots: Pivots, sizes: dict[int, tuple[int, float]], need: int) -> DataFrame:
-    """asked (class, v, dims) with clusters, those that may hold one of the need nearest classes.
+def wanted(asked: DataFrame, pivots: Pivots, radii: dict[int, float]) -> DataFrame:
+    """asked (class, v, dims, cluster, bound) with clusters: the others that may hold something within bound.
 
-    sizes: by cluster, its number of classes and the largest distance from its pivot.
+    radii: by cluster, the largest distance from its pivot. A null bound allows every cluster.
     """
 
     def run(batches):
         for batch in batches:
-            found = [[-1]] * batch.num_rows
+            found = [[]] * batch.num_rows
+            own = batch.column(3).to_numpy(zero_copy_only=False)
+            bound = np.array([np.inf if b is None else b for b in batch.column(4).to_pylist()])
             for at, n, x in pivots.rows(batch.column(1)):
                 if n not in pivots.places:
                     continue
-                places = [i for i, c in enumerate(pivots.places[n]) if c in sizes]
-                count, radius = (np.array(z) for z in zip(*[sizes[pivots.places[n][i]] for i in places]))
-                d = pivots.distances(x)[:, places]
-                # the clusters that lie wholly within a distance hold need classes from some cluster on
-                far = d + radius
-                order = np.argsort(far, axis=1)
-                held = np.cumsum(count[order], axis=1)
-                last = np.minimum((held < need).sum(1), len(places) - 1)
-                bound = np.where(held[:, -1] >= need, np.take_along_axis(far, order, 1)[np.arange(len(at)), last], np.inf)
-                near = d - radius <= (bound * (1 + 1e-9))[:, None] + 1e-9 * radius
+                places = np.array([c for c in pivots.places[n] if c in radii])
+                radius = np.array([radii[c] for c in places])
+                d = pivots.distances(x)[:, [c in radii for c in pivots.places[n]]]
+                near = d - radius <= (bound[at] * (1 + 1e-9))[:, None] + 1e-9 * (d + radius)
+                near &= places[None, :] != own[at][:, None]
                 for row, some in zip(at.tolist(), near):
-                    found[row] = [pivots.places[n][places[i]] for i in np.flatnonzero(some)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "clusters"])
+                    found[row] = places[some].tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["class", "v", "dims", "clusters"])
 
     kind = asked.schema["v"].dataType.simpleString()
-    return asked.select("class", "v", "dims").mapInArrow(run, f"class string, v {kind}, dims int, clusters array<int>")
+    return asked.select("class", "v", "dims", "cluster", "bound").mapInArrow(run, f"class string, v {kind}, dims int, clusters array<int>")
 
 
 def merged_heaps(found: DataFrame, size: int) -> DataFrame:
@@ -254,15 +251,10 @@ def nearest(rows: DataFrame, id_column: str, vector: str, k: int = 10, every: in
     stats = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.sum(F.col("asked").cast("long")).alias("asked")).collect()
     if not stats:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sizes = {r["cluster"]: (r["n"], r["far"]) for r in stats}
-    blocks = F.create_map(*[F.lit(x) for c, (n, _) in sizes.items() for x in (c, -(-n // BLOCK))])
+    blocks = F.create_map(*[F.lit(x) for r in stats for x in (r["cluster"], -(-r["n"] // BLOCK))])
     down = -(-max(1, sum(r["asked"] for r in stats)) // BLOCK)
     spread = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = wanted(merged.filter("asked"), pivots, sizes, need).withColumn("cluster", F.explode("clusters"))
-    left = left.select("dims", "cluster", spread(F.lit(down)).alias("qb"), "class", "v", each(blocks[F.col("cluster")]).alias("xb"))
-    right = merged.select("dims", "cluster", spread(blocks[F.col("cluster")]).alias("xb"), "ids", "v", each(F.lit(down)).alias("qb"))
-
     def run(queries, candidates):
         empty = pa.table({"class": pa.array([], pa.string()), "ids": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not candidates.num_rows:
@@ -286,13 +278,25 @@ def nearest(rows: DataFrame, id_column: str, vector: str, k: int = 10, every: in
         return pa.table({"class": pa.array(columns[0], pa.string()), "ids": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     keys = ("dims", "cluster", "qb", "xb")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "class string, ids bigint, score double")
-    heaps = merged_heaps(found, need)
+
+    def tiles(queries, candidates):
+        """class, ids and score of the best of each tile, for queries (class, v, dims, cluster)."""
+        left = queries.select("dims", "cluster", spread(F.lit(down)).alias("qb"), "class", "v", each(blocks[F.col("cluster")]).alias("xb"))
+        right = candidates.select("dims", "cluster", spread(blocks[F.col("cluster")]).alias("xb"), "ids", "v", each(F.lit(down)).alias("qb"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "class string, ids bigint, score double")
+
+    asked = merged.filter("asked").select("class", "v", "dims", "cluster")
+    first = cut(merged_heaps(tiles(asked, merged), need))
+    last = F.when(F.size("best") == need, F.element_at("best", -1)["score"])
+    others = wanted(asked.join(first.select("class", last.alias("bound")), "class", "left"), pivots, {r["cluster"]: r["far"] for r in stats})
+    others = others.withColumn("cluster", F.explode("clusters"))
+    again = first.select("class", F.explode("best").alias("b")).select("class", F.col("b.ids").alias("ids"), F.col("b.score").alias("score"))
+    heaps = merged_heaps(tiles(others, merged).unionByName(again), need)
     # Back to single rows: one row a query, so a class that many queries share can be split.
     queries = used.filter(F.col("id") % every == 0).select("class", F.col("id").alias("query_id")).distinct()
-    others = F.filter("best", lambda b: b["ids"] != F.col("query_id"))
+    own = F.filter("best", lambda b: b["ids"] != F.col("query_id"))
     answers = queries.join(heaps, "class").select(
-        "query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "b")
+        "query_id", F.posexplode(F.slice(own, 1, k)).alias("at", "b")
     )
     return answers.select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.ids").alias("vec_id"), F.col("b.score").alias("score")
