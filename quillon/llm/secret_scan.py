@@ -23,12 +23,14 @@ one place are ordered as the kinds are listed. Every row is scanned on its own:
 give equal results, empty tables an empty one. scan() keeps extra columns of any name, but one
 named like its output is replaced. All patterns start at the first character of a run and never
 look back into it, so long texts take linear time. Joined constants share what they hold, so
-no piece of one is left out. Assignments within an unquoted value are read too, unless it
-counts as a secret itself or is a placeholder of more than NESTED characters.
+no piece of one is left out. Assignments within an unquoted value are read too, however long it
+is, unless it counts as a secret itself; a value within another is counted from what is kept
+of the other, not read again.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -94,9 +96,13 @@ BARE = re.compile(r"[^\s,]++")
 #: Ends of bare values that belong to what is around them, and bare values that are code.
 CLOSING = ";)]}>\"'`"
 CODE = re.compile(r"[\"'`(\[{]|[A-Za-z_][A-Za-z0-9_.]*+[(\[]|[A-Za-z_]++(?:\.[A-Za-z_]++)++\Z")
-NESTED = 4096
-#: So much of a joined literal's start is held against PLACEHOLDER.
+#: Characters of a run without white space between two places whose counts are kept, at least.
+STEP = 512
+#: So much of a literal's start and its last character are held against PLACEHOLDER; what
+#: they can't tell of a longer one comes from its counts.
 HEAD = 64
+#: What placeholders of one repeated character repeat; all others may be of any length.
+REPEATED = "xX*."
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -126,22 +132,61 @@ def name_score(name: str) -> float:
     return best
 
 
+class Run:
+    """Characters without white space, whose ends are the bare values within it."""
+
+    __slots__ = ("text", "stop", "places", "kept")
+
+    def __init__(self, text: str, stop: int):
+        self.text, self.stop = text, stop
+        self.places, self.kept = [-stop], [Counter()]  # places are negative, so that they ascend
+
+    def counts(self, at: int) -> Counter:
+        """How often each character stands from a place to the end."""
+        while True:
+            # kept counts hold less than the text does, however many characters there are
+            before = -self.places[-1] - max(STEP, 8 * len(self.kept[-1]))
+            if before < at:
+                break
+            more = self.kept[-1].copy()
+            more.update(self.text[before : -self.places[-1]])
+            self.places.append(-before)
+            self.kept.append(more)
+        i = bisect.bisect_right(self.places, -at) - 1
+        found = self.kept[i].copy()
+        found.update(self.text[at : -self.places[i]])
+        return found
+
+
 class Value:
     """A literal, or several joined: what its score needs and what it was joined from."""
 
-    __slots__ = ("counts", "n", "head", "last", "lead", "tail", "inner", "seen", "span", "parts", "reached")
+    __slots__ = ("counts", "n", "head", "last", "lead", "tail", "inner", "seen", "span", "parts", "reached", "run")
 
-    def __init__(self, text: str, start: int, bare: bool = False):
+    def __init__(self, text: str, start: int):
         self.counts, self.n, self.head, self.last = Counter(text), len(text), text[:HEAD], text[-1:]
         core = text.strip()
         self.seen, self.inner = bool(core), " " in core
         self.lead = " " in text[: len(text) - len(text.lstrip())]
         self.tail = " " in text[len(text.rstrip()) :]
-        self.span, self.parts, self.reached = (start, start + len(text), bare), (), False
+        self.span, self.parts, self.reached, self.run = (start, start + len(text), False), (), False, None
+
+    @classmethod
+    def bare(cls, run: Run, at: int) -> Value:
+        """The value without quotes from a place to the run's end; it holds no white space."""
+        new, stop = object.__new__(cls), run.stop
+        new.counts, new.n, new.head, new.last = None, stop - at, run.text[at : min(stop, at + HEAD)], run.text[stop - 1]
+        new.seen, new.inner, new.lead, new.tail = True, False, False, False
+        new.span, new.parts, new.reached, new.run = (at, stop, True), (), False, run
+        return new
+
+    def tally(self) -> Counter:
+        """How often each character occurs; counted when asked for without quotes."""
+        return self.counts if self.run is None else self.run.counts(self.span[0])
 
     def __add__(self, other: Value) -> Value:
         new = object.__new__(Value)
-        new.counts, new.n = self.counts + other.counts, self.n + other.n
+        new.counts, new.n, new.run = self.tally() + other.tally(), self.n + other.n, None
         new.head, new.last = (self.head + other.head)[:HEAD] if self.n < HEAD else self.head, other.last or self.last
         new.seen = self.seen or other.seen
         # spaces around the whole don't count, those between its words do
@@ -152,17 +197,23 @@ class Value:
         return new
 
     def placeholder(self) -> bool:
+        """Whether PLACEHOLDER fits the whole of it."""
         if self.n <= HEAD:
             return bool(PLACEHOLDER.match(self.head))
-        one = len({c.lower() for c in self.counts}) == 1
-        return bool(PLACEHOLDER.match(self.head + self.last)) and (one or len(set(self.head.lower())) > 1)
+        if not PLACEHOLDER.match(self.head + self.last):
+            return False
+        if self.head[0] in REPEATED:
+            return len({c.lower() for c in self.tally()}) == 1
+        return self.run is not None or "\n" not in self.counts
 
     def score(self) -> float:
         """How much the literal looks like a secret, from -1 to 1."""
         if self.n < 6 or self.inner or self.placeholder():
             return -1.0
-        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
-        entropy = -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values())
+        counts = self.tally()
+        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts}
+        # summed exactly, so that the order in which the characters were counted is of no account
+        entropy = -math.fsum(c / self.n * math.log2(c / self.n) for c in counts.values())
         return 0.1 * min(len(kinds), 3) + 0.1 * min(entropy, 5.0) + (0.2 if self.n >= 12 else 0.0)
 
     def reach(self) -> list[tuple[int, int, bool]]:
@@ -191,8 +242,6 @@ def _read(text: str, at: int, constants: dict) -> tuple[Value | None, Value | No
             part, at = Value(literal.group(group), literal.start(group)), literal.end()
         elif not beside and (reference := REFERENCE.match(text, at)):
             part, at = constants.get(reference.group()), reference.end()
-            if isinstance(part, tuple):
-                part = constants[reference.group()] = Value(text[slice(*part)], part[0], True)
         else:
             break
         if part is not None:
@@ -213,9 +262,10 @@ def _read(text: str, at: int, constants: dict) -> tuple[Value | None, Value | No
 
 def lexed_spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whether without quotes) of literals that reach a sensitive name."""
-    constants: dict[str, Value | tuple[int, int]] = {}  # bare values are made when needed
+    constants: dict[str, Value] = {}
     spans: set[tuple[int, int, bool]] = set()
-    run = stop = past = 0
+    end = stop = past = 0
+    run = None
     for pair in PAIR.finditer(text):
         # of `const one two =` either may be the name, by language
         names, at = [n for n in pair.group(1, 2, 3, 4) if n], pair.end()
@@ -224,30 +274,21 @@ def lexed_spans(text: str) -> list[tuple[int, int, bool]]:
         whole, alone, _ = _read(text, at, constants)
         bare = False
         if whole is None:
-            if at >= run and (m := BARE.match(text, at)):
-                run = stop = m.end()
+            if at >= end and (m := BARE.match(text, at)):
+                end = stop = m.end()
                 while stop > at and text[stop - 1] in CLOSING:
                     stop -= 1
+                run = Run(text, stop)
             bare = at < stop and not CODE.match(text, at, stop)
             if not bare:
                 if not pair.group(5):
                     for name in names:
                         constants.pop(name, None)
                 continue
+            whole = alone = Value.bare(run, at)
         named = max(map(name_score, names))
-        if pair.group(5):
-            before = constants.get(names[0])
-            if bare:
-                whole = alone = Value(text[at:stop], at, True)
-            if before is not None:
-                before = Value(text[slice(*before)], before[0], True) if isinstance(before, tuple) else before
-                whole, alone = before + whole, before + alone
-        elif named <= 0 and bare:
-            for name in names:
-                constants[name] = (at, stop)
-            continue
-        elif bare:
-            whole = alone = Value(text[at:stop], at, True)
+        if pair.group(5) and (before := constants.get(names[0])) is not None:
+            whole, alone = before + whole, before + alone
         for name in names:
             constants[name] = whole
         if named <= 0:
@@ -257,9 +298,6 @@ def lexed_spans(text: str) -> list[tuple[int, int, bool]]:
                 spans.update(value.reach())
                 past = stop if bare else past
                 break
-        else:
-            if bare and whole.n > NESTED:
-                past = stop
     return sorted(spans)
 
 

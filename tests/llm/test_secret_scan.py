@@ -195,6 +195,44 @@ def test_long_texts_take_linear_time():
     assert time.time() - began < 20
 
 
+def test_a_value_is_read_alike_at_any_size():
+    for n in (300, 4000, 5000, 10**5):
+        # a placeholder, and a value of too little variety, with a secret within
+        assert literals("db_pwd=your" + "-" * n + "&private_key=Zx81kQ!pLmA77") == ["Zx81kQ!pLmA77"], n
+        assert literals("auth=" + "a" * n + "&db_pwd=zx!kqplm") == ["zx!kqplm"], n
+    for n in (4, 20, 90, 5000):
+        # a placeholder's first characters say nothing of what stands on the next line
+        assert literals('db_pwd = """your' + "-" * n + '\nZx81kQ!pLmA77"""') == ["your" + "-" * n + "\nZx81kQ!pLmA77"], n
+        assert s.Value("your" + "-" * n + "\nZx81", 0).placeholder() is False
+        for mark, end in (("$", ""), ("%", ""), ("{", ""), ("<", ">")):
+            assert s.Value(mark * n + "Zx81kQ!pLmA77" + end, 0).placeholder(), (mark, n)
+        assert s.Value("x" * n + "X", 0).placeholder() and not s.Value("x" * n + "y" + "x" * 90, 0).placeholder()
+
+
+def test_values_without_quotes_are_counted_like_others():
+    rng = random.Random(5)
+    for _ in range(60):
+        letters = rng.choice(["ab=", "your-pwd=", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))])
+        text = "".join(rng.choices(letters, k=rng.randint(1, 20000)))
+        run = s.Run(text + " ", len(text))
+        for at in [0, *(rng.randrange(len(text)) for _ in range(20))]:
+            bare, plain_one = s.Value.bare(run, at), s.Value(text[at:], at)
+            assert bare.tally() == plain_one.counts and bare.placeholder() == plain_one.placeholder()
+            assert bare.score() == plain_one.score() and bare.head == plain_one.head and bare.n == plain_one.n
+        assert sum(map(len, run.kept)) <= len(text)
+
+
+def test_assignments_within_long_values_take_linear_time():
+    import time
+
+    names = [f"a{i}q" for i in range(10**4)]
+    began = time.time()
+    for text in ("-pwd=your" * 10**5, ("-auth=" + "a" * 100) * 10**4, "-pwd=xxx" * 10**5, "-pwd=$" * 10**5,
+                 "=".join(names) + "=" + "-" * 10**5 + "".join(f"\npwd={n}" for n in names)):
+        s.find(text)
+    assert time.time() - began < 40
+
+
 def test_query_and_rows(spark):
     from quillon.llm.queries import QUERIES
 
