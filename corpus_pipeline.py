@@ -20,7 +20,7 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates (five-word similarity 0.8 or more) stays."""
+    """One document of each group stays: those that op4_simhash links, or of five-word similarity 0.8 or more."""
     return near.deduplicated(docs)
 
 

@@ -1,13 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, of which one stays.
+"""Near-duplicates by SimHash and by the Jaccard similarity of word shingles, of which one stays.
 
-Two texts link if the sets of their SHINGLE-word shingles have a similarity of LEAST or more.
-Words are as in simhash; fewer words than a shingle's give one shingle of all of them, and
-texts without words are equal to each other and like no other.
+Two texts link if simhash links their fingerprints, which its covering tables decide and miss
+none of, or if the sets of their SHINGLE-word shingles have a similarity of LEAST or more. The
+second is there because most pairs of that similarity differ in more bits than covering tables
+can be made for; it adds to what simhash links and takes nothing from it. Groups are the
+components of both kinds of links together.
 
-Candidates meet by MinHash: BANDS bands of ROWS minima each. A pair of similarity s shares no
-band with probability (1 - s ** ROWS) ** BANDS, which is 3 in 100,000 at 0.8 and less above.
-That is all that can be missed: within a bucket every pair that could join two components is
-checked exactly, on the shingles' 64-bit hashes, so no pair below LEAST links.
+Words are as in simhash; fewer words than a shingle's give one shingle of all of them. Texts
+without words are equal to each other, and their fingerprint zero links like any other.
+
+Candidates for similarity meet by MinHash: BANDS bands of ROWS minima each. A pair of similarity
+s shares no band with probability (1 - s ** ROWS) ** BANDS, which is 3 in 100,000 at 0.8 and
+less above. That is all that can be missed: within a bucket every pair that could join two
+components is checked exactly, on the shingles' 64-bit hashes, so no pair below LEAST links
+by similarity.
 
 Equal sets are merged before any band is dealt, and buckets of the same members count once.
 A bucket returns a star per component, never all pairs. One of more than TILE shingles is
@@ -26,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import broadcast_if_small, cut, for_python
-from quillon.llm.simhash import BROADCAST_BUCKETS, BROADCAST_GONE, SEED, _signed, components, one_of_each, shingle_hashes
+from quillon.llm.simhash import BROADCAST_BUCKETS, BROADCAST_GONE, RADIUS, SEED, _signed, components, fingerprint, one_of_each, shingle_hashes
+from quillon.llm.simhash import links as linked_prints
 
 SHINGLE = 5
 #: The least similarity, as a fraction so that it is compared exactly.
@@ -57,10 +64,10 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, __qn_digest, fp (a digest of the set), size and bands for every row."""
+    """doc_id, __qn_digest, fp (a digest of the set), size, bands and sim (simhash's fingerprint) for every row."""
     keep = ("doc_id", "__qn_digest")
     schema = T.StructType([docs.schema[c] for c in keep]).add("fp", T.LongType()).add("size", T.LongType())
-    schema = schema.add("bands", T.ArrayType(T.LongType()))
+    schema = schema.add("bands", T.ArrayType(T.LongType())).add("sim", T.LongType())
 
     def run(batches):
         for batch in batches:
@@ -69,6 +76,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in found], pa.int64()),
                 pa.array(list(map(len, found)), pa.int64()),
                 pa.array(list(map(bands, found)), pa.list_(pa.int64())),
+                pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(2)], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], names=schema.fieldNames())
 
@@ -152,14 +160,36 @@ def links(classes: DataFrame, marked: DataFrame, tile: int = TILE) -> DataFrame:
     return tiled.join(hashed, "fp").groupBy("t", "b", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
-def deduplicated(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between sets, enough to join all whose fingerprints are in one of simhash's components.
+
+    prints: rows with fp and sim. A fingerprint stands for its least set, which its others link to.
+    """
+    # Partial extremes are taken before the shuffle, so copies cost one row a task.
+    sims = cut(prints.groupBy("sim").agg(F.min("fp").alias("__qn_least"), F.max("fp").alias("__qn_most")))
+    near = cut(linked_prints(sims.select(F.col("sim").alias("fp")), radius))
+    least = lambda node, name: sims.select(F.col("sim").alias(node), F.col("__qn_least").alias(name))
+    first = cut(least("a", "__qn_a").join(broadcast_if_small(near, BROADCAST_BUCKETS), "a").select("__qn_a", "b"))
+    between = least("b", "__qn_b").join(broadcast_if_small(first, BROADCAST_BUCKETS), "b")
+    several = broadcast_if_small(sims.filter("__qn_least <> __qn_most"), BROADCAST_BUCKETS)
+    within = prints.select("sim", "fp").join(several, "sim")
+    return (
+        between.select(F.col("__qn_a").alias("a"), F.col("__qn_b").alias("b"))
+        .unionByName(within.select(F.col("__qn_least").alias("a"), F.col("fp").alias("b")))
+        .filter("a <> b")
+        .distinct()
+    )
+
+
+def deduplicated(docs: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
     """One row of each group: that of the smallest doc_id (null last), then of least digest."""
 
     def rooted(prints, marked):
         row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__qn_digest").alias("of")))
         classes = prints.groupBy("fp").agg(row.alias("__qn_row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
         classes = cut(classes)
-        roots = components(links(classes, marked, tile)).withColumnRenamed("node", "fp")
+        both = fingerprint_links(prints, radius).unionByName(links(classes, marked, tile))
+        roots = components(both).withColumnRenamed("node", "fp")
         return classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
     return one_of_each(docs, sets, rooted)

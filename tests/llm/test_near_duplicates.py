@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from quillon.llm import near_duplicates as near
+from quillon.llm import near_duplicates as near, simhash
 from tests.llm.test_simhash import SCHEMA
 
 SF = "/root/testdata/sf0.01"
@@ -61,3 +61,58 @@ def test_nulls_ties_and_clashing_columns(spark):
     got = near.deduplicated(docs).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", None), ("3", "a b c d"), ("4", long), ("None", "z y x")]
     assert near.deduplicated(docs.limit(0)).count() == 0
+
+
+def grouped_by_both(rows):
+    """The smallest doc_id of each document's group, from all pairs."""
+    root = {k: k for k, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    sets = {k: shingled(t) for k, t in rows}
+    prints = {k: simhash.fingerprint(t) for k, t in rows}
+    for a in sets:
+        for b in sets:
+            alike = sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            if a < b and (alike or (prints[a] ^ prints[b]).bit_count() <= 3):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in root}
+
+
+@pytest.mark.parametrize("buckets", [None, 0])
+def test_stage_keeps_one_of_what_simhash_links(spark, monkeypatch, buckets):
+    if buckets is not None:  # as if there were too many links to broadcast
+        monkeypatch.setattr(near, "BROADCAST_BUCKETS", buckets)
+    # pairs within 3 bits whose five-word similarity is 0.56 to 0.8, among others
+    pairs = [(3, 212), (385, 4738), (589, 6676), (2226, 6081), (2528, 5966), (2728, 8082), (2826, 5242)]
+    ids = [k for p in pairs for k in p]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = docs.filter(docs.doc_id.isin(ids) | (docs.doc_id % 50 == 0)).select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    texts = dict(rows)
+    # A group that only both kinds of links join: a copy in 8 of ten parts of what simhash links to 3.
+    words = texts[212].split()
+    more = " ".join([*words, *(f"w{i}" for i in range(len(words) // 6))])
+    rows += [(100_001, more), (100_002, more), (100_003, None), (100_004, " ")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = grouped_by_both(rows)
+    assert all(want[a] == want[b] for a, b in pairs) and want[100_001] == 3
+    assert 5 * len(shingled(more) & shingled(texts[3])) < 4 * len(shingled(more) | shingled(texts[3]))
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = sorted(r.doc_id for r in stage(spark, table, SF).collect())
+    assert got == sorted(set(want.values()))
+    # no two of op4's groups stay
+    groups = {r.doc_id: r.component_id for r in simhash.grouped(table).collect()}
+    assert len({groups[k] for k in got}) == len(got) < len(set(groups.values()))
+
+
+def test_texts_of_one_fingerprint_and_many_sets_are_one_group(spark):
+    # the repeated shingles outvote the others, so the fingerprint is the same
+    rows = [(k, "ha " * 40 + f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(1, 40)] + [(90, "other words stand here")]
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 2 and len({shingled(t) for _, t in rows}) == 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near.deduplicated(docs).collect()) == [1, 90]
